@@ -80,7 +80,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = document_names(docs, id_col, text_col, block_bytes)
     best = F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))).alias("best")
-    groups = found.groupBy("level", "name").agg(F.sum("copies").alias("group_size"), best)
+    # Written first, so that the join below is a plain one of two exchanges, whose hot groups AQE splits.
+    groups = materialise(found.groupBy("level", "name").agg(F.sum("copies").alias("group_size"), best))
     out = found.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     first = (F.col("copy") == 1) & F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("n_cp") == -F.col("best.n"))
     return out.select("doc_id", F.col("best.id").alias("keep_id"), "group_size", first.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "n_cp")
