@@ -3,8 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from . import fixture
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None, rounded: str = "", digits: int = 4) -> Callable[[Query], Query]:
+    """Register a query under its name. The doubles named in ``rounded`` are rounded in the SQL, and all of them in Spark."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = lambda spark, d: fixture.rounded(f(spark, d), digits)
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = fixture.oracle(sql, rounded, digits)
+        return f
+
+    return register
+
+
+for _module in ("core",):
+    import_module(f"{__package__}.{_module}")
