@@ -91,9 +91,9 @@ def pr16_pr17_pr18_filters(s: Spark, d: str) -> DataFrame:
     return T.scored(s, d).where(f & F.col("lat").between(30, 36) & F.col("lon").between(-110, -90)).select("npi", "opportunity", "opportunity_decile")
 
 
-@query("SELECT npi, 'class size ' || printf('%.0f', class_fills) AS text FROM scored WHERE in_market AND class_fills < 50")
+@query("SELECT npi, 'class size ' || printf('%.2f', class_fills + 0.001) AS text FROM scored WHERE in_market AND class_fills < 50")
 def pr19_readable(s: Spark, d: str) -> DataFrame:
-    return T.scored(s, d).where("in_market and class_fills < 50").select("npi", F.format_string("class size %.0f", "class_fills").alias("text"))
+    return T.scored(s, d).where("in_market and class_fills < 50").select("npi", F.format_string("class size %.2f", F.col("class_fills") + 0.001).alias("text"))
 
 
 @query("SELECT npi, opportunity * 0.28 * calls / (12 + calls) AS captured FROM (SELECT npi, opportunity, opportunity_decile::DOUBLE AS calls FROM scored)", "captured")

@@ -57,7 +57,7 @@ def units(spark: SparkSession, d: str) -> DataFrame:
 
 def customers(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.select(F.col("c_custkey").alias("npi"), F.col("c_name").alias("last_name"), F.col("n_name").alias("state"), F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("zip3"), F.col("c_mktsegment").alias("specialty_group"), (1 + F.abs("c_acctbal") / 10000).alias("risk_score"), F.col("c_nationkey"))
+    return c.select(F.col("c_custkey").alias("npi"), F.col("c_name").alias("last_name"), F.col("n_name").alias("state"), F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("zip3"), F.col("c_mktsegment").alias("specialty_group"), F.round(1 + F.abs("c_acctbal") / 10000 + 1e-7, 4).alias("risk_score"), F.col("c_nationkey"))
 
 
 def provider(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +114,7 @@ line_ AS (SELECT o_custkey AS npi, year(o_orderdate)::INT AS year, p_type AS pro
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE year(o_orderdate) BETWEEN 1998 AND 2000),
 rows_ AS (SELECT npi, year, product, count(*)::DOUBLE AS tot_clms, sum(l_quantity)::DOUBLE AS tot_fills, sum(cost) AS tot_cost FROM line_ GROUP BY ALL),
 scripts AS (SELECT *, product IN ('PROMO', 'STANDARD', 'LARGE') AS is_in_class, product = 'PROMO' AS is_focus_brand FROM rows_ WHERE tot_clms >= 2),
-cust AS (SELECT c_custkey AS npi, c_name AS last_name, n_name AS state, lpad(c_nationkey::VARCHAR, 3, '0') AS zip3, c_mktsegment AS specialty_group, 1 + abs(c_acctbal) / 10000 AS risk_score, c_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
+cust AS (SELECT c_custkey AS npi, c_name AS last_name, n_name AS state, lpad(c_nationkey::VARCHAR, 3, '0') AS zip3, c_mktsegment AS specialty_group, round(1 + abs(c_acctbal) / 10000 + 1e-7, 4) AS risk_score, c_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
 provider AS (SELECT l.npi, l.year, count(*)::DOUBLE AS all_drug_clms, count(DISTINCT l_orderkey)::DOUBLE AS panel_benes, any_value(last_name) AS last_name, any_value(state) AS state, any_value(zip3) AS zip3, any_value(specialty_group) AS specialty_group, any_value(risk_score) AS risk_score
   FROM line_ l JOIN cust USING (npi) GROUP BY l.npi, l.year),
 units AS (SELECT lpad(n_nationkey::VARCHAR, 3, '0') AS zip3, n_name AS state, 30.0::DOUBLE + 2 * (n_nationkey % 5) AS lat, -110.0::DOUBLE + 6 * (n_nationkey // 5) AS lon, r_name AS region, 1000.0::DOUBLE * (1 + n_nationkey) AS population, 10.0::DOUBLE * (1 + n_nationkey % 7) AS land,
