@@ -66,7 +66,8 @@ def ols(df: DataFrame, y: str, x: str) -> DataFrame:
     """Slope, intercept and standard error of a simple regression, from one aggregation."""
     m = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.count("*").alias("n"))
     sse = F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))
-    return m.select("slope", "intercept", F.sqrt(F.greatest(F.try_divide(sse, (F.col("n") - 2) * F.col("sxx")), F.lit(0.0))).alias("se"), "n")
+    given = lambda c: F.when(F.col("sxx") > 0, c)  # noqa: E731  a constant regressor has no slope
+    return m.select(given(F.col("slope")).alias("slope"), given(F.col("intercept")).alias("intercept"), given(F.sqrt(F.greatest(F.try_divide(sse, (F.col("n") - 2) * F.col("sxx")), F.lit(0.0)))).alias("se"), "n")
 
 
 def icc(df: DataFrame, group: str, value: str) -> DataFrame:

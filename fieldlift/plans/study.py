@@ -71,7 +71,7 @@ def rs2_cluster_bootstrap(s: Spark, d: str) -> DataFrame:
 
 
 @query(f"""WITH {COHORT}, x AS (SELECT ln(1 + paid) AS x, post_delta AS y FROM cohort WHERE post_delta IS NOT NULL)
-SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, sqrt(greatest((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / ((count(*) - 2) * regr_sxx(y, x)), 0)) AS se, count(*) AS n FROM x""", "slope intercept se")
+SELECT CASE WHEN regr_sxx(y, x) > 0 THEN regr_slope(y, x) END AS slope, CASE WHEN regr_sxx(y, x) > 0 THEN regr_intercept(y, x) END AS intercept, CASE WHEN regr_sxx(y, x) > 0 THEN sqrt(greatest((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / ((count(*) - 2) * regr_sxx(y, x)), 0)) END AS se, count(*) AS n FROM x""", "slope intercept se")
 def ag18_rs8_elasticity(s: Spark, d: str) -> DataFrame:
     return stats.ols(_cohort(s, d).withColumn("log_paid", F.log1p("paid")), "post_delta", "log_paid")
 
