@@ -42,7 +42,7 @@ def territory_options(plan: DataFrame, assignment: DataFrame) -> DataFrame:
 
 def column_vectors(sample: DataFrame, columns: list[str]) -> DataFrame:
     """One row with an array per column, in key order; for a bounded sample."""
-    return sample.agg(F.array_sort(F.collect_list(F.struct("npi", *columns))).alias("rows")).select(*[F.transform("rows", lambda r, c=c: r[c]).alias(c) for c in ("npi", *columns)])
+    return sample.agg(F.array_sort(F.collect_list(F.struct("npi", *columns))).alias("rows")).select(*[F.col(f"rows.{c}").alias(c) for c in ("npi", *columns)])
 
 
 def scope(served: DataFrame, analysed: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ def ag31_histogram(s: Spark, d: str) -> DataFrame:
     return stats.histogram(T.holdout(s, d), "opportunity_pct_of_potential", "flagged")
 
 
-DOSE = """dose AS (SELECT greatest(ceil((row_number() OVER (ORDER BY m.class_fills, m.npi) - 1) / (count(*) OVER () - 1) * 10), 1)::INT AS vol_decile, coalesce(least(p.focus_events, 3), 0)::INT AS calls, coalesce(n.brand_share, 0) - coalesce(m.brand_share, 0) AS captured FROM mart m JOIN mart n ON n.npi = m.npi AND n.year = 2000 LEFT JOIN pay p ON p.npi = m.npi AND p.year = 1999 WHERE m.year = 1999 AND m.class_fills > 0)"""
+DOSE = """dose AS (SELECT greatest(ceil((row_number() OVER (ORDER BY m.class_fills, m.npi) - 1) / (count(*) OVER () - 1) * 10), 1)::INT AS vol_decile, least(coalesce(p.focus_events, 0), 3)::INT AS calls, coalesce(n.brand_share, 0) - coalesce(m.brand_share, 0) AS captured FROM mart m JOIN mart n ON n.npi = m.npi AND n.year = 2000 LEFT JOIN pay p ON p.npi = m.npi AND p.year = 1999 WHERE m.year = 1999 AND m.class_fills > 0)"""
 
 
 @query(f"WITH {DOSE}, c AS (SELECT vol_decile, calls, count(*) AS n, avg(captured) AS m FROM dose GROUP BY ALL HAVING count(*) >= 2) SELECT c.calls, sum((c.m - b.m) * c.n) / sum(c.n) AS captured_excess, sum(c.n)::BIGINT AS n FROM c JOIN c b ON b.vol_decile = c.vol_decile AND b.calls = 0 WHERE c.calls > 0 GROUP BY 1", "captured_excess")
