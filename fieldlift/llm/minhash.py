@@ -120,7 +120,14 @@ def _link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, unit, reps, sets = WordHashes(), None, [], []
 
     def links() -> list[tuple[int, int]]:
-        return [(reps[i], reps[j]) for i, j in forest(sets)]
+        """A star for each component of the unit, around its smallest id."""
+        label = np.arange(len(reps))
+        for i, j in forest(sets):
+            label[label == label[j]] = label[i]
+        low: dict[int, int] = {}
+        for r, l in zip(reps, label.tolist(), strict=True):
+            low[l] = min(r, low.get(l, r))
+        return [(r, low[l]) for r, l in zip(reps, label.tolist(), strict=True) if r != low[l]]
 
     def emit(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
@@ -160,7 +167,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same_id = signed.where("fp is not null and doc_id is not null").select("doc_id", "fp").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
 
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    heads = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("head")).where("c > 1")
+    heads = materialise(banded.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("head")).where("c > 1").drop("c"))
     met = banded.join(heads, "key").where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct()
     candidates = connected_components(met).withColumnsRenamed({"node": "rep", "component": "cand"})
     sized = candidates.join(classes.select("rep", "n"), "rep")
@@ -175,9 +182,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = materialise(texts)
     against = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = placed.select("rep", "cand", F.explode(against).alias("j")).select("rep", F.concat_ws(":", "cand", "j").alias("unit"))
-    links = materialise(_links(first, texts))
+    # A group in one block is done: its links are stars around the smallest id of each component.
+    links = materialise(_links(first, texts).join(placed.select(F.col("rep").alias("u"), "blocks"), "u"))
+    found = links.where("blocks = 1").select(F.col("u").alias("rep"), F.col("v").alias("component"))
+    links = links.where("blocks > 1").select("u", "v")
 
-    if not placed.where("blocks > 1").isEmpty():
+    several = not placed.where("blocks > 1").isEmpty()
+    if several:
         large = placed.where("blocks > 1").join(connected_components(links).withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         large = materialise(large)
         counts = large.groupBy("cand", "component").agg(F.count("*").alias("c"))
@@ -192,7 +203,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not same_id.isEmpty():
         again = signed.where("fp is not null").join(same_id, "doc_id").join(classes.select("fp", "rep"), "fp")
         links = links.unionByName(again.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    found = connected_components(links).withColumnsRenamed({"node": "rep"})
+    if not same_id.isEmpty():
+        found = connected_components(links.unionByName(found.select(F.col("rep").alias("u"), F.col("component").alias("v")))).withColumnsRenamed({"node": "rep"})
+    elif several:
+        found = found.unionByName(connected_components(links).withColumnsRenamed({"node": "rep"}))
     by_class = classes.select("fp", "rep").join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "fp").join(by_class, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
