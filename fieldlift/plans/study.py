@@ -13,7 +13,7 @@ from ..operators import backtest as B
 from ..operators import opportunity as O
 from ..operators import quality as Q
 from ..operators import ranks as R
-from ..operators import reads, sizing, stats, territory
+from ..operators import reads, resample, sizing, stats, territory
 from ..sources import files
 from ..streaming import ingest
 from . import fixture as T
@@ -185,6 +185,22 @@ def ev1_metrics_at_k(s: Spark, d: str) -> DataFrame:
     return stats.ranked_metrics(_panel(s, d), "opportunity", 150, ["growth_abs", "growth_share"], "growth_abs")
 
 
+@query(None)
+def rs1_bootstrap_capture(s: Spark, d: str) -> DataFrame:
+    return resample.bootstrap_capture(_panel(s, d), {"opportunity": "opportunity", "volume": "class_fills"}, "growth_abs", 150, 100)
+
+
+@query(None)
+def rs3_permutation_test(s: Spark, d: str) -> DataFrame:
+    return resample.permutation_test(T.holdout(s, d), "specialty_group", "opportunity", "share_growth", reps=40)
+
+
+@query(None)
+def ev11_drift_report(s: Spark, d: str) -> DataFrame:
+    m = T.mart(s, d)
+    return resample.drift_report(m.where("year = 1999"), m.where("year = 2000"), ["class_fills", "panel_benes"], ["specialty_group"])
+
+
 # Call plan and sizing
 
 CAPACITY = 300.0

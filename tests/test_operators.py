@@ -112,3 +112,15 @@ def test_rule_choice_and_leakage(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i, float(i * i % 7)) for i in range(50)], "y double, twice double, noise double")
     with pytest.raises(ValueError, match="twice"):
         opportunity.assert_no_leakage(df, ["twice", "noise"], "y")
+
+
+def test_permutation_and_bootstrap(spark):
+    from fieldlift.operators import resample
+
+    random.seed(8)
+    rows = [(i, f"s{i % 4}", x := random.gauss(0, 1), 0.4 * x + random.gauss(0, 1), random.gauss(0, 1)) for i in range(600)]
+    df = spark.createDataFrame(rows, "npi long, s string, x double, y double, z double")
+    assert resample.permutation_test(df, "s", "x", "y", reps=30).first()["p_value"] < 0.05
+    assert resample.permutation_test(df, "s", "x", "z", reps=30).first()["p_value"] > 0.05
+    got = {r["rule"]: r for r in resample.bootstrap_capture(df.withColumn("volume", F.lit(0.0)), {"best": "y", "volume": "z"}, "y", 60, 40).collect()}
+    assert got["best"]["capture_low"] <= got["best"]["capture"] <= got["best"]["capture_high"] and got["best"]["excludes_one"]
