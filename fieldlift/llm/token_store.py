@@ -5,14 +5,16 @@ byte: two bits each give the number of data bytes, 1 to 4. Control and data byte
 which Spark writes as Parquet in ascending id order with the document index of each block. Decoding looks the lengths of
 four values up by control byte in a numpy table.
 
-Texts are encoded once. Pieces between spaces and line ends are encoded on their own and remembered: the tokenizer
-drops white space and no token spans it, so the pieces' ids in a row are the text's ids (tests compare whole texts).
+Texts are encoded once. Pieces between white space are encoded on their own and remembered: the tokenizer drops white
+space and no token spans it, so the pieces' ids in a row are the text's ids (tests compare whole texts).
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,9 +31,7 @@ END_ID = 2
 BLOCK_TOKENS = 1 << 20
 #: Documents of a shard, about.
 SHARD_DOCS = 8192
-PIECE_LIMIT = 400_000
-_SPLIT = re.compile(r"[ \n\t]+")
-
+PIECE_LIMIT = 600_000
 #: Byte lengths of the four values of each control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -55,27 +55,62 @@ def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+#: Latin text without odd white space; the others are encoded whole.
+_ODD = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\u024f]|<\\|")
+#: The tokenizer's split pattern, as it reads for lower-case characters below U+0250.
+_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\u024f]+")
+
+
 class Pieces(dict):
-    """Piece of text to its ids as bytes of unsigned 32-bit integers, remembered for ``PIECE_LIMIT`` pieces at most."""
+    """Piece of text to its ids as bytes of unsigned 32-bit integers; ``PIECE_LIMIT`` pieces at most.
+
+    Text is lower-cased and cut at white space, and pieces not met before are cut into the tokenizer's own words, which
+    go through its model in one call without the normaliser and split pattern that they have passed already. Every word
+    ends in a token that closes words, which gives the pieces' ids back. A text with any character for which these steps
+    could differ goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        units = [_UNIT.findall(p) for p in new]
+        ids = np.array(self.words.encode_batch_fast([" ".join(u for own in units for u in own)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.r_[0, np.flatnonzero(self.closes[ids]) + 1]
+        bounds = (4 * last[np.cumsum([0, *map(len, units)])]).tolist()
+        raw = ids.tobytes()
+        return {p: raw[a:b] for p, a, b in zip(new, bounds, bounds[1:], strict=False)}
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        split = [_SPLIT.split(t) if t else [] for t in texts]
-        if len(self) > PIECE_LIMIT:
-            self.clear()
-        new = list({p for pieces in split for p in pieces if p not in self})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[piece] = np.array(got.ids, "<u4").tobytes()
         end = np.array([end_id], "<u4").tobytes()
-        return [b"".join([*map(self.__getitem__, pieces), end]) for pieces in split]
+        split = [None if t and _ODD.search(t) else t.lower().split() if t else [] for t in texts]
+        new = list({p for pieces in split if pieces for p in pieces}.difference(self))
+        got = self._learn(new) if new else {}
+        self.update(got)
+        odd = iter(self.tokenizer.encode_batch_fast([t for t, pieces in zip(texts, split, strict=True) if pieces is None], add_special_tokens=False))
+        out = [np.array(next(odd).ids, "<u4").tobytes() + end if pieces is None else b"".join([*map(self.__getitem__, pieces), end]) for pieces in split]
+        if len(self) > PIECE_LIMIT:  # the first to come are the frequent ones: they stay
+            for p in got:
+                del self[p]
+        return out
+
+
+def _pieces(path: str) -> Pieces:
+    """The process's memory of pieces. Tasks unpickle this module's functions anew, so it is kept beside the loaded modules."""
+    memory = sys.modules.setdefault("_fieldlift_pieces", types.ModuleType("_fieldlift_pieces"))
+    if path not in memory.__dict__:
+        memory.__dict__[path] = Pieces(path)
+    return memory.__dict__[path]
 
 
 def _narrow(ids: bytes) -> bytes:
@@ -92,10 +127,10 @@ def _tokenise(path: str, end_id: int, cuts: np.ndarray):
     """``cuts``: ascending ids where shards begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = _pieces(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # pieces of few texts at a time are held besides those remembered
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):  # pieces of few texts at a time are held besides those remembered
+                part = batch.slice(at, 1024)
                 shard = np.searchsorted(cuts, np.array([-(1 << 63) if i is None else i for i in part.column(0).to_pylist()], np.int64), side="right")
                 ids = [_narrow(x) for x in pieces.encode(part.column(1).to_pylist(), end_id)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shard, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "shard", "ids"])
