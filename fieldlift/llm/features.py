@@ -14,23 +14,23 @@ DIMENSIONS = 1 << 18
 
 
 class HashedFeatures(dict):
-    """Word to the hashed indices of its features, remembered for ``limit`` distinct words at most."""
+    """Word to the hashed indices of its features (of those in ``used``), remembered for ``limit`` distinct words at most."""
 
-    def __init__(self, names: Callable[[str], list[str]], dimensions: int = DIMENSIONS, limit: int = 300_000):
+    def __init__(self, names: Callable[[str], list[str]], dimensions: int = DIMENSIONS, limit: int = 100_000, used: np.ndarray | None = None):
         super().__init__()
         self.names, self.dimensions, self.limit = names, dimensions, limit
+        self.used = None if used is None else set(used.tolist())
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.limit:
             self.clear()
-        value = self[word] = tuple(xxhash.xxh32_intdigest(n) % self.dimensions for n in self.names(word))
+        found = (xxhash.xxh32_intdigest(n) % self.dimensions for n in self.names(word))
+        value = self[word] = tuple(found if self.used is None else (i for i in found if i in self.used))
         return value
 
     def of(self, text: str | None) -> np.ndarray:
         """Sorted distinct feature indices of a whole text."""
-        found: set[int] = set()
-        for word in set(TOKEN.findall(text or "")):
-            found.update(self[word])
+        found = set().union(*map(self.__getitem__, set(TOKEN.findall(text or ""))))
         return np.array(sorted(found), np.int32)
 
 
@@ -40,7 +40,7 @@ class Rows:
     def __init__(self, rows: list[np.ndarray]):
         self.n = len(rows)
         self.columns = np.concatenate(rows) if rows else np.empty(0, np.int32)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.columns], self.n)

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .features import DIMENSIONS, EDGE, HashedFeatures, Rows, sigmoid
 
-MAX_ROWS = 12_000
+MAX_ROWS = 5_000
+#: Features that fewer training rows have are left out.
+LEAST_ROWS = 3
 GRADES = 3
 #: Documents with P(grade >= 1) of at least this are rejected.
 REJECT_AT = 0.5
@@ -59,14 +61,17 @@ def grades(rows: Rows, toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic == 1, 1 + np.searchsorted(edges, hits, side="left"), 0)
 
 
-def fit_rows(features: list[np.ndarray], toxic: np.ndarray, steps: int = 300, l1: float = 2e-4, rate: float = 0.5) -> Model:
+def fit_rows(features: list[np.ndarray], toxic: np.ndarray, steps: int = 250, l1: float = 1e-3, rate: float = 0.5) -> Model:
     """Proximal AdaGrad on the ordinal likelihood; an L1 penalty keeps weights of uninformative features at zero."""
     rows, toxic = Rows(features), np.asarray(toxic, int)
     if rows.n == 0 or toxic.min() == toxic.max():
         return Model(np.empty(0, np.int32), np.empty(0), np.full(GRADES, 40.0 if rows.n == 0 or not toxic.max() else -40.0))
     grade = grades(rows, toxic)
-    used, back = np.unique(rows.columns, return_inverse=True)
-    rows.columns = back
+    used = np.flatnonzero(np.bincount(rows.columns, minlength=DIMENSIONS) >= LEAST_ROWS)
+    place = np.full(DIMENSIONS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    rows.columns = place[rows.columns]
+    rows.row, rows.columns = rows.row[rows.columns >= 0], rows.columns[rows.columns >= 0]
     w, sum_w = np.zeros(len(used)), np.full(len(used), 1e-8)
     share = np.array([(grade >= k).mean() for k in range(1, GRADES + 1)]).clip(1e-4, 1 - 1e-4)
     cuts, sum_c = -np.log(share / (1 - share)), np.full(GRADES, 1e-8)
@@ -103,13 +108,14 @@ def feature_column(text: Column) -> Column:
     return features(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, steps: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, steps: int = 250) -> Model:
     """Fit on at most ``max_rows`` labelled documents; rows without a label, text or id are left out."""
     wanted = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"])
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.where("text is not null").select("doc_id", "text").join(wanted, "doc_id").select("doc_id", feature_column(F.col("text")).alias("f"), F.col("toxic").cast("int").alias("toxic"))
-    got = rows.toPandas().sort_values("doc_id", kind="stable")  # at most max_rows rows of distinct hashed features
-    return fit_rows([np.asarray(f, np.int32) for f in got["f"]], got["toxic"].to_numpy(), steps)
+    got = rows.toArrow().sort_by("doc_id")  # at most max_rows rows of distinct hashed features
+    flat = got["f"].combine_chunks()
+    return fit_rows(np.split(flat.values.to_numpy(), flat.offsets.to_numpy()[1:-1]), got["toxic"].to_numpy(), steps)
 
 
 def score_column(text: Column, model: Model) -> Column:
@@ -117,8 +123,9 @@ def score_column(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("severity double, p_toxic double")
     def score(texts: pd.Series) -> pd.DataFrame:
-        hashed, weights = HashedFeatures(names), model.dense()
+        hashed, weights = HashedFeatures(names, used=model.index), model.dense()
         p = model.survival(np.array([weights[hashed.of(t)].sum() for t in texts], float))
+        p[[not t or t.isspace() for t in texts]] = 0.0
         return pd.DataFrame({"severity": p.sum(1), "p_toxic": p[:, 0] if len(p) else []})
 
     return score(text)
@@ -127,8 +134,7 @@ def score_column(text: Column, model: Model) -> Column:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, expected_severity, p_toxic, grade, kept``.
 
-    A null or empty text has no features and gets the score of the cut points alone, which is clean. Repeated rows get
-    equal scores; other columns aren't read. Without labelled rows of both kinds every document gets the one kind seen,
+    A null, empty or blank text is clean, with a severity of 0. Repeated rows get equal scores; other columns aren't read. Without labelled rows of both kinds every document gets the one kind seen,
     and clean if there is none.
     """
     s = docs.select(F.col(id_col).alias("doc_id"), score_column(F.col(text_col), model).alias("s"))
