@@ -114,6 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, steps: int
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.where("text is not null").select("doc_id", "text").join(wanted, "doc_id").select("doc_id", feature_column(F.col("text")).alias("f"), F.col("toxic").cast("int").alias("toxic"))
     got = rows.toArrow().sort_by("doc_id")  # at most max_rows rows of distinct hashed features
+    if not got.num_rows:
+        return fit_rows([], np.empty(0), steps)
     flat = got["f"].combine_chunks()
     return fit_rows(np.split(flat.values.to_numpy(), flat.offsets.to_numpy()[1:-1]), got["toxic"].to_numpy(), steps)
 
