@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -144,7 +144,12 @@ def _fold(key: str, folds: int, seed: int) -> Column:
 
 
 def _fit(train: DataFrame, label: str, name: str, *, clip: tuple[float, float] | None, iterations: int, depth: int):
-    """A function that adds ``name``: a mean or, with ``clip``, the probability that the label is 1 inside these bounds."""
+    """A function that adds ``name``: a mean or, with ``clip``, the probability that the label is 1 inside these bounds.
+
+    With fewer than two training rows nothing can be grown: the prediction is null.
+    """
+    if len(train.select(label).head(2)) < 2:
+        return lambda df: df.withColumn(name, F.lit(None).cast("double"))
     shared = {"featuresCol": "x", "labelCol": label, "maxIter": iterations, "maxDepth": depth, "maxBins": BINS, "seed": 1}
     if clip is None:
         return GBTRegressor(predictionCol=name, **shared).fit(train).transform
@@ -157,7 +162,11 @@ def _prepared(df: DataFrame, numeric: Sequence[str], keep: Sequence[str], folds:
     """``npi``, the kept columns as doubles, the vector ``x`` and the fold; rows with a null among them are left out."""
     rows = df.select("npi", *CATEGORICAL, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*numeric, *keep])]).dropna(subset=["npi", *numeric, *keep])
     rows = materialise(rows)
-    return materialise(encoder(rows, numeric).transform(rows).select("npi", "x", *keep, _fold("npi", folds, seed).alias("fold")))
+    codes = StringIndexer(inputCols=list(CATEGORICAL), outputCols=[f"__{c}" for c in CATEGORICAL], handleInvalid="keep")
+    hot = OneHotEncoder(inputCols=codes.getOutputCols(), outputCols=[f"__hot_{c}" for c in CATEGORICAL], dropLast=False)  # no limit of categories by training rows
+    vector = VectorAssembler(inputCols=[*numeric, *hot.getOutputCols()], outputCol="x")
+    encoded = Pipeline(stages=[codes, hot, vector]).fit(rows).transform(rows)
+    return materialise(encoded.select("npi", "x", *keep, _fold("npi", folds, seed).alias("fold")))
 
 
 def cross_fit(rows: DataFrame, fits: dict[str, tuple[str, tuple[float, float] | None, str]], folds: int, iterations: int, depth: int) -> DataFrame:
@@ -197,7 +206,7 @@ def uplift(df: DataFrame, outcome: str, treated: str, numeric: Sequence[str], *,
     got = got.withColumn("phi", m1 - m0 + t * (y - m1) / e - (1 - t) * (y - m0) / (1 - e))
     edge = got.agg(F.percentile_approx("phi", [0.01, 0.99], 10_000).alias("q"))
     wins = got.join(F.broadcast(edge)).withColumn("__z", F.least(F.greatest("phi", F.col("q")[0]), F.col("q")[1])).select("npi", "x", "fold", "phi", "__z")  # one row
-    return cross_fit(wins, {"tau": ("__z", None, "true")}, folds, iterations, depth).select("npi", "phi", "tau")
+    return cross_fit(wins, {"tau": ("__z", None, "__z is not null")}, folds, iterations, depth).select("npi", "phi", "tau")
 
 
 def qini(effects: DataFrame, points: int = 40) -> DataFrame:
