@@ -15,6 +15,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op1_repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every later occurrence of a sentence; ``op1_substring_dedup`` and its SQL hold lines in runs of 50 words."""
+    return substring_dedup.later_occurrences(table(spark, sf_dir, "documents"), sentences=True)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.quality(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op1_repeated_sentences,
         op2_quality_classifier,
         op3_minhash_near_dedup,
         op4_chat_formatting,

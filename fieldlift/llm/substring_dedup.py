@@ -4,6 +4,8 @@ Texts are cut into lines; a line with words is a unit. Units are normalised (A-Z
 spaces), their 128-bit digests are grouped over all documents, and the occurrence with the smallest (document, line)
 stays. Later occurrences are removed where a run of adjacent ones has at least ``min_words`` words, so passages of
 several lines are caught and short lines that texts share by chance or custom stay. Original offsets are retained.
+``later_occurrences`` returns every later occurrence, flagged where that rule removes it. With ``sentences`` the units are
+the sentences inside the lines, so a run also counts the parts of a passage in its first and last line.
 
 Lines move as digests. Groups meet in partial aggregates and in an equi-join that AQE splits; only what repeats goes on
 to the run lengths, which are computed per document.
@@ -11,7 +13,8 @@ to the run lengths, which are computed per document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -21,53 +24,72 @@ from pyspark.sql import functions as F
 from .shingles import LOWER, WORD_BYTES
 
 MIN_WORDS = 50
+LINE_END = re.compile("\n")
+#: A line end, the space behind a sentence's last mark, or the place behind a full-width mark.
+SENTENCE_END = re.compile("\n|(?<=[.!?\u2026])[\x20\x09-\x0D]|(?<=[\u3002\uff01\uff1f])(?![\u3002\uff01\uff1f\n])")
 
 
-def units(text: str | None) -> list[tuple[int, int, int, int, int, int, bool]]:
+def _pieces(text: str, end: re.Pattern[str]) -> Iterator[tuple[int, str]]:
+    at = 0
+    for m in end.finditer(text):
+        yield at, text[at : m.start()]
+        at = m.end()
+    yield at, text[at:]
+
+
+def units(text: str | None, sentences: bool = False) -> list[tuple[int, int, int, int, int, int, bool]]:
     """Unit number, start and end in code points, words, digest as two signed longs, and whether it is the text's first such unit."""
-    out, at, seen = [], 0, set()
-    for line in (text or "").split("\n"):
+    out, seen = [], set()
+    for at, line in _pieces(text or "", SENTENCE_END if sentences else LINE_END):
         words = WORD_BYTES.findall(line.encode().translate(LOWER))
         if words:
             d = xxhash.xxh3_128_digest(b" ".join(words))
             out.append((len(out), at, at + len(line), len(words), int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), d not in seen))
             seen.add(d)
-        at += len(line) + 1
     return out
 
 
-def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unit_rows(sentences: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
     names = ["doc_id", "unit", "start", "end", "words", "h1", "h2", "first"]
-    for batch in batches:
-        rows: list[tuple] = []
-        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows += [(ident, *u) for u in units(text)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows += [(ident, *u) for u in units(text, sentences)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    return rows_of
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per removed line: ``doc_id, unit, start_char, end_char, n_words, run_words, first_doc_id``.
 
-    A null, empty or blank text has no unit. Rows that repeat an id are one document, whose earliest copy of a line stays
-    in each row; rows without an id rank last. Other columns aren't read.
+def later_occurrences(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", sentences: bool = False) -> DataFrame:
+    """One row per later occurrence of a unit: ``doc_id, unit, start_char, end_char, n_words, run_words, first_doc_id, removed``.
+
+    ``removed`` is false where the run of adjacent later occurrences has fewer than ``min_words`` words. A null, empty or
+    blank text has no unit. Rows that repeat an id are one document, whose earliest copy of a unit stays in each row; rows
+    without an id rank last. Other columns aren't read.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = rows.mapInArrow(_unit_rows, "doc_id long, unit int, start long, end long, words long, h1 long, h2 long, first boolean")
+    lines = rows.mapInArrow(_unit_rows(sentences), "doc_id long, unit int, start long, end long, words long, h1 long, h2 long, first boolean")
     groups = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = lines.join(groups, ["h1", "h2"]).where("doc_id <> first_doc_id or not first").drop("h1", "h2", "first")
     per_doc = Window.partitionBy("doc_id").orderBy("unit")
     runs = later.withColumn("run", F.col("unit") - F.dense_rank().over(per_doc))
     runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run")))
-    out = runs.where(F.col("run_words") >= min_words)
     ident = F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id"))
-    return out.select(ident.alias("doc_id"), "unit", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("words").alias("n_words"), "run_words", "first_doc_id")
+    return runs.select(ident.alias("doc_id"), "unit", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("words").alias("n_words"), "run_words", "first_doc_id", (F.col("run_words") >= min_words).alias("removed"))
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", sentences: bool = False) -> DataFrame:
+    """The removed ones of ``later_occurrences``, without the flag."""
+    return later_occurrences(docs, min_words, id_col, text_col, sentences).where("removed").drop("removed")
 
 
-def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated lines cut out of the text, and their original offsets in ``removed_spans``."""
-    spans = repeated_passages(docs, min_words, id_col, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("removed_spans"))
+def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", sentences: bool = True) -> DataFrame:
+    """``docs`` with the repeated sentences, or else lines, cut out of the text, and their original offsets in ``removed_spans``."""
+    spans = repeated_passages(docs, min_words, id_col, text_col, sentences).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("removed_spans"))
     out = docs.join(spans.withColumnRenamed("doc_id", "__id"), docs[id_col] == F.col("__id"), "left").drop("__id")
-    # A removed line goes with the line end behind it.
-    cut = "aggregate(removed_spans, struct('' as s, 1L as at), (a, x) -> struct(a.s || substring(__text, cast(a.at as int), cast(greatest(x.start_char + 1 - a.at, 0) as int)) as s, x.end_char + 2 as at), a -> a.s || substring(__text, cast(a.at as int)))"
+    # A removed unit goes with the line end or space behind it.
+    cut = "aggregate(removed_spans, struct('' as s, 1L as at), (a, x) -> struct(a.s || substring(__text, cast(a.at as int), cast(greatest(x.start_char + 1 - a.at, 0) as int)) as s, x.end_char + 1 + if(substring(__text, cast(x.end_char + 1 as int), 1) rlike '\\\\s', 1, 0) as at), a -> a.s || substring(__text, cast(a.at as int)))"
     return out.withColumn("__text", F.col(text_col)).withColumn(text_col, F.when(F.col("removed_spans").isNull(), F.col("__text")).otherwise(F.expr(cut))).drop("__text")

@@ -98,6 +98,18 @@ def test_passages(spark):
     assert cut[2] == "other\nend" and cut[1] == rows[0][1] and cut[4] is None
 
 
+def test_passages_that_begin_and_end_inside_lines(spark):
+    w = [" ".join(f"p{k}x{j}" for j in range(20)) + "." for k in range(3)]
+    rows = [(1, f"Own start here. {w[0]}\n{w[1]}\n{w[2]} Own end.", "s"), (2, f"Another start. {w[0]}\n{w[1]}\n{w[2]} Another end.\nshort", "s"), (3, f"{w[1]}\nshort", "s"), (4, "一二。三四！" + "五" * 3, "s")]
+    d = frame(spark, rows)
+    assert substring_dedup.repeated_passages(d).count() == 0
+    cut = {r["doc_id"]: r["text"] for r in substring_dedup.remove_passages(d).collect()}
+    assert cut[2] == "Another start. Another end.\nshort" and cut[1] == rows[0][1] and cut[3] == rows[2][1]
+    flags = [(r["doc_id"], r["n_words"], r["removed"]) for r in substring_dedup.later_occurrences(d, sentences=True).orderBy("doc_id", "unit").collect()]
+    assert flags == [(2, 20, True)] * 3 + [(3, 20, False), (3, 1, False)]
+    assert [rows[3][1][u[1] : u[2]] for u in substring_dedup.units(rows[3][1], True)] == ["一二。", "三四！", "五五五"]
+
+
 def test_chat_round_trip(spark):
     odd = ["\\### Assistant: </turn> ok", "####", "\\b\\h\\e", "</turn>\n", "", None, "</</turn>", "a\\", "#"]
     rows = [(c, k, ("user", "assistant")[k % 2], t) for c in range(2) for k, t in enumerate(odd[c:])]
