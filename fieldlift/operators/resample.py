@@ -7,26 +7,34 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import materialise
 from . import ranks, stats
-from .opportunity import stack_rules
 
 
-def bootstrap_capture(panel: DataFrame, rules: Mapping[str, str], value: str, k: int, reps: int = 200, seed: int = 5, baseline: str = "volume") -> DataFrame:
-    """Capture of each rule's list and its ratio to the baseline's, with percentile intervals.
+def bootstrap_capture(panel: DataFrame, rules: Mapping[str, str], value: str, k: int, reps: int = 400, seed: int = 5, baseline: str = "volume", share: str | None = None, block: int = 10_000) -> DataFrame:
+    """Capture of each rule's list and its ratio to the baseline's, with percentile intervals; with ``share`` the same of a second column.
 
-    Lists are those of the whole panel; accounts are drawn with Poisson(1) weights from a hash of key and draw, so a draw
-    costs one pass of partial sums and nothing is sorted per draw.
+    Accounts are drawn with Poisson(1) counts from a hash of key and draw, and each draw has lists of its own: its first
+    ``k`` drawn accounts, copies counted, in the order of the score. That order is the same in all draws, so rows are
+    numbered once by rule; a draw sums its counts by blocks of ``block`` numbers, then inside the blocks that ``k`` reaches.
     """
-    listed = ranks.top_k_by_rule(stack_rules(panel, rules, ["npi"]), k).groupBy("npi").agg(*[F.max((F.col("rule") == r).cast("int")).alias(f"in_{r}") for r in rules])
-    rows = panel.select("npi", F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0)).alias("g")).where("g > 0").join(listed, "npi", "left").fillna(0)
-    draws = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    values = {"": value} | ({"share_": share} if share else {})
+    gains = {f"g{p}": F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)) for p, c in values.items()}
+    ranked = stats.union_all([ranks.global_scan(panel.select("npi", F.col(c).cast("double").alias("score"), *[x.alias(g) for g, x in gains.items()]), [F.col("score").desc_nulls_last(), F.col("npi")]).select("npi", F.lit(r).alias("rule"), "rn", *gains) for r, c in rules.items()])
     w = F.when(F.col("rep") == 0, F.lit(1)).otherwise(stats.poisson_weight(F.xxhash64("npi", "rep", F.lit(seed))))
-    per = draws.withColumn("wg", w * F.col("g")).groupBy("rep").agg(F.sum("wg").alias("t"), *[F.sum(F.col("wg") * F.col(f"in_{r}")).alias(r) for r in rules])
-    long = per.unpivot(["rep", "t"], list(rules), "rule", "got").join(per.select("rep", F.col(baseline).alias("b")), "rep")
-    long = long.withColumn("capture", F.try_divide("got", "t")).withColumn("ratio", F.try_divide("got", "b"))
+    draws = ranked.withColumn("block", F.floor((F.col("rn") - 1) / block)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("m", w).where("m > 0")
+    blocks = materialise(draws.groupBy("rep", "rule", "block").agg(F.sum("m").alias("bm"), *[F.sum(F.col("m") * F.col(g)).alias(f"t{g}") for g in gains]))
+    ahead = F.coalesce(F.sum("bm").over(Window.partitionBy("rep", "rule").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = blocks.select("rep", "rule", "block", ahead.alias("ahead")).where(F.col("ahead") < k)
+    prior = F.col("ahead") + F.coalesce(F.sum("m").over(Window.partitionBy("rep", "rule", "block").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    listed = draws.join(reached, ["rep", "rule", "block"]).withColumn("take", F.greatest(F.least(F.col("m"), k - prior), F.lit(0)))
+    got = listed.groupBy("rep", "rule").agg(*[F.sum(F.col("take") * F.col(g)).alias(f"l{g}") for g in gains])
+    per = materialise(got.join(blocks.groupBy("rep", "rule").agg(*[F.sum(f"t{g}").alias(f"t{g}") for g in gains]), ["rep", "rule"]))
+    long = per.join(per.where(F.col("rule") == baseline).select("rep", *[F.col(f"l{g}").alias(f"b{g}") for g in gains]), "rep", "left")
+    long = long.withColumns({f"{p}{c}": F.try_divide(f"lg{p}", f"{d}g{p}") for p in values for c, d in (("capture", "t"), ("ratio", "b"))})
     drawn = lambda c: F.when(F.col("rep") > 0, F.col(c))
-    out = long.groupBy("rule").agg(*[x for c in ("capture", "ratio") for x in (F.max(F.when(F.col("rep") == 0, F.col(c))).alias(c), F.percentile(drawn(c), 0.025).alias(f"{c}_low"), F.percentile(drawn(c), 0.975).alias(f"{c}_high"), F.stddev_samp(drawn(c)).alias(f"{c}_se"))])
-    return out.withColumn("excludes_one", (F.col("ratio_low") > 1) | (F.col("ratio_high") < 1))
+    out = long.groupBy("rule").agg(*[x for p in values for c in (f"{p}capture", f"{p}ratio") for x in (F.max(F.when(F.col("rep") == 0, F.col(c))).alias(c), F.percentile(drawn(c), 0.025).alias(f"{c}_low"), F.percentile(drawn(c), 0.975).alias(f"{c}_high"), F.stddev_samp(drawn(c)).alias(f"{c}_se"))])
+    return out.withColumns({f"{p}excludes_one": (F.col(f"{p}ratio_low") > 1) | (F.col(f"{p}ratio_high") < 1) for p in values})
 
 
 def permutation_test(df: DataFrame, stratum: str, x: str, y: str, key: str = "npi", reps: int = 200, seed: int = 9) -> DataFrame:

@@ -187,12 +187,14 @@ def ev1_metrics_at_k(s: Spark, d: str) -> DataFrame:
 
 @query(None)
 def rs1_bootstrap_capture(s: Spark, d: str) -> DataFrame:
-    return resample.bootstrap_capture(_panel(s, d), {"opportunity": "opportunity", "volume": "class_fills"}, "growth_abs", 150, 100)
+    p = R.percent_rank(R.percent_rank(_panel(s, d), "opportunity", "opportunity_rank"), "class_fills", "volume_rank")
+    p = materialise(p.withColumn("hybrid", (F.col("opportunity_rank") + F.col("volume_rank")) / 2))
+    return resample.bootstrap_capture(p, {"opportunity": "opportunity", "volume": "class_fills", "hybrid": "hybrid"}, "growth_abs", 150, share="growth_share")
 
 
 @query(None)
 def rs3_permutation_test(s: Spark, d: str) -> DataFrame:
-    return resample.permutation_test(T.holdout(s, d), "specialty_group", "opportunity", "share_growth", reps=40)
+    return resample.permutation_test(T.holdout(s, d), "specialty_group", "opportunity", "share_growth")
 
 
 @query(None)

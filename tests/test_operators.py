@@ -124,3 +124,28 @@ def test_permutation_and_bootstrap(spark):
     assert resample.permutation_test(df, "s", "x", "z", reps=30).first()["p_value"] > 0.05
     got = {r["rule"]: r for r in resample.bootstrap_capture(df.withColumn("volume", F.lit(0.0)), {"best": "y", "volume": "z"}, "y", 60, 40).collect()}
     assert got["best"]["capture_low"] <= got["best"]["capture"] <= got["best"]["capture_high"] and got["best"]["excludes_one"]
+
+
+def test_bootstrap_ranks_in_each_draw(spark):
+    from fieldlift.operators import resample
+
+    rows = [(i, float(-i), 1.0, float(i % 3), float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "npi long, score double, g double, h double, other double")
+    # Everybody gains 1: lists of 10 drawn accounts have 10 in every draw, so both rules capture the same.
+    for block in (4, 10_000):
+        got = {r["rule"]: r for r in resample.bootstrap_capture(df, {"a": "score", "volume": "other"}, "g", 10, 30, share="h", block=block).collect()}
+        a = got["a"]
+        assert a["capture"] == 0.2 and (a["ratio_low"], a["ratio_high"], a["ratio_se"]) == (1, 1, 0) and not a["excludes_one"]
+        assert a["share_capture"] == pytest.approx(9 / 49) and a["share_ratio"] == pytest.approx(9 / 10) and a["share_capture_se"] > 0
+
+
+def test_registered_draws(spark, monkeypatch):
+    from fieldlift.operators import resample
+    from fieldlift.plans import registry, study
+
+    assert "rs3_permutation_test" in registry.QUERIES
+    seen = {}
+    monkeypatch.setattr(resample, "permutation_test", lambda *a, **k: seen.update(k))
+    monkeypatch.setattr(study.T, "holdout", lambda s, d: None)
+    study.rs3_permutation_test(spark, "")
+    assert seen.get("reps", 200) == 200
