@@ -27,6 +27,8 @@ RESIDUAL_CLIP, UPLIFT_CLIP = (0.01, 0.99), (0.02, 0.98)
 BINS = 64
 #: Trees between materialisations of the running prediction.
 CUT_EVERY = 5
+#: Trees between materialisations of a prediction, so that its plan doesn't grow with the number of trees.
+PREDICT_CUT = 10
 
 
 def encoder(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = CATEGORICAL) -> PipelineModel:
@@ -63,6 +65,8 @@ class Frontier:
         out = self.encode.transform(framed).withColumn("__f", F.lit(self.start))
         for k in range(len(self.trees)):
             out = self.step(out, k)
+            if (k + 1) % PREDICT_CUT == 0 and k + 1 < len(self.trees):
+                out = materialise(out)
         return out.drop("x", *[f"__{c}" for c in CATEGORICAL])
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -143,14 +147,14 @@ def _fold(key: str, folds: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def _fit(train: DataFrame, label: str, name: str, *, clip: tuple[float, float] | None, iterations: int, depth: int):
+def _fit(train: DataFrame, label: str, name: str, *, clip: tuple[float, float] | None, iterations: int, depth: int, rate: float = 0.1):
     """A function that adds ``name``: a mean or, with ``clip``, the probability that the label is 1 inside these bounds.
 
     With fewer than two training rows nothing can be grown: the prediction is null.
     """
     if len(train.select(label).head(2)) < 2:
         return lambda df: df.withColumn(name, F.lit(None).cast("double"))
-    shared = {"featuresCol": "x", "labelCol": label, "maxIter": iterations, "maxDepth": depth, "maxBins": BINS, "seed": 1}
+    shared = {"featuresCol": "x", "labelCol": label, "maxIter": iterations, "maxDepth": depth, "stepSize": rate, "maxBins": BINS, "seed": 1}
     if clip is None:
         return GBTRegressor(predictionCol=name, **shared).fit(train).transform
     model = GBTClassifier(predictionCol="", **shared).fit(train)
@@ -169,13 +173,13 @@ def _prepared(df: DataFrame, numeric: Sequence[str], keep: Sequence[str], folds:
     return materialise(encoded.select("npi", "x", *keep, _fold("npi", folds, seed).alias("fold")))
 
 
-def cross_fit(rows: DataFrame, fits: dict[str, tuple[str, tuple[float, float] | None, str]], folds: int, iterations: int, depth: int) -> DataFrame:
+def cross_fit(rows: DataFrame, fits: dict[str, tuple[str, tuple[float, float] | None, str]], folds: int, iterations: int, depth: int, rate: float = 0.1) -> DataFrame:
     """Add a column for each of ``fits`` (label, clip, condition on training rows), predicted by models of the other folds."""
     parts = []
     for k in range(folds):
         part = rows.where(F.col("fold") == k)
         for name, (label, clip, condition) in fits.items():
-            part = _fit(rows.where(F.col("fold") != k).where(condition), label, name, clip=clip, iterations=iterations, depth=depth)(part)
+            part = _fit(rows.where(F.col("fold") != k).where(condition), label, name, clip=clip, iterations=iterations, depth=depth, rate=rate)(part)
         parts.append(part)
     return materialise(stats.union_all(parts))
 
@@ -186,10 +190,10 @@ def robustness_value(t: Column, dof: Column, critical: float = 0.0) -> Column:
     return F.when(f <= 0, 0.0).otherwise(0.5 * (F.sqrt(F.pow(f, F.lit(4)) + 4 * f * f) - f * f))
 
 
-def double_ml(df: DataFrame, outcome: str, treatment: str, numeric: Sequence[str], *, binary: bool = False, folds: int = 5, iterations: int = 20, depth: int = 3, seed: int = 0) -> DataFrame:
+def double_ml(df: DataFrame, outcome: str, treatment: str, numeric: Sequence[str], *, binary: bool = False, folds: int = 5, iterations: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 0) -> DataFrame:
     """Partially linear effect from cross-fitted residuals: theta, robust error, interval, t and robustness values."""
     rows = _prepared(df, numeric, [outcome, treatment], folds, seed)
-    got = cross_fit(rows, {"__my": (outcome, None, "true"), "__md": (treatment, RESIDUAL_CLIP if binary else None, "true")}, folds, iterations, depth)
+    got = cross_fit(rows, {"__my": (outcome, None, "true"), "__md": (treatment, RESIDUAL_CLIP if binary else None, "true")}, folds, iterations, depth, rate)
     r = got.select((F.col(outcome) - F.col("__my")).alias("ry"), (F.col(treatment) - F.col("__md")).alias("rd"))
     sums = r.agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col("rd") * F.col("ry")), F.nullif(F.sum(F.col("rd") * F.col("rd")), F.lit(0.0))).alias("theta"))
     psi = (F.col("ry") - F.col("theta") * F.col("rd")) * F.col("rd")
@@ -198,15 +202,15 @@ def double_ml(df: DataFrame, outcome: str, treatment: str, numeric: Sequence[str
     return out.select("n", "theta", "se", (F.col("theta") - CRITICAL * F.col("se")).alias("ci_low"), (F.col("theta") + CRITICAL * F.col("se")).alias("ci_high"), "t", robustness_value(F.col("t"), F.col("n") - 1).alias("rv"), robustness_value(F.col("t"), F.col("n") - 1, CRITICAL).alias("rv_alpha"))
 
 
-def uplift(df: DataFrame, outcome: str, treated: str, numeric: Sequence[str], *, folds: int = 5, iterations: int = 20, depth: int = 3, seed: int = 0) -> DataFrame:
+def uplift(df: DataFrame, outcome: str, treated: str, numeric: Sequence[str], *, folds: int = 5, iterations: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 0, effect_iterations: int | None = None) -> DataFrame:
     """``npi, phi, tau``: doubly robust pseudo-outcomes and effects by account, both out of fold."""
     rows = _prepared(df, numeric, [outcome, treated], folds, seed)
-    got = cross_fit(rows, {"e": (treated, UPLIFT_CLIP, "true"), "m1": (outcome, None, f"{treated} = 1"), "m0": (outcome, None, f"{treated} = 0")}, folds, iterations, depth)
+    got = cross_fit(rows, {"e": (treated, UPLIFT_CLIP, "true"), "m1": (outcome, None, f"{treated} = 1"), "m0": (outcome, None, f"{treated} = 0")}, folds, iterations, depth, rate)
     t, y, e, m1, m0 = (F.col(c) for c in (treated, outcome, "e", "m1", "m0"))
     got = got.withColumn("phi", m1 - m0 + t * (y - m1) / e - (1 - t) * (y - m0) / (1 - e))
     edge = got.agg(F.percentile_approx("phi", [0.01, 0.99], 10_000).alias("q"))
     wins = got.join(F.broadcast(edge)).withColumn("__z", F.least(F.greatest("phi", F.col("q")[0]), F.col("q")[1])).select("npi", "x", "fold", "phi", "__z")  # one row
-    return cross_fit(wins, {"tau": ("__z", None, "__z is not null")}, folds, iterations, depth).select("npi", "phi", "tau")
+    return cross_fit(wins, {"tau": ("__z", None, "__z is not null")}, folds, effect_iterations or iterations, depth, rate).select("npi", "phi", "tau")
 
 
 def qini(effects: DataFrame, points: int = 40) -> DataFrame:
@@ -223,10 +227,10 @@ def uplift_deciles(effects: DataFrame) -> DataFrame:
     return cut.groupBy("decile").agg(F.avg("tau").alias("predicted"), F.avg("phi").alias("observed"), (F.stddev_samp("phi") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n"))
 
 
-def challenger(df: DataFrame, target: str, numeric: Sequence[str], *, iterations: int = 20, depth: int = 3, folds: int = 5, seed: int = 0) -> DataFrame:
+def challenger(df: DataFrame, target: str, numeric: Sequence[str], *, iterations: int = 20, depth: int = 3, rate: float = 0.1, folds: int = 5, seed: int = 0) -> DataFrame:
     """``npi, predicted``: squared-loss boosting of a growth column, out of fold."""
     rows = _prepared(df, numeric, [target], folds, seed)
-    return cross_fit(rows, {"predicted": (target, None, "true")}, folds, iterations, depth).select("npi", "predicted")
+    return cross_fit(rows, {"predicted": (target, None, "true")}, folds, iterations, depth, rate).select("npi", "predicted")
 
 
 def tau_sensitivity(df: DataFrame, score, taus: Sequence[float], base: float = 0.8, **options: float) -> DataFrame:

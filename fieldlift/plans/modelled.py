@@ -1,4 +1,4 @@
-"""Queries of the fitted models over the bound tables; SQL can't express them. They grow few trees to stay short."""
+"""Queries of the fitted models over the bound tables; SQL can't express them. They have the reference's settings."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from .core import _panel
 from .registry import query
 
 Spark = SparkSession
-SHORT = {"trees": 10, "rate": 0.3}
-FEW = {"iterations": 3}
+NUISANCE = {"iterations": 200, "depth": 6, "rate": 0.06}
+CHALLENGER = {"iterations": 300, "depth": 4, "rate": 0.05}
 COVARIATES = ["log_panel_benes", "log_non_class_clms", "risk_score", "class_fills", "brand_fills"]
 
 
@@ -32,51 +32,51 @@ def _causal(s: Spark, d: str) -> DataFrame:
 @query(None)
 def d9_d10_boosted_frontier(s: Spark, d: str) -> DataFrame:
     m = _fit_rows(s, d)
-    return models.fit_frontier(m, **SHORT).predict(m)
+    return models.fit_frontier(m).predict(m)
 
 
 @query(None)
 def d9_frontier_coverage(s: Spark, d: str) -> DataFrame:
     m = _fit_rows(s, d)
-    return models.coverage(m, models.fit_frontier(m, **SHORT))
+    return models.coverage(m, models.fit_frontier(m))
 
 
 @query(None)
 def d13_linear_crosscheck(s: Spark, d: str) -> DataFrame:
     m = _fit_rows(s, d)
-    return backtest.spearman(models.linear_frontier(m).join(models.fit_frontier(m, **SHORT).predict(m), "npi"), "linear_frontier", "frontier")
+    return backtest.spearman(models.linear_frontier(m).join(models.fit_frontier(m).predict(m), "npi"), "linear_frontier", "frontier")
 
 
 @query(None)
 def d14_permutation_importance(s: Spark, d: str) -> DataFrame:
     m = _fit_rows(s, d)
-    return models.permutation_importance(m, models.fit_frontier(m, **SHORT))
+    return models.permutation_importance(m, models.fit_frontier(m))
 
 
 @query(None)
 def d15_tau_sensitivity(s: Spark, d: str) -> DataFrame:
     m = _fit_rows(s, d)
     bench = models.materialise(market.peer_benchmark(T.mart(s, d)))
-    return models.tau_sensitivity(m, lambda f: O.score(m, bench, f, ["npi"]), [0.75, 0.85], trees=5, rate=0.5)
+    return models.tau_sensitivity(m, lambda f: O.score(m, bench, f, ["npi"]), [0.75, 0.85])
 
 
 @query(None)
 def d30_ev2_challenger_ladder(s: Spark, d: str) -> DataFrame:
     p = models.materialise(_causal(s, d))
-    p = p.join(models.challenger(p, "growth_abs", COVARIATES, **FEW), "npi", "left")
+    p = p.join(models.challenger(p, "growth_abs", COVARIATES, **CHALLENGER), "npi", "left")
     return backtest.evaluate_rules(p, {"volume": "class_fills", "frontier": "opportunity", "challenger": "predicted"}, 100)
 
 
 @query(None)
 def rs14_rs15_double_ml(s: Spark, d: str) -> DataFrame:
-    return models.double_ml(_causal(s, d), "growth_share", "log_pay", COVARIATES, **FEW)
+    return models.double_ml(_causal(s, d), "growth_share", "log_pay", COVARIATES, **NUISANCE)
 
 
 @query(None)
 def rs17_rs18_uplift_deciles(s: Spark, d: str) -> DataFrame:
-    return models.uplift_deciles(models.uplift(_causal(s, d), "growth_share", "treated", COVARIATES, **FEW))
+    return models.uplift_deciles(models.uplift(_causal(s, d), "growth_share", "treated", COVARIATES, effect_iterations=150, **NUISANCE))
 
 
 @query(None)
 def rs18_qini(s: Spark, d: str) -> DataFrame:
-    return models.qini(models.uplift(_causal(s, d), "growth_share", "treated", COVARIATES, **FEW))
+    return models.qini(models.uplift(_causal(s, d), "growth_share", "treated", COVARIATES, effect_iterations=150, **NUISANCE))

@@ -48,3 +48,33 @@ def test_uplift_orders_effects(accounts):
     assert q[0.5]["uplift_model"] > q[0.5]["uplift_random"]
     assert models.qini(e.limit(0)).count() == 41
     assert {r["n"] for r in models.uplift_deciles(e).collect()} == {150}
+
+
+def test_registered_settings(spark, monkeypatch):
+    from fieldlift.plans import registry
+    from fieldlift.plans import modelled  # isort: skip
+
+    assert "d15_tau_sensitivity" in registry.QUERIES
+
+    seen = []
+    catch = lambda name: lambda *a, **k: seen.append((name, k.get("trees", k.get("iterations")), k.get("rate"), k.get("effect_iterations")))
+    for name in ("tau_sensitivity", "double_ml", "uplift"):
+        monkeypatch.setattr(models, name, catch(name))
+    for name in ("materialise", "uplift_deciles", "coverage"):
+        monkeypatch.setattr(models, name, lambda *a: None)
+    monkeypatch.setattr(models, "fit_frontier", catch("fit_frontier"))
+    monkeypatch.setattr(modelled.market, "peer_benchmark", lambda m: None)
+    monkeypatch.setattr(modelled.T, "mart", lambda s, d: None)
+    for name in ("_causal", "_fit_rows"):
+        monkeypatch.setattr(modelled, name, lambda s, d: None)
+    for q in (modelled.d9_frontier_coverage, modelled.d15_tau_sensitivity, modelled.rs14_rs15_double_ml, modelled.rs17_rs18_uplift_deciles):
+        q(spark, "")
+    # No argument: 300 trees at rate 0.05.
+    assert seen == [("fit_frontier", None, None, None), ("tau_sensitivity", None, None, None), ("double_ml", 200, 0.06, None), ("uplift", 200, 0.06, 150)]
+
+
+def test_prediction_in_parts(accounts, monkeypatch):
+    m = models.fit_frontier(accounts, trees=3, rate=0.3)
+    whole = {r["npi"]: r["frontier"] for r in m.predict(accounts).collect()}
+    monkeypatch.setattr(models, "PREDICT_CUT", 1)
+    assert {r["npi"]: r["frontier"] for r in m.predict(accounts).collect()} == whole
