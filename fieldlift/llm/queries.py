@@ -16,8 +16,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every later occurrence of a sentence; ``op1_substring_dedup`` and its SQL hold lines in runs of 50 words."""
-    return substring_dedup.later_occurrences(table(spark, sf_dir, "documents"), sentences=True)
+    """Every later occurrence of a unit; ``op1_substring_dedup`` returns those in runs that are long enough."""
+    return substring_dedup.later_occurrences(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,17 +80,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op1_substring_dedup": r"""
-WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+#: Later occurrences of units. White space behind a sentence's mark becomes a line end of the same length; behind full-width
+#: marks a line end is put in, marked by U+E000, which belongs to no text.
+_LATER = r"""p AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '([.!?\x{2026}])[\x20\x09-\x0D]', E'\\1\n', 'g'), '([\x{3002}\x{FF01}\x{FF1F}]+)([^\x{3002}\x{FF01}\x{FF1F}\n])', '\1' || chr(57344) || chr(10) || '\2', 'g') AS x FROM documents),
+l AS (SELECT doc_id, string_split(x, chr(10)) AS ls FROM p),
 a AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM l),
-o AS (SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s,
-        regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM a),
+z AS (SELECT doc_id, i, rtrim(line, chr(57344)) AS line, CASE WHEN ends_with(line, chr(57344)) THEN 0 ELSE 1 END AS gap FROM a),
+o AS (SELECT doc_id, i, line, coalesce(sum(length(line) + gap) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s,
+        regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM z),
 u AS (SELECT doc_id, s, s + length(line) AS e, len(w) AS words, array_to_string(w, ' ') AS k, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS unit FROM o WHERE len(w) > 0),
 r AS (SELECT *, min(doc_id) OVER (PARTITION BY k) AS first_doc_id, row_number() OVER (PARTITION BY k ORDER BY doc_id, unit) AS rn FROM u),
 d AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM r WHERE rn > 1),
-t AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS run_words FROM d)
-SELECT doc_id, unit::INT AS unit, s AS start_char, e AS end_char, words::BIGINT AS n_words, run_words::BIGINT AS run_words, first_doc_id FROM t WHERE run_words >= 50""",
+t AS (SELECT doc_id, unit::INT AS unit, s AS start_char, e AS end_char, words::BIGINT AS n_words, (sum(words) OVER (PARTITION BY doc_id, run))::BIGINT AS run_words, first_doc_id FROM d)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": f"WITH {_LATER} SELECT * FROM t WHERE run_words >= 35",
+    "op1_repeated_sentences": f"WITH {_LATER} SELECT *, run_words >= 35 AS removed FROM t",
     "op4_chat_formatting": r"""
 WITH c AS (SELECT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),

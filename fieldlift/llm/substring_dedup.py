@@ -1,14 +1,14 @@
 """Substring deduplication by line hashing.
 
-Texts are cut into lines; a line with words is a unit. Units are normalised (A-Z lower-cased, white space to single
-spaces), their 128-bit digests are grouped over all documents, and the occurrence with the smallest (document, line)
-stays. Later occurrences are removed where a run of adjacent ones has at least ``min_words`` words, so passages of
-several lines are caught and short lines that texts share by chance or custom stay. Original offsets are retained.
-``later_occurrences`` returns every later occurrence, flagged where that rule removes it. With ``sentences`` the units are
-the sentences inside the lines, so a run also counts the parts of a passage in its first and last line.
-
-Lines move as digests. Groups meet in partial aggregates and in an equi-join that AQE splits; only what repeats goes on
-to the run lengths, which are computed per document.
+Texts are cut into lines and, inside them, at the ends of sentences; what has words is a unit. Units are normalised (A-Z
+lower-cased, white space to single spaces), their 128-bit digests are grouped over all documents, and the occurrence
+ranked first by (document, unit) stays. Later occurrences are removed where a run of adjacent ones has at least
+``min_words`` words, so short units that texts share by chance or custom stay. A passage that begins and ends inside a
+unit loses its first and last part from the count: the threshold is 35 words so that passages of over 50 are caught.
+Original offsets are retained. ``later_occurrences`` returns every later occurrence, flagged where that rule removes it.
+
+Units move as digests. Groups meet in partial aggregates, are written, and are joined by a plain equi-join that AQE splits;
+only what repeats goes on to the run lengths, which are computed per document.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .shingles import LOWER, WORD_BYTES
 
-MIN_WORDS = 50
+MIN_WORDS = 35
 LINE_END = re.compile("\n")
 #: A line end, the space behind a sentence's last mark, or the place behind a full-width mark.
 SENTENCE_END = re.compile("\n|(?<=[.!?\u2026])[\x20\x09-\x0D]|(?<=[\u3002\uff01\uff1f])(?![\u3002\uff01\uff1f\n])")
@@ -50,46 +51,55 @@ def units(text: str | None, sentences: bool = False) -> list[tuple[int, int, int
 
 
 def _unit_rows(sentences: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-    names = ["doc_id", "unit", "start", "end", "words", "h1", "h2", "first"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    names = ["doc_id", "h", "unit", "start", "end", "words", "h1", "h2", "first"]
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(ident, *u) for u in units(text, sentences)]
+            for ident, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(ident, h, *u) for u in units(text, sentences)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     return rows_of
 
 
-def later_occurrences(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", sentences: bool = False) -> DataFrame:
+def _later(docs: DataFrame, min_words: int, id_col: str, text_col: str, sentences: bool) -> DataFrame:
+    """Later occurrences by document, which is an id (or none) and the hash ``h`` of a text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    found = rows.mapInArrow(_unit_rows(sentences), "doc_id long, h long, unit int, start long, end long, words long, h1 long, h2 long, first boolean")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    groups = materialise(found.groupBy("h1", "h2").agg(F.min(key).alias("low"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    later = found.join(groups, ["h1", "h2"]).where(~key.eqNullSafe(F.col("low")) | ~F.col("first"))
+    once = later.groupBy("doc_id", "h", "unit").agg(*[F.min(c).alias(c) for c in ("start", "end", "words")], F.min("low.doc_id").alias("first_doc_id"))
+    runs = once.withColumn("run", F.col("unit") - F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("unit")))
+    return runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "h", "run"))).withColumn("removed", F.col("run_words") >= min_words)
+
+
+def later_occurrences(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", sentences: bool = True) -> DataFrame:
     """One row per later occurrence of a unit: ``doc_id, unit, start_char, end_char, n_words, run_words, first_doc_id, removed``.
 
     ``removed`` is false where the run of adjacent later occurrences has fewer than ``min_words`` words. A null, empty or
-    blank text has no unit. Rows that repeat an id are one document, whose earliest copy of a unit stays in each row; rows
-    without an id rank last. Other columns aren't read.
+    blank text has no unit. Rows that repeat id and text are one document; rows that share an id but not the text are
+    documents of their own, ranked by the texts' hashes; rows without an id rank last. Other columns aren't read.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = rows.mapInArrow(_unit_rows(sentences), "doc_id long, unit int, start long, end long, words long, h1 long, h2 long, first boolean")
-    groups = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = lines.join(groups, ["h1", "h2"]).where("doc_id <> first_doc_id or not first").drop("h1", "h2", "first")
-    per_doc = Window.partitionBy("doc_id").orderBy("unit")
-    runs = later.withColumn("run", F.col("unit") - F.dense_rank().over(per_doc))
-    runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run")))
-    ident = F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id"))
-    return runs.select(ident.alias("doc_id"), "unit", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("words").alias("n_words"), "run_words", "first_doc_id", (F.col("run_words") >= min_words).alias("removed"))
-
-
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", sentences: bool = False) -> DataFrame:
+    out = _later(docs, min_words, id_col, text_col, sentences)
+    return out.select("doc_id", "unit", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("words").alias("n_words"), "run_words", "first_doc_id", "removed")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", sentences: bool = True) -> DataFrame:
     """The removed ones of ``later_occurrences``, without the flag."""
     return later_occurrences(docs, min_words, id_col, text_col, sentences).where("removed").drop("removed")
 
 
 def remove_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", sentences: bool = True) -> DataFrame:
-    """``docs`` with the repeated sentences, or else lines, cut out of the text, and their original offsets in ``removed_spans``."""
-    spans = repeated_passages(docs, min_words, id_col, text_col, sentences).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("removed_spans"))
-    out = docs.join(spans.withColumnRenamed("doc_id", "__id"), docs[id_col] == F.col("__id"), "left").drop("__id")
+    """``docs`` with the repeated units cut out of the text, and their original offsets in ``removed_spans`` (null: none).
+
+    A column ``removed_spans`` that ``docs`` has is replaced. Rows that repeat id and text lose the same spans.
+    """
+    span = F.struct(F.col("start").alias("start_char"), F.col("end").alias("end_char"))
+    cuts = _later(docs, min_words, id_col, text_col, sentences).where("removed").groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.array_sort(F.collect_list(span)).alias("__spans"))
+    out = docs.join(cuts, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__h")), "left").withColumn("__text", F.col(text_col))
     # A removed unit goes with the line end or space behind it.
-    cut = "aggregate(removed_spans, struct('' as s, 1L as at), (a, x) -> struct(a.s || substring(__text, cast(a.at as int), cast(greatest(x.start_char + 1 - a.at, 0) as int)) as s, x.end_char + 1 + if(substring(__text, cast(x.end_char + 1 as int), 1) rlike '\\\\s', 1, 0) as at), a -> a.s || substring(__text, cast(a.at as int)))"
-    return out.withColumn("__text", F.col(text_col)).withColumn(text_col, F.when(F.col("removed_spans").isNull(), F.col("__text")).otherwise(F.expr(cut))).drop("__text")
+    cut = "aggregate(__spans, struct('' as s, 1L as at), (a, x) -> struct(a.s || substring(__text, cast(a.at as int), cast(greatest(x.start_char + 1 - a.at, 0) as int)) as s, x.end_char + 1 + if(substring(__text, cast(x.end_char + 1 as int), 1) rlike '\\\\s', 1, 0) as at), a -> a.s || substring(__text, cast(a.at as int)))"
+    return out.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col("__text")).otherwise(F.expr(cut))).withColumn("removed_spans", F.col("__spans")).drop("__id", "__h", "__spans", "__text")
