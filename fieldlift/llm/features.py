@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import xxhash
@@ -28,9 +28,10 @@ class HashedFeatures(dict):
         value = self[word] = tuple(found if self.used is None else (i for i in found if i in self.used))
         return value
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Sorted distinct feature indices of a whole text."""
+    def of(self, text: str | None, extra: Iterable[str] = ()) -> np.ndarray:
+        """Sorted distinct feature indices of a whole text, and of ``extra`` features, which no word can spell."""
         found = set().union(*map(self.__getitem__, set(TOKEN.findall(text or ""))))
+        found.update(xxhash.xxh32_intdigest(e, seed=1) % self.dimensions for e in extra)
         return np.array(sorted(found), np.int32)
 
 
@@ -39,7 +40,7 @@ class Rows:
 
     def __init__(self, rows: list[np.ndarray]):
         self.n = len(rows)
-        self.columns = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        self.columns = np.concatenate(rows).astype(np.int32, copy=False) if rows else np.empty(0, np.int32)
         self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
 
     def dot(self, weights: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@
 Overlapping heuristic labellers vote good, bad or abstain on each whole text. The votes of all documents are counted by
 pattern (at most 3 to the number of labellers, whatever the corpus size), and expectation-maximisation on those counts
 estimates the share of good documents and each labeller's vote probabilities given the truth. A document's posterior
-trains a linear scorer on hashed features, on at most ``max_rows`` documents with the smallest hash of the id.
+trains a linear scorer on hashed features, on at most ``max_rows`` distinct texts, those with the smallest hash.
 """
 
 from __future__ import annotations
@@ -20,33 +20,54 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .features import DIMENSIONS, TOKEN, HashedFeatures, Rows, sigmoid
 
-MAX_ROWS = 5_000
+MAX_ROWS = 12_000
 KEEP_AT = 0.5
 LABELLERS = ("symbols", "capitals", "adjacent_repeats", "few_distinct", "bars", "word_length", "sentence_ends")
 _SYMBOLS = "%$&*#|!^~=<>{}\\_@+"
 _ENDS = re.compile(r"[.,;:?!](?=[\x20\x09-\x0D]|\Z)")
-#: Letter case and digits of ASCII; every other sign above it counts as a small letter.
-_SHAPE = bytes(65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b > 127 else b for b in range(256))
 
 
-def _statistics(words: list[str]) -> tuple[float, float, float, float]:
-    """Shares of words that repeat the one before, distinct words in windows of 100, bars, and words in capitals."""
+class _Shapes(dict):
+    """Code point to the sign of its kind: capital, digit, other letter; other signs stand for themselves."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        value = self[code] = "A" if c.isupper() else "0" if c.isdigit() else "a" if c.isalpha() else c
+        return value
+
+
+_SHAPES = _Shapes()
+
+
+def _statistics(words: list[str]) -> tuple[float, float, float]:
+    """Shares of words that repeat the one before, distinct words in windows of 100, and bars."""
     n = max(1, len(words))
     windows = [words[i : i + 100] for i in range(0, len(words), 100) if len(words) - i >= 50 or i == 0]
     distinct = sum(len(set(w)) / len(w) for w in windows) / len(windows) if windows else 1.0
-    return sum(map(eq, words, words[1:])) / n, distinct, words.count("|") / n, sum(map(str.isupper, words)) / n
+    return sum(map(eq, words, words[1:])) / n, distinct, words.count("|") / n
 
 
-def votes(text: str | None) -> str:
+class Profile:
+    """What labellers and features share of a whole text."""
+
+    def __init__(self, text: str | None):
+        self.text = text or ""
+        self.words = TOKEN.findall(self.text)
+        self.shapes = self.text.translate(_SHAPES)
+        self.repeats, self.distinct, self.bars = _statistics(self.words)
+
+
+def votes(of: Profile) -> str:
     """A digit per labeller: 0 abstains, 1 bad, 2 good. Texts of fewer than 5 words get no vote."""
-    words = TOKEN.findall(text or "")
-    n = len(words)
+    n = len(of.words)
     if n < 5:
         return "0" * len(LABELLERS)
-    chars = sum(map(len, words))
-    symbols = sum(map(text.count, _SYMBOLS)) / chars
-    repeats, distinct, bars, upper = _statistics(words)
-    length, ends = chars / n, len(_ENDS.findall(text)) / n
+    chars = sum(map(len, of.words))
+    symbols = sum(map(of.text.count, _SYMBOLS)) / chars
+    capitals = of.shapes.count("A")
+    upper = capitals / max(1, capitals + of.shapes.count("a"))
+    repeats, distinct, bars = of.repeats, of.distinct, of.bars
+    length, ends = chars / n, len(_ENDS.findall(of.text)) / n
 
     def vote(value: float, bad: bool, good: bool) -> str:
         return "1" if bad else "2" if good else "0"
@@ -113,18 +134,14 @@ def expectation_maximisation(patterns: list[str], counts: np.ndarray, rounds: in
 
 
 def names(shape: str) -> list[str]:
-    """A word's shape whole, at its end and at its start, and its length; statistics stand as they are."""
-    if shape[0] == "\x01":
-        return [shape]
+    """A word's shape whole, at its end and at its start, and its length."""
     return ["s" + shape[:12], "e" + shape[-3:], "b" + shape[:2], f"l{min(len(shape), 20)}"]
 
 
-def features(text: str | None, hashed: HashedFeatures) -> np.ndarray:
-    """Features of the words' shapes, and repetition, bars and capitals in steps."""
-    text = text or ""
-    repeats, distinct, bars, upper = _statistics(TOKEN.findall(text))
-    shapes = text.encode().translate(_SHAPE).decode()
-    return hashed.of(f"{shapes} \x01repeat{int(20 * repeats)} \x01distinct{int(10 * distinct)} \x01bars{int(20 * bars)} \x01upper{int(10 * upper)}")
+def features(of: Profile, hashed: HashedFeatures) -> np.ndarray:
+    """Features of the words' shapes, and repetition, bars and words in capitals in steps."""
+    upper = sum(map(str.isupper, of.words)) / max(1, len(of.words))
+    return hashed.of(of.shapes, (f"repeat{int(20 * of.repeats)}", f"distinct{int(10 * of.distinct)}", f"bars{int(20 * of.bars)}", f"upper{int(10 * upper)}"))
 
 
 def fit_linear(rows: list[np.ndarray], target: np.ndarray, steps: int = 150, l2: float = 1e-4, rate: float = 0.5) -> tuple[np.ndarray, float]:
@@ -145,30 +162,38 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, steps: int = 150, l2:
 def vote_column(text: str) -> Column:
     @F.pandas_udf("string")
     def cast(texts: pd.Series) -> pd.Series:
-        return texts.map(votes, na_action=None).astype("object")
+        return pd.Series([votes(Profile(t)) for t in texts], dtype="object")
 
     return cast(text)
 
 
-def feature_column(text: str) -> Column:
-    @F.pandas_udf("array<int>")
-    def extract(texts: pd.Series) -> pd.Series:
-        hashed = HashedFeatures(names)
-        return pd.Series([features(t, hashed).tolist() for t in texts])
+def training_column(text: str) -> Column:
+    """A struct of votes and feature indices."""
+
+    @F.pandas_udf("votes string, f array<int>")
+    def extract(texts: pd.Series) -> pd.DataFrame:
+        hashed, of = HashedFeatures(names), [Profile(t) for t in texts]
+        return pd.DataFrame({"votes": [votes(p) for p in of], "f": [features(p, hashed) for p in of]})
 
     return extract(text)
 
 
 def scorer(text: Column, weights: np.ndarray, bias: float) -> Column:
+    """A struct of votes and score."""
     used = np.flatnonzero(weights)
     values = weights[used]
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("votes string, score double")
+    def score(texts: pd.Series) -> pd.DataFrame:
         w, hashed = np.zeros(DIMENSIONS), HashedFeatures(names)
         w[used] = values
-        got = [features(t, hashed) for t in texts]
-        return pd.Series(sigmoid(np.array([w[f].sum() / np.sqrt(max(1, len(f))) + bias for f in got], float)))
+        cast, sums = [], []
+        for t in texts:
+            of = Profile(t)
+            f = features(of, hashed)
+            cast.append(votes(of))
+            sums.append(w[f].sum() / np.sqrt(max(1, len(f))) + bias)
+        return pd.DataFrame({"votes": cast, "score": sigmoid(np.array(sums, float))})
 
     return score(text)
 
@@ -177,17 +202,21 @@ def quality(docs: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", t
     """One row per input row: ``doc_id, votes, posterior, score, kept``.
 
     ``posterior`` is the label model's probability that the text is good, ``score`` the trained scorer's; ``kept`` is
-    a score of at least 0.5. Null, empty and very short texts get no votes and the prior as posterior. Repeated rows get
-    equal values. An empty table gives an empty result. Other columns aren't read.
+    a score of at least 0.5. Null, empty and very short texts get no votes and the posterior of a text without votes.
+    Repeated rows get equal values, and a text that repeats trains once. An empty table gives an empty result. Other
+    columns aren't read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    voted = rows.withColumn("votes", vote_column("text"))
-    counted = materialise(voted.groupBy("votes").agg(F.count("*").alias("n"))).toPandas()  # at most 3 ** len(LABELLERS) rows
+    counted = materialise(rows.groupBy(vote_column("text").alias("votes")).agg(F.count("*").alias("n"))).toPandas()  # at most 3 ** len(LABELLERS) rows
     model = expectation_maximisation(counted["votes"].tolist(), counted["n"].to_numpy())
     known = dict(zip(counted["votes"], model.posterior(counted["votes"].tolist()).tolist(), strict=True))
-    sample = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).dropDuplicates(["doc_id"])
-    train = rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", vote_column("text").alias("votes"), feature_column("text").alias("f")).toPandas().sort_values("doc_id", kind="stable")
-    weights, bias = fit_linear([np.asarray(f, np.int32) for f in train["f"]], np.array([known[v] for v in train["votes"]]))
+    hashed = rows.where("text is not null").select(F.xxhash64("text").alias("h"), "text")
+    sample = hashed.select("h").distinct().orderBy("h").limit(max_rows)
+    texts = hashed.join(F.broadcast(sample), "h").groupBy("h").agg(F.min("text").alias("text"))  # max_rows rows of one long each
+    train = texts.select("h", training_column("text").alias("t")).select("h", "t.votes", "t.f").toArrow().sort_by("h")
+    flat = train["f"].combine_chunks()
+    f = np.split(flat.values.to_numpy(), flat.offsets.to_numpy()[1:-1]) if len(flat) else []
+    weights, bias = fit_linear(f, np.array([known[v] for v in train["votes"].to_pylist()]))
     posteriors = docs.sparkSession.createDataFrame(pd.DataFrame({"votes": list(known), "posterior": list(known.values())}), "votes string, posterior double")
-    out = voted.withColumn("score", scorer(F.col("text"), weights, bias)).drop("text").join(F.broadcast(posteriors), "votes", "left")
+    out = rows.select("doc_id", scorer(F.col("text"), weights, bias).alias("s")).select("doc_id", "s.votes", "s.score").join(F.broadcast(posteriors), "votes", "left")
     return out.select("doc_id", "votes", "posterior", "score", (F.col("score") >= KEEP_AT).alias("kept"))
