@@ -5,14 +5,17 @@ byte: two bits each give the number of data bytes, 1 to 4. Control and data byte
 which Spark writes as Parquet in ascending id order with the document index of each block. Decoding looks the lengths of
 four values up by control byte in a numpy table.
 
-Texts are encoded once. Pieces between white space are encoded on their own and remembered: the tokenizer drops white
-space and no token spans it, so the pieces' ids in a row are the text's ids (tests compare whole texts).
+Texts are encoded once. Pieces between white space are remembered with the ids that the whole tokenizer gives them: it
+drops white space and no token spans it, so the pieces' ids in a row are the text's ids (tests compare whole texts, with
+every code point of the basic plane).
+
+Order is a range partitioning by (id, hash of the tokens, row), so neither one id nor one text has to fit a task. A
+document's start is the sum of the range partitions before its own (one row each) and of the blocks before it inside.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 import uuid
@@ -22,16 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, materialise
+from .common import ensure_checkpoint_dir, stored
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
-#: Documents of a shard, about.
-SHARD_DOCS = 8192
-PIECE_LIMIT = 600_000
+#: Pieces, and words, that a process remembers; words that go through the tokenizer at a time.
+PIECE_LIMIT, LEARN = 500_000, 8_192
 #: Byte lengths of the four values of each control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -55,53 +58,72 @@ def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-#: Latin text without odd white space; the others are encoded whole.
-_ODD = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\u024f]|<\\|")
-#: The tokenizer's split pattern, as it reads for lower-case characters below U+0250.
-_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\u024f]+")
+#: A word that is one token of its own, between words that are learned; a word with it in it is encoded alone.
+_BETWEEN = "\u2022"
+_MARKS, _LETTERS = frozenset(b".,;:!?"), frozenset(b"abcdefghijklmnopqrstuvwxyz")
+
+
+def _word(piece: bytes) -> bytes:
+    """A piece in lower case if it is ASCII and can't hold a special token, without a mark behind its last letter."""
+    if piece.isascii() and b"<|" not in piece:
+        piece = piece.lower()
+    return piece[:-1] if piece[-1] in _MARKS and piece[-2:-1] and piece[-2] in _LETTERS else piece
 
 
 class Pieces(dict):
-    """Piece of text to its ids as bytes of unsigned 32-bit integers; ``PIECE_LIMIT`` pieces at most.
+    """Piece of text between ASCII white space to its ids as bytes of unsigned 32-bit integers; ``PIECE_LIMIT`` pieces at most.
 
-    Text is lower-cased and cut at white space, and pieces not met before are cut into the tokenizer's own words, which
-    go through its model in one call without the normaliser and split pattern that they have passed already. Every word
-    ends in a token that closes words, which gives the pieces' ids back. A text with any character for which these steps
-    could differ goes through the whole tokenizer.
+    The tokenizer drops white space, no token spans it, and none of its steps looks across it. It puts ASCII in lower
+    case, and a mark behind a letter is a word of its own, so pieces that differ by that are learned once. What isn't
+    known goes through the whole tokenizer, ``LEARN`` words at a time, each behind a word whose one token shows where it
+    begins.
     """
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Tokenizer.from_file(path)
-        self.words.normalizer = normalizers.Sequence([])
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocab = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocab.values()) + 1, bool)
-        self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        units = [_UNIT.findall(p) for p in new]
-        ids = np.array(self.words.encode_batch_fast([" ".join(u for own in units for u in own)], add_special_tokens=False)[0].ids, "<u4")
-        last = np.r_[0, np.flatnonzero(self.closes[ids]) + 1]
-        bounds = (4 * last[np.cumsum([0, *map(len, units)])]).tolist()
-        raw = ids.tobytes()
-        return {p: raw[a:b] for p, a, b in zip(new, bounds, bounds[1:], strict=False)}
+        self.between = self._ids(_BETWEEN)
+        if len(self.between) != 1:
+            raise ValueError("the word between words has to be one token")
+        self.width = "<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4"
+        self.words: dict[bytes, bytes] = {}
+        self.marks = {bytes([m]): self._ids(chr(m)).tobytes() for m in _MARKS}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        alone = {w for w in new if _BETWEEN.encode() in w}
+        out = {w: self._ids(w.decode()).tobytes() for w in alone}
+        new = [w for w in new if w not in alone] if alone else new
+        mark = f" {_BETWEEN} ".encode()
+        for at in range(0, len(new), LEARN):
+            part = new[at : at + LEARN]
+            ids = self._ids((mark + mark.join(part)).decode())
+            raw, starts = ids.tobytes(), (4 * np.flatnonzero(ids == self.between[0])).tolist()
+            out |= {w: raw[a + 4 : b] for w, a, b in zip(part, starts, [*starts[1:], len(raw)], strict=True)}
+        return out
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         end = np.array([end_id], "<u4").tobytes()
-        split = [None if t and _ODD.search(t) else t.lower().split() if t else [] for t in texts]
-        new = list({p for pieces in split if pieces for p in pieces}.difference(self))
-        got = self._learn(new) if new else {}
+        split = [t.encode().split() if t else [] for t in texts]
+        new = list(set().union(*split).difference(self))
+        words, known = [*map(_word, new)], self.words
+        learned = self._learn(list(set(words).difference(known)))
+        known.update(learned)
+        got = {p: known[w] if len(w) == len(p) else known[w] + self.marks[p[-1:]] for p, w in zip(new, words, strict=True)}
         self.update(got)
-        odd = iter(self.tokenizer.encode_batch_fast([t for t, pieces in zip(texts, split, strict=True) if pieces is None], add_special_tokens=False))
-        out = [np.array(next(odd).ids, "<u4").tobytes() + end if pieces is None else b"".join([*map(self.__getitem__, pieces), end]) for pieces in split]
-        if len(self) > PIECE_LIMIT:  # the first to come are the frequent ones: they stay
+        out = [b"".join([*map(self.__getitem__, pieces), end]) for pieces in split]
+        # The first to come are the frequent ones: they stay.
+        if len(self) > PIECE_LIMIT:
             for p in got:
                 del self[p]
+        if len(known) > PIECE_LIMIT:
+            for w in learned:
+                del known[w]
         return out
 
 
@@ -113,65 +135,51 @@ def _pieces(path: str) -> Pieces:
     return memory.__dict__[path]
 
 
-def _narrow(ids: bytes) -> bytes:
-    """Ids below 65536 as unsigned 16-bit integers behind a byte 2, others as they are behind a byte 4."""
-    values = np.frombuffer(ids, "<u4")
-    return b"\x02" + values.astype("<u2").tobytes() if values.max() < 1 << 16 else b"\x04" + ids
-
-
-def _wide(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, "<u2" if ids[0] == 2 else "<u4", offset=1)
-
-
-def _tokenise(path: str, end_id: int, cuts: np.ndarray):
-    """``cuts``: ascending ids where shards begin."""
-
+def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):  # pieces of few texts at a time are held besides those remembered
                 part = batch.slice(at, 1024)
-                shard = np.searchsorted(cuts, np.array([-(1 << 63) if i is None else i for i in part.column(0).to_pylist()], np.int64), side="right")
-                ids = [_narrow(x) for x in pieces.encode(part.column(1).to_pylist(), end_id)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shard, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "shard", "ids"])
+                ids = [np.frombuffer(x, "<u4").astype(pieces.width).tobytes() for x in pieces.encode(part.column(1).to_pylist(), end_id)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch.column(0).to_pylist():
-            n = np.bincount(_wide(ids))
+def _count_ids(width: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), width))
             if len(n) > len(total):
                 total = np.r_[total, np.zeros(len(n) - len(total), np.int64)]
             total[: len(n)] += n
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
+    return run
 
-def _pack_blocks(rank_of: np.ndarray):
+
+def _pack_blocks(rank_of: np.ndarray, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shard and id; a block ends at the end of a shard or of ``BLOCK_TOKENS``."""
-        shard, no, ids, arrays, size = None, 0, [], [], 0
+        """Rows of a range partition come in order; a block ends with the partition or at ``BLOCK_TOKENS``."""
+        part, no, ids, arrays, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def block() -> pa.RecordBatch:
             control, data = encode_values(rank_of[np.concatenate(arrays)])
-            row = [shard, no, len(ids), size, ids, np.array([len(a) for a in arrays], "<u4").tobytes(), control, data]
+            row = [part, no, len(ids), size, ids, np.array([len(a) for a in arrays], "<u4").tobytes(), control, data]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "block", "docs", "tokens", "doc_ids", "lengths", "control", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "block", "docs", "tokens", "doc_ids", "lengths", "control", "data"])
 
         for batch in batches:
-            for doc_id, s, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if ids and (s != shard or size >= BLOCK_TOKENS):
-                    yield block()
-                    no, ids, arrays, size = (no + 1 if s == shard else 0), [], [], 0
-                elif s != shard:
-                    no = 0
-                shard = s
+            for doc_id, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids.append(doc_id)
-                arrays.append(_wide(raw))
+                arrays.append(np.frombuffer(raw, width))
                 size += len(arrays[-1])
+                if size >= BLOCK_TOKENS:
+                    yield block()
+                    no, ids, arrays, size = no + 1, [], [], 0
         if ids:
             yield block()
 
@@ -191,25 +199,25 @@ def _unpack_blocks(id_of: np.ndarray):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append ``end_id`` and write ``path/blocks`` and ``path/ranks`` in ascending id order.
 
-    A null or empty text is its end id alone. Rows that repeat an id follow one another, by their tokens; rows without an
-    id come first. An empty table writes empty files. Shards are ranges of ids, cut at approximate quantiles.
+    A null or empty text is its end id alone. Rows that repeat an id follow one another, by the hash of their tokens;
+    rows without an id come first. An empty table writes empty files. Other columns aren't read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    count, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    shards = max(1, -(-count // shard_docs))
-    cuts = [] if shards == 1 or low is None else sorted(set(rows.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 20 * shards)).first()[0]))
-    tokens = materialise(rows.mapInArrow(_tokenise(tokenizer_path, end_id, np.array(cuts, np.int64)), "doc_id long, shard long, ids binary"))
-    freq = tokens.select("ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    encoded = rows.mapInArrow(_tokenise(tokenizer_path, end_id), "doc_id long, ids binary")
+    tokens = stored(encoded.select("doc_id", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row"), "ids"))
+    width = _pieces(tokenizer_path).width
+    freq = tokens.select("ids").mapInArrow(_count_ids(width), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranks = freq.toPandas().sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy()  # one row per id of the vocabulary at most
     rank_of = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, np.uint32)
     rank_of[ranks] = np.arange(len(ranks), dtype=np.uint32)
     spark = docs.sparkSession
     spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(ranks)), "id": ranks.astype(np.int64)}), "rank long, id long").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
-    in_order = tokens.repartition("shard").sortWithinPartitions(F.col("shard"), F.col("doc_id").asc_nulls_first(), F.col("ids"))
-    blocks = in_order.mapInArrow(_pack_blocks(rank_of), "shard long, block long, docs long, tokens long, doc_ids array<long>, lengths binary, control binary, data binary")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("row")]
+    in_order = tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    blocks = in_order.mapInArrow(_pack_blocks(rank_of, width), "part long, block long, docs long, tokens long, doc_ids array<long>, lengths binary, control binary, data binary")
     blocks.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
 
 
@@ -217,11 +225,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` from the files alone; ``start`` is the number of ids of all documents before."""
     blocks = spark.read.parquet(f"{path}/blocks")
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").toPandas()["id"].to_numpy()
-    index = blocks.select("shard", "block", "tokens")
-    shard_start = index.groupBy("shard").agg(F.sum("tokens").alias("t")).withColumn("base", F.sum("t").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t"))
-    within = F.sum("tokens").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
-    starts = index.withColumn("inside", within).join(shard_start, "shard").select("shard", "block", (F.col("base") + F.col("inside")).alias("start"))
-    rows = blocks.join(starts, ["shard", "block"]).select("start", "tokens", "doc_ids", "lengths", "control", "data")
+    index = blocks.select("part", "block", "tokens")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range partition
+    bases = index.groupBy("part").agg(F.sum("tokens").alias("t")).select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    within = F.sum("tokens").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
+    starts = index.withColumn("inside", within).join(bases, "part").select("part", "block", (F.col("base") + F.col("inside")).alias("start"))
+    rows = blocks.join(starts, ["part", "block"]).select("start", "tokens", "doc_ids", "lengths", "control", "data")
     id_of = ranks.astype(np.uint32) if len(ranks) else np.zeros(1, np.uint32)
     return rows.mapInArrow(_unpack_blocks(id_of), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
