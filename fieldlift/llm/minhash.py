@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection with circulant signatures.
 
-Two permutations of the 32-bit integers make all signature coordinates: the first spreads the shingles, the second is
-applied after a circular shift by k to give coordinate k. Bands of four coordinates name buckets. Documents that meet
+Two permutations of the 32-bit integers, of different constants, make all signature coordinates: the first spreads the
+shingles, the second is applied after a circular shift by k to give coordinate k. Bands of four coordinates name buckets. Documents that meet
 in buckets form candidate groups (connected components over bucket heads, no pairs are made), and inside a candidate
 group exact Jaccard is computed on the full shingle sets.
 
@@ -28,17 +28,25 @@ from .shingles import WordHashes, mix64, shingles
 
 BANDS, ROWS = 32, 4
 THRESHOLD = 75
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 21
+#: Bounds of a block, of which a task holds two.
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 19
 _U32, _U64 = np.uint32, np.uint64
 
 
-def _mix32(h: np.ndarray) -> np.ndarray:
-    """Bijective mixer of 32-bit integers."""
+def _first(h: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit integers."""
     h = (h ^ (h >> _U32(16))) * _U32(0x85EBCA6B)
     h = (h ^ (h >> _U32(13))) * _U32(0xC2B2AE35)
     return h ^ (h >> _U32(16))
 
 
+def _second(h: np.ndarray) -> np.ndarray:
+    """Another one."""
+    h = (h ^ (h >> _U32(16))) * _U32(0x7FEB352D)
+    h = (h ^ (h >> _U32(15))) * _U32(0x846CA68B)
+    return h ^ (h >> _U32(16))
+
+
 def signatures(sets: list[np.ndarray], coordinates: int = BANDS * ROWS) -> np.ndarray:
     """Circulant signatures of non-empty sets: a row per set."""
     out = np.empty((len(sets), coordinates), _U32)
@@ -49,9 +57,9 @@ def signatures(sets: list[np.ndarray], coordinates: int = BANDS * ROWS) -> np.nd
             size += len(sets[end])
             end += 1
         starts = np.cumsum([0, *map(len, sets[at : end - 1])])
-        first = _mix32((np.concatenate(sets[at:end]) >> _U64(32)).astype(_U32))
+        first = _first((np.concatenate(sets[at:end]) >> _U64(32)).astype(_U32))
         for k in range(coordinates):
-            out[at:end, k] = np.minimum.reduceat(_mix32(first - _U32(k)), starts)
+            out[at:end, k] = np.minimum.reduceat(_second(first - _U32(k)), starts)
         at = end
     return out
 
@@ -84,15 +92,17 @@ def forest(sets: list[np.ndarray], threshold: int = THRESHOLD) -> list[tuple[int
     if m < 2:
         return []
     sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(m), sizes)
+    owner = np.repeat(np.arange(m, dtype=np.int32), sizes)
     values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
+    del order
     starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
     counts = np.diff(np.r_[starts, len(values)])
+    del values, starts
     shared = np.repeat(counts > 1, counts)  # what only one set has is in no intersection
     owner, counts = owner[shared], counts[counts > 1]
-    token = np.repeat(np.arange(len(counts)), counts)
+    token = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     posting = np.r_[0, np.cumsum(counts)]
     by_doc = np.argsort(owner, kind="stable")
     tokens, bounds = token[by_doc], np.searchsorted(owner[by_doc], np.arange(m + 1))
