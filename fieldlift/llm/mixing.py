@@ -1,7 +1,8 @@
 """Source mixing by temperature: exponentiated token shares, realised as budgeted block permutations.
 
 Weights are token shares to the power ``alpha``, normalised. ``alpha`` is bisected to meet a target entropy of the
-weights or a limit of repetitions of any source. A source's documents are dealt to blocks (about the square root of
+weights or a limit of repetitions of any source; sources stay in Spark, and the sums over them that a step needs are
+aggregates for a whole grid of exponents, which halves the bracket ``HALVINGS`` times a job. A source's documents are dealt to blocks (about the square root of
 its number of documents, so neither the blocks of a source nor the documents of a block grow with the source itself).
 An epoch is a keyed permutation of the blocks and of the documents in each. The last epoch stops at the budget: blocks
 before it are whole, in the block that crosses it documents are taken in order while they fit.
@@ -13,7 +14,6 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +21,8 @@ from .common import join_small, materialise, word_count
 
 SEED = 17
 MAX_REPETITION = 2.0
-#: Distinct token totals that may be collected for the bisection.
-MAX_TOTALS = 1_000_000
+#: Halvings of the bracket by one aggregation, and in all.
+HALVINGS, ROUNDS = 5, 60
 
 
 @dataclass(frozen=True)
@@ -32,42 +32,42 @@ class Temperature:
     budget: float
 
 
-def bisect(f: Callable[[float], float], low: float, high: float, target: float, rounds: int = 60) -> float:
-    """Where the monotone ``f`` meets ``target`` in [low, high]; the nearer end if it doesn't."""
-    rising = f(high) >= f(low)
-    for _ in range(rounds):
-        mid = (low + high) / 2
-        if (f(mid) < target) == rising:
-            low = mid
-        else:
-            high = mid
+def bisect(f: Callable[[list[float]], list[float]], low: float, high: float, target: float) -> float:
+    """Where the monotone ``f`` meets ``target`` in [low, high]; the nearer end if it doesn't. ``f`` takes many points at once."""
+    first, last = f([low, high])
+    rising, n = last >= first, 1 << HALVINGS
+    for _ in range(ROUNDS // HALVINGS):
+        points = [low + (high - low) * k / n for k in range(n + 1)]
+        below = sum((value < target) == rising for value in f(points[1:-1]))
+        low, high = points[below], points[below + 1]
     return (low + high) / 2
 
 
-def temperature(totals: np.ndarray, times: np.ndarray, *, budget_tokens: float | None = None, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None) -> Temperature:
-    """``totals``: distinct token totals of the sources, ``times``: how many sources have each.
+def temperature(sources: DataFrame, *, budget_tokens: float | None = None, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None) -> Temperature:
+    """``sources``: a row per source with its tokens ``t``. Only sums over them reach the driver.
 
     Without a budget it is the smallest that gives every source at least one whole epoch, so no document is lost.
     """
-    t, k = np.asarray(totals, float), np.asarray(times, float)
-    t, k = t[t > 0], k[t > 0]
-    if not len(t):
+    held = sources.where("t > 0").select(F.col("t").cast("double").alias("t"))
+    total, least, most = held.agg(F.sum("t"), F.min("t"), F.max("t")).first()
+    if total is None:
         return Temperature(1.0, 1.0, 0.0)
-    share = t / (t * k).sum()
+    log_share = F.log(F.col("t") / F.lit(total))
 
-    def weights(alpha: float) -> np.ndarray:
-        p = share**alpha
-        return p / (p * k).sum()
+    def sums(alphas: list[float]) -> list[tuple[float, float]]:
+        """Sums of the shares' powers, and of the powers times the logarithms of the shares."""
+        power = [F.exp(F.lit(a) * log_share) for a in alphas]
+        got = held.agg(*[F.sum(p) for p in power], *[F.sum(p * log_share) for p in power]).first()
+        return list(zip(got[: len(alphas)], got[len(alphas) :], strict=True))
 
-    def budget(alpha: float) -> float:
-        return budget_tokens if budget_tokens is not None else float((t / weights(alpha)).max())
+    def entropy(alphas: list[float]) -> list[float]:
+        return [math.log(z) - a * e / z for a, (z, e) in zip(alphas, sums(alphas), strict=True)]
 
-    def entropy(alpha: float) -> float:
-        w = weights(alpha)
-        return float(-(k * w * np.log(w)).sum())
-
-    def repetition(alpha: float) -> float:
-        return float((weights(alpha) * budget(alpha) / t).max())
+    def repetition(alphas: list[float]) -> list[float]:
+        """The largest weight * budget / tokens, which is the smallest source's for exponents of at most 1."""
+        if budget_tokens is None:
+            return [(most / least) ** (1 - a) for a in alphas]
+        return [budget_tokens * (least / total) ** a / z / least for a, (z, _) in zip(alphas, sums(alphas), strict=True)]
 
     if target_entropy is not None:
         alpha = bisect(entropy, 0.0, 4.0, target_entropy)
@@ -75,7 +75,11 @@ def temperature(totals: np.ndarray, times: np.ndarray, *, budget_tokens: float |
         alpha = bisect(repetition, 0.0, 1.0, max_repetition)
     else:
         alpha = 1.0
-    return Temperature(alpha, float((share**alpha * k).sum() * (t * k).sum() ** alpha), budget(alpha))
+    z = sums([alpha])[0][0]
+    # The source whose weight is smallest for its tokens decides how much gives every source an epoch.
+    poorest = most if alpha <= 1 else least
+    budget = float(budget_tokens) if budget_tokens is not None else poorest * z / (poorest / total) ** alpha
+    return Temperature(alpha, z * total**alpha, budget)
 
 
 def _unit(*columns) -> F.Column:
@@ -87,15 +91,14 @@ def plan(docs: DataFrame, *, seed: int = SEED, id_col: str = "doc_id", text_col:
     """One row per distinct document (id and text): ``doc_id, h, source, n_tokens, weight, repetition, full, copies, block, r``.
 
     Tokens are words. Null sources are one source. A source without tokens takes no budget: its documents come once.
-    Rows that repeat both id and text are planned once. An empty table gives an empty plan.
+    Rows that repeat both id and text are planned once, under the first of their sources by name (null last). An empty
+    table gives an empty plan.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("n_tokens"))
-    narrow = materialise(narrow.dropDuplicates(["doc_id", "h"]).withColumn("s", F.coalesce("source", F.lit("\0null"))))
+    narrow = narrow.groupBy("doc_id", "h").agg(F.min("source").alias("source"), F.min("n_tokens").alias("n_tokens"))
+    narrow = materialise(narrow.withColumn("s", F.coalesce("source", F.lit("\0null"))))
     sources = materialise(narrow.groupBy("s").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("docs")))
-    totals = sources.groupBy("t").agg(F.count("*").alias("k")).limit(MAX_TOTALS + 1).toPandas()
-    if len(totals) > MAX_TOTALS:
-        raise ValueError(f"more than {MAX_TOTALS} distinct source totals")
-    heat = temperature(totals["t"].to_numpy(), totals["k"].to_numpy(), **limits)
+    heat = temperature(sources, **limits)
 
     weight = F.when(F.col("t") > 0, F.pow(F.col("t").cast("double"), F.lit(heat.alpha)) / heat.norm).otherwise(0.0)
     sources = sources.withColumn("weight", weight)
