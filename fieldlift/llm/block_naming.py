@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, materialise
@@ -88,12 +88,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    result = materialise(exact_dedup(docs, id_col, text_col).select("doc_id", "kept", "n_cp"))
-    kept = result.where("kept").select(F.col("doc_id").alias("__id"), F.col("n_cp").alias("__n"))
-    n_cp = F.char_length(F.coalesce(docs[text_col], F.lit(""))).cast("long")
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]) & (n_cp == kept["__n"]), "left_semi")
-    if result.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    row = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns]))
-    return out.withColumn("__copy", row).where("__copy = 1").drop("__copy")
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+
+    Of rows that repeat id and text the one whose columns are first as JSON stays; they meet in partial aggregates.
+    """
+    result = materialise(exact_dedup(docs, id_col, text_col).select("doc_id", "kept", "n_cp", "text_sha256"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    kept = result.where("kept").select(F.col("doc_id").alias("__id"), F.col("n_cp").alias("__n"), F.col("text_sha256").alias("__sha"))
+    same = docs[id_col].eqNullSafe(kept["__id"]) & (F.char_length(text).cast("long") == kept["__n"])
+    repeated = materialise(result.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")))
+    if repeated.isEmpty():
+        return docs.join(kept, same, "left_semi")
+    again, row = docs[id_col].eqNullSafe(repeated["__id"]), F.struct(*docs.columns)
+    sha = F.sha2(F.regexp_replace(text, f"{SPACE}+", "").cast("binary"), 256)
+    few = docs.join(repeated, again, "left_semi").join(kept, same & (sha == kept["__sha"]), "left_semi")
+    one = few.groupBy(F.col(id_col).alias("__id"), sha.alias("__sha")).agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+    return docs.join(repeated, again, "left_anti").join(kept, same, "left_semi").unionByName(one)

@@ -53,13 +53,15 @@ def format_conversations(turns: DataFrame, template: Template | None = None, con
     """One row per conversation: ``conv_id, segments, formatted, valid, state, n_turns``.
 
     Rows are ordered by turn, then role and text; a null turn comes first. Null roles and texts count as empty. Repeated
-    rows are turns of their own. Rows with a null id are one conversation. Turn orders that the machine refuses are
+    rows are turns of their own. Nothing tells which rows without an id belong together: each is a conversation of its
+    own, with a null id, so they gather in no task. Turn orders that the machine refuses are
     formatted all the same with ``valid`` false and the state ``error``. An empty table gives no row; other columns
     aren't read.
     """
     t = template or Template()
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    whole = rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     moves = F.create_map(*[F.lit(x) for (state, r), to in t.moves.items() for x in (f"{state}>{r}", to)])
     state = F.aggregate(F.transform("turns", lambda x: x["role"]), F.lit("start"), lambda s, r: F.coalesce(F.try_element_at(moves, F.concat(s, F.lit(">"), r)), F.lit("error")))
 

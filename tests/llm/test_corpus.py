@@ -90,11 +90,11 @@ def test_repeated_rows_and_empty_tables(spark):
 def test_passages(spark):
     long = " ".join(f"w{k}" for k in range(30))
     rows = [(1, f"head\n{long}\n{long} z\ntail", "s"), (2, f"other\n{long.upper()}\n  {long}  z\nend", "s"), (3, "head\nshort", "s"), (4, None, "s")]
-    got = [tuple(r) for r in substring_dedup.repeated_passages(frame(spark, rows)).orderBy("unit").collect()]
+    got = [tuple(r) for r in substring_dedup.repeated_passages(frame(spark, rows), 50, sentences=False).orderBy("unit").collect()]
     text = rows[1][1]
     assert [(r[0], r[1], r[5], r[6]) for r in got] == [(2, 1, 61, 1), (2, 2, 61, 1)]
     assert [text[r[2] : r[3]] for r in got] == text.split("\n")[1:3]
-    cut = {r["doc_id"]: r["text"] for r in substring_dedup.remove_passages(frame(spark, rows)).collect()}
+    cut = {r["doc_id"]: r["text"] for r in substring_dedup.remove_passages(frame(spark, rows), 50).collect()}
     assert cut[2] == "other\nend" and cut[1] == rows[0][1] and cut[4] is None
 
 
@@ -102,7 +102,7 @@ def test_passages_that_begin_and_end_inside_lines(spark):
     w = [" ".join(f"p{k}x{j}" for j in range(20)) + "." for k in range(3)]
     rows = [(1, f"Own start here. {w[0]}\n{w[1]}\n{w[2]} Own end.", "s"), (2, f"Another start. {w[0]}\n{w[1]}\n{w[2]} Another end.\nshort", "s"), (3, f"{w[1]}\nshort", "s"), (4, "一二。三四！" + "五" * 3, "s")]
     d = frame(spark, rows)
-    assert substring_dedup.repeated_passages(d).count() == 0
+    assert substring_dedup.repeated_passages(d, sentences=False).count() == 0
     cut = {r["doc_id"]: r["text"] for r in substring_dedup.remove_passages(d).collect()}
     assert cut[2] == "Another start. Another end.\nshort" and cut[1] == rows[0][1] and cut[3] == rows[2][1]
     flags = [(r["doc_id"], r["n_words"], r["removed"]) for r in substring_dedup.later_occurrences(d, sentences=True).orderBy("doc_id", "unit").collect()]
@@ -135,9 +135,6 @@ def test_mixing_keeps_all_and_meets_the_limit(spark, corpus):
         assert used <= budget + 1 and used >= budget - g["n_tokens"].max() * 2
     out = mixing.emissions(mixing.plan(frame(spark, corpus), max_repetition=None, target_entropy=0.9)).toPandas()
     assert out["position"].between(0, 1).all()
-    t = mixing.temperature(np.array([100, 10]), np.array([1, 1]), max_repetition=None, target_entropy=0.6)
-    w = np.array([100.0, 10.0]) ** t.alpha / t.norm
-    assert w.sum() == pytest.approx(1) and -(w * np.log(w)).sum() == pytest.approx(0.6, abs=1e-6)
 
 
 def test_packing_invariants(spark, corpus):
@@ -235,7 +232,7 @@ def test_tokens_match_the_whole_tokenizer(spark, corpus, tmp_path):
         want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     out = str(tmp_path / "tokens")
-    token_store.write_tokens(frame(spark, rows), out, path, shard_docs=16)
+    token_store.write_tokens(frame(spark, rows), out, path)
     assert {r[0]: tuple(r)[1:] for r in token_store.read_tokens(spark, out).collect()} == want
 
 
