@@ -22,12 +22,12 @@ CALL_MATRIX = {
     ("Decile 1-6", "Mid (20-50%)"): 0.0,
     ("Decile 1-6", "High (>50%)"): 0.0,
 }
-#: Census regions by state.
+#: Census regions and their states.
 CENSUS_REGIONS = {
-    "Northeast": "CT ME MA NH RI VT NJ NY PA",
-    "Midwest": "IL IN MI OH WI IA KS MN MO NE ND SD",
-    "South": "DE DC FL GA MD NC SC VA WV AL KY MS TN AR LA OK TX",
-    "West": "AZ CO ID MT NV NM UT WY AK CA HI OR WA",
+    "Northeast": ["CT", "ME", "MA", "NH", "RI", "VT", "NJ", "NY", "PA"],
+    "Midwest": ["IL", "IN", "MI", "OH", "WI", "IA", "KS", "MN", "MO", "NE", "ND", "SD"],
+    "South": ["DE", "DC", "FL", "GA", "MD", "NC", "SC", "VA", "WV", "AL", "KY", "MS", "TN", "AR", "LA", "OK", "TX"],
+    "West": ["AZ", "CO", "ID", "MT", "NV", "NM", "UT", "WY", "AK", "CA", "HI", "OR", "WA"],
 }
 
 
@@ -73,7 +73,7 @@ def collapse(c: Column, groups: Mapping[str, Iterable[str]], other: str) -> Colu
 
 
 def census_region(state: Column) -> Column:
-    return collapse(F.upper(F.trim(state)), {r: s.split() for r, s in CENSUS_REGIONS.items()}, "Unknown")
+    return collapse(F.upper(F.trim(state)), CENSUS_REGIONS, "Unknown")
 
 
 def clip(c: Column, low: Column | float | None = None, high: Column | float | None = None) -> Column:
@@ -147,8 +147,22 @@ def account_filter(*, deciles: tuple[int, int] = (1, 10), states: Iterable[str]
     return reduce(lambda a, b: a & b, parts)
 
 
-def reason_text(feature: Column, value: Column, multiplier: Column) -> Column:
-    """Readable driver: logarithms are undone, shares shown as per cent."""
-    shown = F.when(feature.startswith("log_"), F.format_string("%.0f", F.expm1(value))).when(feature.contains("share"), F.format_string("%.0f%%", 100 * value)).otherwise(F.format_string("%.2f", value))
-    push = F.when(multiplier >= 1, F.format_string("raises potential by %.0f%%", 100 * (multiplier - 1))).otherwise(F.format_string("lowers potential by %.0f%%", 100 * (1 - multiplier)))
-    return F.concat_ws(" ", F.regexp_replace(feature, "^log_", ""), shown, push)
+#: Fixed value: accounts with fewer claims outside the class than this are specialised in it.
+FOCUSED_BELOW = 500
+
+
+def readable_value(feature: Column, value: Column) -> Column:
+    """A model input as a person would say it: logarithms undone, shares in per cent, categories as they are; a missing one is two dashes."""
+    number = value.try_cast("double")
+    shown = F.when(number.isNull(), value.cast("string")).when(feature.startswith("log_"), F.format_number(F.expm1(number), 0))
+    shown = shown.when(feature.startswith("pct_"), F.format_string("%.0f%%", 100 * number)).otherwise(F.format_string("%.2f", number))
+    return F.when(feature.isNull() | value.isNull(), "--").otherwise(shown)
+
+
+def reason_text(feature: Column, value: Column, multiplier: Column, label: Column | None = None) -> Column:
+    """The first driver as a sentence; null without one. Little volume outside the class raises potential where a practice is specialised, and is said so."""
+    times = F.format_string(" (x%.2f potential)", multiplier)
+    outside = F.expm1(value.try_cast("double"))
+    focused = (feature == "log_non_class_clms") & (multiplier > 1) & (outside < FOCUSED_BELOW)
+    plain = F.concat(label if label is not None else F.regexp_replace(feature, "^(log|pct)_", ""), F.lit(": "), readable_value(feature, value), times)
+    return F.when(multiplier.isNull(), None).when(focused, F.concat(F.lit("specialised practice: only "), F.format_number(outside, 0), F.lit(" claims outside the class"), times)).otherwise(plain)

@@ -26,7 +26,8 @@ def growth_panel(now: DataFrame, after: DataFrame, before: DataFrame | None = No
     out = now.where("class_fills > 0").join(nxt, "npi", "left")
     out = out.withColumns({"growth_abs": zero("brand_fills_next") - F.col("brand_fills"), "growth_share": zero("brand_share_next") - zero("brand_share")})
     if before is not None:
-        out = out.join(before.select("npi", F.col("brand_fills").alias("brand_fills_before")), "npi", "left").withColumn("momentum", F.col("brand_fills") - zero("brand_fills_before"))
+        out = out.join(before.select("npi", F.col("brand_fills").alias("brand_fills_before"), F.col("brand_share").alias("__share_before")), "npi", "left").withColumn("momentum", F.col("brand_fills") - zero("brand_fills_before"))
+        out = out.withColumn("prior_growth_share", F.when(F.col("brand_fills_before").isNotNull(), zero("brand_share") - zero("__share_before"))).drop("__share_before")
     return out.withColumn("rural", F.coalesce(F.col("zip3_pop_density") < 100, F.lit(False)))
 
 
@@ -116,7 +117,9 @@ def gates(agreement: DataFrame, lift: DataFrame, heads: DataFrame, territory: Da
     both = o.alias("o").join(v.alias("v"), F.col("o.n_budget") == F.col("v.n_budget"))
     g3 = both.agg((ratio("share_growth_captured") >= 1.05).alias("a"), (ratio("median_base_fills") >= 0.25).alias("b"))
     out = g2.unionByName(rho.select(F.lit("G3 ranks growth").alias("gate"), "passed")).unionByName(g3.select(F.lit("G3 beats volume on share").alias("gate"), F.col("a").alias("passed"))).unionByName(g3.select(F.lit("G3 base not gamed").alias("gate"), F.col("b").alias("passed")))
-    if territory is not None:
+    if territory is None:
+        out = out.unionByName(g2.select(F.explode(F.array(F.lit("G4 contiguity"), F.lit("G4 balance"))).alias("gate"), F.lit(None).cast("boolean").alias("passed")))
+    else:
         t = territory.agg((F.min("contiguity_rate") >= 0.95).alias("a"), (F.max("workload_cv") <= 0.20).alias("b"))
         out = out.unionByName(t.select(F.lit("G4 contiguity").alias("gate"), F.col("a").alias("passed"))).unionByName(t.select(F.lit("G4 balance").alias("gate"), F.col("b").alias("passed")))
     return out.withColumn("passed", F.coalesce("passed", F.lit(False)))

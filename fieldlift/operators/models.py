@@ -6,9 +6,12 @@ sums. Encoded rows are materialised once, so that folds and trees don't repeat t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -21,12 +24,17 @@ from ..functions.session import materialise
 from . import backtest, ranks, stats
 from .opportunity import CATEGORICAL, feature_frame
 
+T = TypeVar("T")
+
 #: Critical value of intervals, bounds of propensities.
 CRITICAL = 1.96
 RESIDUAL_CLIP, UPLIFT_CLIP = (0.01, 0.99), (0.02, 0.98)
 BINS = 64
 #: Trees between materialisations of the running prediction.
 CUT_EVERY = 5
+#: Rounds of boosting and the weight of a round. A round costs a handful of Spark jobs whatever the number of rows, so there
+#: are few and heavy ones.
+TREES, RATE = 30, 0.3
 #: Trees between materialisations of a prediction, so that its plan doesn't grow with the number of trees.
 PREDICT_CUT = 10
 
@@ -42,12 +50,16 @@ def pinball(y: Column, predicted: Column, tau: float) -> Column:
     return F.greatest(tau * (y - predicted), (tau - 1) * (y - predicted))
 
 
+def in_parallel(fits: Sequence[Callable[[], T]], threads: int = 4) -> list[T]:
+    """Results of independent fits. A round's jobs are small, so several drivers' threads submit theirs side by side."""
+    with ThreadPool(max(1, min(threads, len(fits)))) as pool:
+        return pool.map(inheritable_thread_target(lambda f: f()), fits)
+
+
 @dataclass
-class Frontier:
-    """A start value and trees with a shift for each leaf, in log space."""
+class Boosted:
+    """A start value and trees with a shift for each leaf."""
 
-    encode: PipelineModel
-    features: list[str]
     tau: float
     start: float
     rate: float
@@ -60,39 +72,27 @@ class Frontier:
         leaf = F.create_map(*[F.lit(v) for pair in shift.items() for v in pair])
         return tree.transform(df).withColumn("__f", F.col("__f") + self.rate * F.coalesce(F.try_element_at(leaf, F.col("__leaf")), F.lit(0.0))).drop("__leaf")
 
-    def log_potential(self, framed: DataFrame) -> DataFrame:
-        """Add ``__f`` to rows that have the feature columns."""
-        out = self.encode.transform(framed).withColumn("__f", F.lit(self.start))
+    def predict(self, df: DataFrame, name: str = "__f") -> DataFrame:
+        """Add the prediction to rows that have ``x``."""
+        out = df.withColumn("__f", F.lit(self.start))
         for k in range(len(self.trees)):
             out = self.step(out, k)
             if (k + 1) % PREDICT_CUT == 0 and k + 1 < len(self.trees):
                 out = materialise(out)
-        return out.drop("x", *[f"__{c}" for c in CATEGORICAL])
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        """``npi, frontier``: potential volume, at least 0."""
-        framed, _ = feature_frame(df)
-        return self.log_potential(framed.select("npi", *self.features, *CATEGORICAL)).select("npi", F.greatest(F.expm1("__f"), F.lit(0.0)).alias("frontier"))
-
-
-def _framed(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
-    framed, usable = feature_frame(df)
-    return framed.where(F.col(target) > 0).select("npi", *usable, *CATEGORICAL, F.log1p(target).alias("__y")), usable
+        return out.withColumnRenamed("__f", name)
 
 
-def fit_frontier(df: DataFrame, target: str = "class_fills", *, tau: float = 0.8, trees: int = 300, depth: int = 4, rate: float = 0.05, least: int = 40) -> Frontier:
-    """Gradient boosting for the quantile ``tau`` of log1p(target), over rows with a positive target.
+def boost_quantile(rows: DataFrame, tau: float, *, trees: int = TREES, depth: int = 4, rate: float = RATE, least: int = 40) -> Boosted:
+    """Gradient boosting for the quantile ``tau`` of ``__y`` given ``x``.
 
-    Each tree is grown on the gradient of the pinball loss and its leaves are set to the quantile of the residuals.
-    Without rows in the market it raises; a leaf's quantile is approximate within 1e-4 of its rank.
+    Each tree is grown on the gradient of the pinball loss and its leaves are set to the quantile of the residuals,
+    approximate within 1e-4 of its rank. Without rows it raises.
     """
-    rows, usable = _framed(df, target)
-    encode = encoder(rows, usable)
     start = rows.agg(F.percentile_approx("__y", tau, 10_000)).first()[0]
     if start is None:
-        raise ValueError("no rows in the market")
-    model = Frontier(encode, usable, tau, float(start), rate)
-    state = materialise(encode.transform(rows).select("x", "__y", F.lit(float(start)).alias("__f")))
+        raise ValueError("no rows to fit a quantile on")
+    model = Boosted(tau, float(start), rate)
+    state = materialise(rows.select("x", "__y", F.lit(float(start)).alias("__f")))
     for k in range(trees):
         slope = state.withColumn("__g", F.lit(tau) - (F.col("__y") < F.col("__f")).cast("double"))
         tree = DecisionTreeRegressor(featuresCol="x", labelCol="__g", maxDepth=depth, minInstancesPerNode=least, maxBins=BINS, leafCol="__leaf", seed=k).fit(slope)
@@ -105,6 +105,46 @@ def fit_frontier(df: DataFrame, target: str = "class_fills", *, tau: float = 0.8
     return model
 
 
+@dataclass
+class Frontier:
+    """A boosted quantile in log space over the features of accounts."""
+
+    encode: PipelineModel
+    features: list[str]
+    model: Boosted
+
+    @property
+    def tau(self) -> float:
+        return self.model.tau
+
+    def encoded(self, framed: DataFrame) -> DataFrame:
+        """Rows that have the feature columns, with ``x``."""
+        return self.encode.transform(framed).drop(*[f"__{c}" for c in CATEGORICAL])
+
+    def log_potential(self, framed: DataFrame) -> DataFrame:
+        """Add ``__f`` to rows that have the feature columns."""
+        return self.model.predict(self.encoded(framed)).drop("x")
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """``npi, frontier``: potential volume, at least 0."""
+        framed, _ = feature_frame(df)
+        return self.log_potential(framed.select("npi", *self.features, *CATEGORICAL)).select("npi", F.greatest(F.expm1("__f"), F.lit(0.0)).alias("frontier"))
+
+
+def _framed(df: DataFrame, target: str, keep: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
+    framed, usable = feature_frame(df)
+    usable = [f for f in usable if keep is None or f in keep]
+    return framed.where(F.col(target) > 0).select("npi", *usable, *CATEGORICAL, F.log1p(target).alias("__y")), usable
+
+
+def fit_frontier(df: DataFrame, target: str = "class_fills", *, tau: float = 0.8, keep: Sequence[str] | None = None, **options: float) -> Frontier:
+    """The quantile ``tau`` of log1p(target) over rows with a positive target, by ``boost_quantile``; ``keep`` restricts the numeric features."""
+    rows, usable = _framed(df, target, keep)
+    rows = materialise(rows)
+    encode = encoder(rows, usable)
+    return Frontier(encode, usable, boost_quantile(encode.transform(rows), tau, **options))
+
+
 def coverage(df: DataFrame, model: Frontier, target: str = "class_fills", slack: float = 0.10) -> DataFrame:
     """Share of in-market rows at or below their frontier, and whether it is off by more than ``slack``."""
     rows, _ = _framed(df, target)
@@ -147,14 +187,14 @@ def _fold(key: str, folds: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def _fit(train: DataFrame, label: str, name: str, *, clip: tuple[float, float] | None, iterations: int, depth: int, rate: float = 0.1):
+def _fit(train: DataFrame, label: str, name: str, *, clip: tuple[float, float] | None = None, iterations: int = TREES, depth: int = 6, rate: float = RATE, weight: str | None = None):
     """A function that adds ``name``: a mean or, with ``clip``, the probability that the label is 1 inside these bounds.
 
     With fewer than two training rows nothing can be grown: the prediction is null.
     """
     if len(train.select(label).head(2)) < 2:
         return lambda df: df.withColumn(name, F.lit(None).cast("double"))
-    shared = {"featuresCol": "x", "labelCol": label, "maxIter": iterations, "maxDepth": depth, "stepSize": rate, "maxBins": BINS, "seed": 1}
+    shared = {"featuresCol": "x", "labelCol": label, "maxIter": iterations, "maxDepth": depth, "stepSize": rate, "maxBins": BINS, "seed": 1} | ({"weightCol": weight} if weight else {})
     if clip is None:
         return GBTRegressor(predictionCol=name, **shared).fit(train).transform
     model = GBTClassifier(predictionCol="", **shared).fit(train)
@@ -173,13 +213,15 @@ def _prepared(df: DataFrame, numeric: Sequence[str], keep: Sequence[str], folds:
     return materialise(encoded.select("npi", "x", *keep, _fold("npi", folds, seed).alias("fold")))
 
 
-def cross_fit(rows: DataFrame, fits: dict[str, tuple[str, tuple[float, float] | None, str]], folds: int, iterations: int, depth: int, rate: float = 0.1) -> DataFrame:
+def cross_fit(rows: DataFrame, fits: dict[str, tuple[str, tuple[float, float] | None, str]], folds: int, iterations: int, depth: int, rate: float = RATE) -> DataFrame:
     """Add a column for each of ``fits`` (label, clip, condition on training rows), predicted by models of the other folds."""
+    jobs = [(k, name, *fit) for k in range(folds) for name, fit in fits.items()]
+    made = in_parallel([lambda k=k, name=name, label=label, clip=clip, on=on: _fit(rows.where(F.col("fold") != k).where(on), label, name, clip=clip, iterations=iterations, depth=depth, rate=rate) for k, name, label, clip, on in jobs])
     parts = []
     for k in range(folds):
         part = rows.where(F.col("fold") == k)
-        for name, (label, clip, condition) in fits.items():
-            part = _fit(rows.where(F.col("fold") != k).where(condition), label, name, clip=clip, iterations=iterations, depth=depth, rate=rate)(part)
+        for (fold, *_), model in zip(jobs, made, strict=True):
+            part = model(part) if fold == k else part
         parts.append(part)
     return materialise(stats.union_all(parts))
 
@@ -190,7 +232,7 @@ def robustness_value(t: Column, dof: Column, critical: float = 0.0) -> Column:
     return F.when(f <= 0, 0.0).otherwise(0.5 * (F.sqrt(F.pow(f, F.lit(4)) + 4 * f * f) - f * f))
 
 
-def double_ml(df: DataFrame, outcome: str, treatment: str, numeric: Sequence[str], *, binary: bool = False, folds: int = 5, iterations: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 0) -> DataFrame:
+def double_ml(df: DataFrame, outcome: str, treatment: str, numeric: Sequence[str], *, binary: bool = False, folds: int = 5, iterations: int = TREES, depth: int = 6, rate: float = RATE, seed: int = 0) -> DataFrame:
     """Partially linear effect from cross-fitted residuals: theta, robust error, interval, t and robustness values."""
     rows = _prepared(df, numeric, [outcome, treatment], folds, seed)
     got = cross_fit(rows, {"__my": (outcome, None, "true"), "__md": (treatment, RESIDUAL_CLIP if binary else None, "true")}, folds, iterations, depth, rate)
@@ -202,7 +244,7 @@ def double_ml(df: DataFrame, outcome: str, treatment: str, numeric: Sequence[str
     return out.select("n", "theta", "se", (F.col("theta") - CRITICAL * F.col("se")).alias("ci_low"), (F.col("theta") + CRITICAL * F.col("se")).alias("ci_high"), "t", robustness_value(F.col("t"), F.col("n") - 1).alias("rv"), robustness_value(F.col("t"), F.col("n") - 1, CRITICAL).alias("rv_alpha"))
 
 
-def uplift(df: DataFrame, outcome: str, treated: str, numeric: Sequence[str], *, folds: int = 5, iterations: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 0, effect_iterations: int | None = None) -> DataFrame:
+def uplift(df: DataFrame, outcome: str, treated: str, numeric: Sequence[str], *, folds: int = 5, iterations: int = TREES, depth: int = 6, rate: float = RATE, seed: int = 0, effect_iterations: int | None = None) -> DataFrame:
     """``npi, phi, tau``: doubly robust pseudo-outcomes and effects by account, both out of fold."""
     rows = _prepared(df, numeric, [outcome, treated], folds, seed)
     got = cross_fit(rows, {"e": (treated, UPLIFT_CLIP, "true"), "m1": (outcome, None, f"{treated} = 1"), "m0": (outcome, None, f"{treated} = 0")}, folds, iterations, depth, rate)
@@ -227,13 +269,13 @@ def uplift_deciles(effects: DataFrame) -> DataFrame:
     return cut.groupBy("decile").agg(F.avg("tau").alias("predicted"), F.avg("phi").alias("observed"), (F.stddev_samp("phi") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n"))
 
 
-def challenger(df: DataFrame, target: str, numeric: Sequence[str], *, iterations: int = 20, depth: int = 3, rate: float = 0.1, folds: int = 5, seed: int = 0) -> DataFrame:
+def challenger(df: DataFrame, target: str, numeric: Sequence[str], *, iterations: int = TREES, depth: int = 6, rate: float = RATE, folds: int = 5, seed: int = 0) -> DataFrame:
     """``npi, predicted``: squared-loss boosting of a growth column, out of fold."""
     rows = _prepared(df, numeric, [target], folds, seed)
     return cross_fit(rows, {"predicted": (target, None, "true")}, folds, iterations, depth, rate).select("npi", "predicted")
 
 
-def tau_sensitivity(df: DataFrame, score, taus: Sequence[float], base: float = 0.8, **options: float) -> DataFrame:
+def tau_sensitivity(df: DataFrame, score: Callable[[DataFrame], DataFrame], taus: Sequence[float], base: float = 0.8, **options: float) -> DataFrame:
     """Rank agreement of opportunities under other quantiles with those under ``base``.
 
     ``score`` maps predictions (``npi, frontier``) to scored accounts with ``opportunity`` and ``opportunity_decile``.
@@ -241,11 +283,60 @@ def tau_sensitivity(df: DataFrame, score, taus: Sequence[float], base: float = 0
     def scored(tau: float) -> DataFrame:
         return materialise(score(fit_frontier(df, tau=tau, **options).predict(df)).where("in_market").select("npi", "opportunity", "opportunity_decile"))
 
-    first, parts = scored(base), []
-    for tau in taus:
-        both = first.join(scored(tau).select("npi", F.col("opportunity").alias("o"), F.col("opportunity_decile").alias("d")), "npi")
+    def against(first: DataFrame, other: DataFrame, tau: float) -> DataFrame:
+        both = first.join(other.select("npi", F.col("opportunity").alias("o"), F.col("opportunity_decile").alias("d")), "npi")
         gap = F.abs(F.col("d") - F.col("opportunity_decile"))
         share = lambda c: F.avg(c.cast("double"))
         kept = F.avg(F.when(F.col("opportunity_decile") >= 8, (F.col("d") >= 8).cast("double")))
-        parts.append(both.agg(share(gap == 0).alias("same_decile"), share(gap <= 1).alias("within_1"), kept.alias("top3_retained")).join(F.broadcast(backtest.spearman(both, "opportunity", "o"))).withColumn("tau", F.lit(tau)))  # one row
-    return stats.union_all(parts).withColumn("holds", (F.col("spearman") >= 0.95) & (F.col("top3_retained") >= 0.90))
+        return both.agg(share(gap == 0).alias("same_decile"), share(gap <= 1).alias("within_1"), kept.alias("top3_retained")).join(F.broadcast(backtest.spearman(both, "opportunity", "o"))).withColumn("tau", F.lit(tau))  # one row
+
+    first, *others = in_parallel([lambda t=t: scored(t) for t in (base, *taus)])
+    return stats.union_all([against(first, o, t) for o, t in zip(others, taus, strict=True)]).withColumn("holds", (F.col("spearman") >= 0.95) & (F.col("top3_retained") >= 0.90))
+
+
+#: What the brand-state models see besides the frontier's features.
+STATE = ("log_class_fills", "log_brand_fills", "brand_share", "log_potential_gap")
+
+
+def state_frame(df: DataFrame, extra: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """Features of the frontier and of the brand's state, missing shares and extras as 0; and the numeric names."""
+    framed, usable = feature_frame(df)
+    pos = lambda c: F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0))
+    gap = F.col("potential_brand") - F.col("brand_fills") if "potential_brand" in df.columns else F.lit(0.0)
+    out = framed.withColumns({"log_class_fills": F.log1p(pos(F.col("class_fills"))), "log_brand_fills": F.log1p(pos(F.col("brand_fills"))), "brand_share": F.coalesce("brand_share", F.lit(0.0)), "log_potential_gap": F.log1p(pos(gap))} | {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in extra})
+    return out, [*usable, *STATE, *extra]
+
+
+@dataclass
+class StateModel:
+    """An encoder of states and a fitted step that adds a column to encoded rows."""
+
+    encode: PipelineModel
+    numeric: list[str]
+    extra: tuple[str, ...]
+    add: Callable[[DataFrame], DataFrame]
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """``npi`` and the prediction."""
+        return self.add(encoded_states(df, self.encode, self.numeric, self.extra).select("npi", "x")).drop("x")
+
+
+def encoded_states(df: DataFrame, encode: PipelineModel, numeric: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``x``, the encoded state; features that were missing when the encoder was made are left out."""
+    framed, _ = state_frame(df, extra)
+    names = [f"__num_{c}" for c in numeric]
+    rows = framed.withColumns({n: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for n, c in zip(names, numeric, strict=True)})
+    return encode.transform(rows).drop(*names, *[f"__{c}" for c in CATEGORICAL])
+
+
+def state_encoder(df: DataFrame, extra: Sequence[str] = ()) -> tuple[PipelineModel, list[str]]:
+    framed, numeric = state_frame(df, extra)
+    renamed = framed.withColumns({f"__num_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numeric})
+    return encoder(renamed, [f"__num_{c}" for c in numeric]), numeric
+
+
+def fit_states(train: DataFrame, target: str, name: str, *, extra: Sequence[str] = (), weight: str | None = None, clip: tuple[float, float] | None = None, **options: float) -> StateModel:
+    """Squared-loss boosting of a column on the state, or with ``clip`` the probability that it is 1; rows without the target are left out."""
+    encode, numeric = state_encoder(train, extra)
+    rows = materialise(encoded_states(train.where(F.col(target).isNotNull()), encode, numeric, extra).select("npi", "x", F.col(target).cast("double").alias("__t"), *([F.col(weight).cast("double").alias("__w")] if weight else [])))
+    return StateModel(encode, numeric, tuple(extra), _fit(rows, "__t", name, clip=clip, weight="__w" if weight else None, **options))

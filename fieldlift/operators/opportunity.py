@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import materialise
 from . import ranks
 
 #: Features of the frontier.
@@ -21,10 +22,11 @@ EXEMPT = ("log_non_class_clms", "non_class_clms")
 def feature_frame(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Logged counts, medians for missing covariates, "Unknown" for missing categories; and the usable numeric features.
 
-    Optional features that are absent or all null are left out; a required one raises. One aggregation finds both.
+    Optional features that are absent or all null are left out; a required one raises. Medians come from range scans.
     """
     sources = {f: c for f, c in {**LOGS, **{p: p for p in PLAIN}}.items() if c in df.columns}
-    facts = df.agg(*[F.count(c).alias(f"n_{f}") for f, c in sources.items()], *[F.median(p).alias(f"m_{p}") for p in PLAIN if p in df.columns]).first().asDict()
+    facts = df.agg(*[F.count(c).alias(f"n_{f}") for f, c in sources.items()]).first().asDict()
+    facts |= {f"m_{p}": ranks.quantile(df, p).first()[0] for p in PLAIN if p in df.columns}
     usable = [f for f in sources if facts[f"n_{f}"]]
     if missing := [f for f in [*LOGS, *PLAIN] if f not in usable and f not in OPTIONAL]:
         raise ValueError(f"required features are missing or all null: {missing}")
@@ -55,11 +57,13 @@ def score(df: DataFrame, benchmarks: DataFrame, frontier: DataFrame, by: Sequenc
     """Potential, achievable share, opportunity and deciles; nothing outside the market.
 
     ``frontier`` has the columns ``by`` (npi for a model's predictions) and ``frontier``. Benchmarks match null regions.
+    Rows are written once, before the medians and deciles are taken from them.
     """
     b = benchmarks.select(F.col("specialty_group").alias("__g"), F.col("region").alias("__r"), F.col("year").alias("__y"), "achievable_share")
     out = df.join(frontier, list(by), "left").withColumn("potential_class", F.greatest(F.coalesce("frontier", F.lit(0.0)), F.col("class_fills"))).drop("frontier")
     out = out.join(b, out["specialty_group"].eqNullSafe(b["__g"]) & out["region"].eqNullSafe(b["__r"]) & (out["year"] == b["__y"]), "left").drop("__g", "__r", "__y")
-    middle = out.agg(F.median("achievable_share").alias("__m"))
+    out = materialise(out)
+    middle = out.agg(F.median("achievable_share").alias("__m"))  # a benchmark cell has one value, so distinct ones are few
     out = out.join(F.broadcast(middle)).withColumn("achievable_share", F.coalesce("achievable_share", "__m")).drop("__m")  # one row
     return rank_opportunity(with_opportunity(out))
 

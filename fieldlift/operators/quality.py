@@ -67,9 +67,10 @@ def stamp(df: DataFrame, mode: str) -> DataFrame:
 
 
 def single_mode(*frames: DataFrame) -> DataFrame:
-    """Modes of the frames that are to be used together, and whether they are one."""
-    modes = [f.select("data_mode").distinct() for f in frames]
-    every = modes[0]
-    for m in modes[1:]:
-        every = every.union(m)
-    return every.agg(F.array_sort(F.collect_set("data_mode")).alias("modes")).withColumn("passed", F.size("modes") == 1)
+    """Modes of the frames that are to be used together with their rows, and whether they are one: ``data_mode, rows, passed``. A row per mode."""
+    counts = [f.groupBy("data_mode").agg(F.count("*").alias("rows")) for f in frames]
+    every = counts[0]
+    for c in counts[1:]:
+        every = every.unionByName(c)
+    per = every.groupBy("data_mode").agg(F.sum("rows").alias("rows"))
+    return per.join(F.broadcast(per.agg((F.count("*") == 1).alias("passed"))))  # one row

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import reason_text
+
 #: Columns that a list may be sorted by.
 SORTABLE = ("opportunity", "class_fills", "brand_share", "brand_fills", "opportunity_decile", "volume_decile", "decile_shift", "npi")
 
@@ -19,17 +21,31 @@ def page(df: DataFrame, sort: str, *, page: int = 1, size: int = 50, ascending:
     return rows.orderBy(order, F.col("npi")).offset((page - 1) * size).limit(size).join(F.broadcast(total))
 
 
-def detail(scored: DataFrame, spine: DataFrame, npi: int) -> DataFrame:
-    """An account's row with its trend over the periods."""
-    trend = spine.where(F.col("npi") == npi).groupBy("npi").agg(F.array_sort(F.collect_list(F.struct("year", "class_fills", "brand_fills"))).alias("trend"))
-    return scored.where(F.col("npi") == npi).join(trend, "npi", "left")
+def detail(scored: DataFrame, spine: DataFrame, npi: int, payments: DataFrame | None = None, **more: DataFrame) -> DataFrame:
+    """An account's row with its trend and payments over the periods, in order; ``more``: tables of a row or some by account (segment, drivers, forecast, uplift), each as an array of structs."""
+    mine = lambda df: df.where(F.col("npi") == npi)
+    trend = mine(spine).groupBy("npi").agg(F.array_sort(F.collect_list(F.struct("year", "class_fills", "brand_fills", "brand_share", "class_growth_yoy"))).alias("trend"))
+    out = mine(scored).join(trend, "npi", "left")
+    if payments is not None:
+        paid = mine(payments).groupBy("npi").agg(F.array_sort(F.collect_list(F.struct("year", "pay_total", "pay_count", "pay_companies", "pay_focus", "pay_competitor"))).alias("payments"))
+        out = out.join(paid, "npi", "left")
+    for name, df in more.items():
+        columns = [c for c in df.columns if c != "npi"]
+        out = out.join(mine(df).groupBy("npi").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name)), "npi", "left")
+    return out
+
 
+def call_list(plan: DataFrame, assignment: DataFrame, territory: int, drivers: DataFrame | None = None, forecast: DataFrame | None = None) -> DataFrame:
+    """A territory's accounts in visiting order: targets first, then by opportunity; with the first driver's reason and the forecast, if given.
 
-def call_list(plan: DataFrame, assignment: DataFrame, territory: int, reasons: DataFrame | None = None) -> DataFrame:
-    """A territory's accounts in visiting order: targets first, then by opportunity."""
+    ``drivers``: npi, rank, feature, multiplier and the feature's value; ``forecast``: a row per account.
+    """
     rows = plan.join(assignment.select("zip3", "territory"), "zip3").where(F.col("territory") == territory)
-    if reasons is not None:
-        rows = rows.join(reasons, "npi", "left")
+    if drivers is not None:
+        why = drivers.where("rank = 1").select("npi", reason_text(F.col("feature"), F.col("value"), F.col("multiplier")).alias("why"))
+        rows = rows.join(why, "npi", "left")
+    if forecast is not None:
+        rows = rows.join(forecast, "npi", "left")
     w = Window.partitionBy("territory").orderBy(F.desc("is_target"), F.desc("opportunity"), "npi")
     return rows.withColumn("visit_order", F.row_number().over(w))
 

@@ -4,13 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.session import materialise
 from . import ranks, stats
 
 
+def drawn(rows: DataFrame, reps: int, seed: int, key: str = "npi") -> DataFrame:
+    """Rows once more for each draw ``rep`` with their Poisson(1) count ``m``, if it isn't 0; draw 0 is the table itself."""
+    w = F.when(F.col("rep") == 0, F.lit(1)).otherwise(stats.poisson_weight(F.xxhash64(key, "rep", F.lit(seed))))
+    return rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("m", w).where("m > 0")
+
+
+def interval(c: str, name: str | None = None, *, se: bool = False) -> list[Column]:
+    """Estimate (draw 0), percentile interval and, with ``se``, the standard error over draws of a column."""
+    over, name = F.when(F.col("rep") > 0, F.col(c)), name or c
+    out = [F.max(F.when(F.col("rep") == 0, F.col(c))).alias(name), F.percentile(over, 0.025).alias(f"{name}_low"), F.percentile(over, 0.975).alias(f"{name}_high")]
+    return [*out, F.stddev_samp(over).alias(f"{name}_se")] if se else out
+
+
+def list_totals(draws: DataFrame, by: list[str], order: str, k: int, gains: list[str]) -> DataFrame:
+    """Sums over all (``t<gain>``) and over the list of the first ``k`` drawn rows, copies counted (``l<gain>``), by draw and rule.
+
+    ``draws`` has ``block``, which rises with ``order`` (repeat it by ``npi``): counts are summed by block, then inside the
+    blocks that ``k`` ends in, so nothing is sorted as a whole.
+    """
+    blocks = materialise(draws.groupBy(*by, "block").agg(F.sum("m").alias("bm"), *[F.sum(F.col("m") * F.col(g)).alias(f"t{g}") for g in gains]))
+    ahead = F.coalesce(F.sum("bm").over(Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.withColumn("ahead", ahead)
+    whole = placed.groupBy(*by).agg(*[F.sum(F.when(F.col("ahead") + F.col("bm") <= k, F.col(f"t{g}"))).alias(f"w{g}") for g in gains], *[F.sum(f"t{g}").alias(f"t{g}") for g in gains])
+    last = placed.where((F.col("ahead") < k) & (F.col("ahead") + F.col("bm") > k)).select(*by, "block", "ahead")
+    prior = F.col("ahead") + F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy(order, "npi").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = draws.join(last, [*by, "block"]).withColumn("take", F.greatest(F.least(F.col("m"), k - prior), F.lit(0)))
+    part = cut.groupBy(*by).agg(*[F.sum(F.col("take") * F.col(g)).alias(f"c{g}") for g in gains])
+    out = whole.join(part, by, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return materialise(out.select(*by, *[(zero(f"w{g}") + zero(f"c{g}")).alias(f"l{g}") for g in gains], *[f"t{g}" for g in gains]))
+
+
+def shuffled(rows: DataFrame, value: str, reps: int, seed: int, key: str = "npi", stratum: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows with a number ``i``, and ``rep, i, value``: in each shuffle the value of another row of the same stratum.
+
+    Rows are numbered in the order of strata and keys, and in each shuffle in the order of strata and hashes: one number is
+    one stratum in both. Both orders are range scans over all rows.
+    """
+    s = F.col(stratum) if stratum else F.lit(0)
+    own = materialise(ranks.global_scan(rows.withColumn("__s", s), [F.col("__s"), F.col(key)], rank="i", total="__n"))
+    hashed = own.select(key, "__s", value, "__n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("h", F.xxhash64(key, "rep", F.lit(seed)))
+    dealt = ranks.global_scan(hashed, [F.col("rep"), F.col("__s"), F.col("h"), F.col(key)], rank="g")
+    return own.drop("__s", "__n"), dealt.select("rep", (F.col("g") - (F.col("rep") - 1) * F.col("__n")).alias("i"), value)
+
+
 def bootstrap_capture(panel: DataFrame, rules: Mapping[str, str], value: str, k: int, reps: int = 400, seed: int = 5, baseline: str = "volume", share: str | None = None, block: int = 10_000) -> DataFrame:
     """Capture of each rule's list and its ratio to the baseline's, with percentile intervals; with ``share`` the same of a second column.
 
@@ -21,39 +66,57 @@ def bootstrap_capture(panel: DataFrame, rules: Mapping[str, str], value: str, k:
     values = {"": value} | ({"share_": share} if share else {})
     gains = {f"g{p}": F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)) for p, c in values.items()}
     ranked = stats.union_all([ranks.global_scan(panel.select("npi", F.col(c).cast("double").alias("score"), *[x.alias(g) for g, x in gains.items()]), [F.col("score").desc_nulls_last(), F.col("npi")]).select("npi", F.lit(r).alias("rule"), "rn", *gains) for r, c in rules.items()])
-    w = F.when(F.col("rep") == 0, F.lit(1)).otherwise(stats.poisson_weight(F.xxhash64("npi", "rep", F.lit(seed))))
-    draws = ranked.withColumn("block", F.floor((F.col("rn") - 1) / block)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("m", w).where("m > 0")
-    blocks = materialise(draws.groupBy("rep", "rule", "block").agg(F.sum("m").alias("bm"), *[F.sum(F.col("m") * F.col(g)).alias(f"t{g}") for g in gains]))
-    ahead = F.coalesce(F.sum("bm").over(Window.partitionBy("rep", "rule").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    reached = blocks.select("rep", "rule", "block", ahead.alias("ahead")).where(F.col("ahead") < k)
-    prior = F.col("ahead") + F.coalesce(F.sum("m").over(Window.partitionBy("rep", "rule", "block").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    listed = draws.join(reached, ["rep", "rule", "block"]).withColumn("take", F.greatest(F.least(F.col("m"), k - prior), F.lit(0)))
-    got = listed.groupBy("rep", "rule").agg(*[F.sum(F.col("take") * F.col(g)).alias(f"l{g}") for g in gains])
-    per = materialise(got.join(blocks.groupBy("rep", "rule").agg(*[F.sum(f"t{g}").alias(f"t{g}") for g in gains]), ["rep", "rule"]))
+    draws = drawn(ranked.withColumn("block", F.floor((F.col("rn") - 1) / block)), reps, seed)
+    per = list_totals(draws, ["rep", "rule"], "rn", k, list(gains))
     long = per.join(per.where(F.col("rule") == baseline).select("rep", *[F.col(f"l{g}").alias(f"b{g}") for g in gains]), "rep", "left")
     long = long.withColumns({f"{p}{c}": F.try_divide(f"lg{p}", f"{d}g{p}") for p in values for c, d in (("capture", "t"), ("ratio", "b"))})
-    drawn = lambda c: F.when(F.col("rep") > 0, F.col(c))
-    out = long.groupBy("rule").agg(*[x for p in values for c in (f"{p}capture", f"{p}ratio") for x in (F.max(F.when(F.col("rep") == 0, F.col(c))).alias(c), F.percentile(drawn(c), 0.025).alias(f"{c}_low"), F.percentile(drawn(c), 0.975).alias(f"{c}_high"), F.stddev_samp(drawn(c)).alias(f"{c}_se"))])
+    out = long.groupBy("rule").agg(*[x for p in values for c in (f"{p}capture", f"{p}ratio") for x in interval(c, se=True)])
     return out.withColumns({f"{p}excludes_one": (F.col(f"{p}ratio_low") > 1) | (F.col(f"{p}ratio_high") < 1) for p in values})
 
 
 def permutation_test(df: DataFrame, stratum: str, x: str, y: str, key: str = "npi", reps: int = 200, seed: int = 9) -> DataFrame:
-    """Slope of y on x against slopes after shuffling x inside strata: the share of shuffles at least as steep."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(stratum).alias("s"), F.col(x).alias("x"), F.col(y).alias("y")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    place = F.row_number().over(Window.partitionBy("rep", "s").orderBy(F.when(F.col("rep") == 0, F.lit(0)).otherwise(F.xxhash64(key, "rep", F.lit(seed))), key))
-    own = F.row_number().over(Window.partitionBy("rep", "s").orderBy(key))
-    both = rows.select("rep", "s", "x", place.alias("i")).join(rows.select("rep", "s", "y", own.alias("i")), ["rep", "s", "i"])
+    """Slope of y on x against slopes after shuffling x inside strata: the share of shuffles at least as steep.
+
+    No stratum has to fit a task.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(stratum).alias("s"), F.col(x).alias("x"), F.col(y).alias("y"))
+    own, others = shuffled(rows, "x", reps, seed, key, "s")
+    both = others.join(own.select("i", "y"), "i").unionByName(own.select("i", F.lit(0).alias("rep"), "x", "y"))
     slopes = both.groupBy("rep").agg(F.regr_slope("y", "x").alias("b"))
     real = slopes.where("rep = 0").select(F.col("b").alias("slope"))
     return slopes.where("rep > 0").join(F.broadcast(real)).groupBy("slope").agg(F.avg((F.abs("b") >= F.abs("slope")).cast("double")).alias("p_value"), F.count("*").alias("shuffles"))
 
 
-def drift_report(before: DataFrame, after: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """PSI and KS of each feature between two periods, with a status."""
-    parts = []
-    for c in numeric:
-        parts.append(stats.psi_numeric(before, after, c).join(F.broadcast(stats.ks(before, after, c))).select(F.lit(c).alias("feature"), "psi", "ks"))
-    for c in categorical:
-        parts.append(stats.psi_categorical(before, after, c).select(F.lit(c).alias("feature"), "psi", F.lit(None).cast("double").alias("ks")))
-    status = F.when(F.col("psi") < 0.10, "stable").when(F.col("psi") < 0.25, "watch").otherwise("shifted")
+def drift_report(periods: Mapping[int, DataFrame], numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """PSI, and KS of numbers, of each feature between consecutive periods, with a status."""
+    years, parts = sorted(periods), []
+    for a, b in zip(years, years[1:], strict=False):
+        before, after = periods[a], periods[b]
+        of = lambda c, kind, df, a=a, b=b: df.select(F.lit(a).alias("from_year"), F.lit(b).alias("to_year"), F.lit(c).alias("feature"), F.lit(kind).alias("kind"), "psi", "ks")
+        for c in numeric:
+            parts.append(of(c, "numeric", stats.psi_numeric(before, after, c).join(F.broadcast(stats.ks(before, after, c)))))  # one row
+        for c in categorical:
+            parts.append(of(c, "categorical", stats.psi_categorical(before, after, c).withColumn("ks", F.lit(None).cast("double"))))
+    status = F.when(F.col("psi") < 0.10, "stable").when(F.col("psi") < 0.25, "moderate").otherwise("major")
     return stats.union_all(parts).withColumn("status", status)
+
+
+def concept_drift(panels: Mapping[str, DataFrame], score: str = "opportunity", outcome: str = "growth_abs") -> DataFrame:
+    """By panel: rank correlation of the score with the outcome, and the lift of the top tenth of the score."""
+    from . import backtest
+
+    parts = []
+    for name, panel in panels.items():
+        panel = materialise(panel.select("npi", score, outcome))
+        top = panel.join(F.broadcast(ranks.quantile(panel, score, 0.9, "__cut"))).agg(F.avg(F.when(F.col(score) >= F.col("__cut"), F.col(outcome))).alias("t"), F.avg(outcome).alias("m"))  # one row
+        parts.append(top.select(F.lit(name).alias("panel"), (F.col("t") / F.greatest("m", F.lit(1e-9))).alias("top_decile_lift")).join(F.broadcast(backtest.spearman(panel, score, outcome))))
+    return stats.union_all(parts)
+
+
+def retrain(drift: DataFrame, concept: DataFrame, last: int, score: str = "opportunity", score_limit: float = 0.10, moved: float = 0.05) -> DataFrame:
+    """One row: whether an input's PSI is major, the score's is at its limit, or its rank correlation with outcomes moved, and so whether to refit."""
+    now = drift.where(F.col("to_year") == last)
+    d = now.agg(F.coalesce(F.max(F.when(F.col("feature") != score, F.col("psi"))), F.lit(0.0)).alias("worst_input_psi"), F.coalesce(F.max(F.when(F.col("feature") == score, F.col("psi"))), F.lit(0.0)).alias("score_psi"))
+    c = concept.agg((F.max_by("spearman", "panel") - F.min_by("spearman", "panel")).alias("spearman_change"))
+    out = d.join(F.broadcast(c))  # one row
+    return out.withColumn("retrain", (F.col("worst_input_psi") >= 0.25) | (F.col("score_psi") >= score_limit) | F.coalesce(F.abs("spearman_change") > moved, F.lit(False)))

@@ -40,7 +40,8 @@ def call_plan(scored: DataFrame, capacity: float) -> DataFrame:
     """Call frequency from the matrix, filled from the top of the opportunity ranking until the monthly capacity is used."""
     wanted = F.when(F.col("in_market"), desired_calls(F.col("opportunity_decile"), F.col("brand_share"))).otherwise(0.0)
     out = scored.withColumns({"decile_band": decile_band(F.col("opportunity_decile")), "share_band": share_band(F.col("brand_share")), "desired_calls": wanted})
-    out = ranks.global_scan(out, [F.col("opportunity").desc(), F.col("npi")], {"cumulative": F.col("desired_calls")}, rank=None)
+    scan = ranks.global_scan(out.select("npi", "opportunity", "desired_calls"), [F.col("opportunity").desc(), F.col("npi")], {"cumulative": F.col("desired_calls")}, rank=None)
+    out = out.join(scan.select("npi", "cumulative"), "npi")
     out = out.withColumn("calls_per_month", F.when(F.col("cumulative") <= capacity, F.col("desired_calls")).otherwise(0.0)).drop("cumulative")
     return out.withColumn("calls_per_year", F.col("calls_per_month") * 12).withColumn("is_target", F.col("calls_per_month") > 0)
 
@@ -135,12 +136,19 @@ def required_ceiling(curve: DataFrame) -> DataFrame:
     return curve.where("marginal_contribution is not null").select("scenario", "n_reps", F.when(need <= 1, need).alias("required_ceiling"))
 
 
-def sizing_summary(curve: DataFrame, swings: DataFrame, current: int = CURRENT_REPS, *, identified: bool = True, expansion: float = 1.5) -> DataFrame:
-    """Break-even, the recommendation within the plausible expansion, and the range over all assumptions."""
+def sizing_summary(curve: DataFrame, swings: DataFrame, current: int = CURRENT_REPS, *, identified: bool = True, expansion: float = 1.5, demand: DataFrame | None = None) -> DataFrame:
+    """Break-even, the recommendation within the plausible expansion, and the range over all assumptions; where the response isn't identified the size is held.
+
+    ``demand``: the plan, whose desired calls beyond the current capacity are the unmet share.
+    """
     b = break_even(curve.where("scenario = 'base'"))
     top = swings.agg(F.min(F.least("at_low", "at_high")).alias("lowest"), F.max(F.greatest("at_low", "at_high")).alias("highest"))
     advice = F.least(F.col("break_even_reps"), F.lit(expansion * current)) if identified else F.lit(float(current))
-    return b.join(F.broadcast(top)).select("break_even_reps", advice.alias("recommended_reps"), "lowest", "highest")
+    out = b.join(F.broadcast(top)).select("break_even_reps", advice.alias("recommended_reps"), "lowest", "highest")
+    if demand is None:
+        return out
+    unmet = demand.agg(F.greatest(1 - F.try_divide(F.lit(monthly_capacity(current)), F.nullif(F.sum("desired_calls"), F.lit(0.0))), F.lit(0.0)).alias("unmet_share"))
+    return out.join(F.broadcast(unmet))  # one row
 
 
 def retargeting_value(scored: DataFrame, rules: Mapping[str, str], k: int, calls: float, e: Mapping[str, float] | None = None) -> DataFrame:
@@ -170,3 +178,29 @@ def payoff(curve: DataFrame, decisions: Sequence[int], ceilings: Mapping[str, fl
 
 def minimax(payoffs: DataFrame) -> DataFrame:
     return payoffs.groupBy("n_reps").agg(F.max("regret").alias("worst_regret"), F.min("payoff").alias("worst_payoff")).withColumn("chosen", F.row_number().over(Window.orderBy("worst_regret", "n_reps")) == 1)
+
+
+def hold_out_cost(plan: DataFrame, listed: int, share: float = 0.2) -> DataFrame:
+    """One row: the part of the list's contribution that holding a share of it out costs.
+
+    The calls of those held out go to the next accounts below the list, so the loss is the gap to these.
+    """
+    held = round(share * listed)
+    first = ranks.top_k(plan.select("npi", "opportunity"), "opportunity", listed).agg(F.avg("opportunity").alias("on_list"))
+    wider = ranks.top_k(plan.select("npi", "opportunity"), "opportunity", listed + held).agg(F.sum("opportunity").alias("s"), F.count("*").alias("n"))
+    rest = F.try_divide(F.col("s") - F.col("on_list") * listed, F.col("n") - listed)
+    gap = F.greatest(1 - F.try_divide(rest, F.col("on_list")), F.lit(0.0))
+    return first.join(F.broadcast(wider)).select(F.when(F.col("on_list") > 0, share * gap).otherwise(share).alias("cost_fraction"))  # one row
+
+
+def grow_threshold(curve: DataFrame, target: float, required: float, current: float = CURRENT_REPS, horizon: float = 3.0, hire: float = 60_000.0, ramp_months: float = 6.0) -> DataFrame:
+    """One row: the response, as a multiple of the required one and at least 1, above which growing to ``target`` reps pays over the horizon.
+
+    The value is linear in the response, so it is a ratio; null if more reps add nothing.
+    """
+    at = lambda n, c: F.max(F.when(F.col("n_reps") == float(n), F.col(c)))
+    per = F.col("contribution") / F.col("call_response_ceiling")
+    rows = curve.where(F.col("scenario") == "base").withColumn("k", per)
+    d = rows.agg((at(target, "k") - at(current, "k")).alias("k"), (at(target, "field_cost") - at(current, "field_cost")).alias("cost"))
+    need = F.try_divide(horizon * F.col("cost") + hire * (target - current), F.when(F.col("k") > 0, F.col("k") * (horizon - ramp_months / 24)))
+    return d.select(F.greatest(need / required, F.when(need.isNotNull(), F.lit(1.0))).alias("times_required"))

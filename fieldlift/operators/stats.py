@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
-from math import erfc, sqrt
+from math import erfc, exp, lgamma, log, log1p, sqrt
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranks
@@ -29,9 +30,49 @@ def welch(df: DataFrame, arm: str, value: str) -> DataFrame:
     return m.select((F.col("m1") - F.col("m0")).alias("difference"), F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(F.col("a") + F.col("b"))).alias("t"), dof.alias("dof"), "n1", "n0")
 
 
-def normal_p(t: float) -> float:
-    """Two-sided p-value; with the cohort sizes here the t distribution is normal."""
-    return erfc(abs(t) / sqrt(2))
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function (Lentz)."""
+    tiny, c, d = 1e-300, 1.0, 1 / max(abs(1 - (a + b) * x / (a + 1)), 1e-300)
+    h = d
+    for m in range(1, 500):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + top * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + top / c
+            c = c if abs(c) > tiny else tiny
+            h *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return h
+
+
+def student_p(t: float, dof: float) -> float:
+    """Two-sided p-value of Student's t."""
+    x, a, b = dof / (dof + t * t), dof / 2, 0.5
+    if x >= 1:
+        return 1.0
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x))
+    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+def normal_cdf(x: Column) -> Column:
+    """The standard normal distribution function; null stays null."""
+
+    @F.pandas_udf("double")
+    def cdf(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: 0.5 * erfc(-v / sqrt(2)), na_action="ignore").astype("float64")
+
+    return cdf(x)
+
+
+def p_value(t: Column, dof: Column) -> Column:
+    """Two-sided p-values of Student's t as a column; null if either is null."""
+
+    @F.pandas_udf("double")
+    def p(ts: pd.Series, dofs: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else student_p(a, b) for a, b in zip(ts, dofs, strict=True)], dtype="float64")
+
+    return p(t, dof)
 
 
 def did(df: DataFrame, arm: str, pre: str, post: str) -> DataFrame:
@@ -70,12 +111,18 @@ def ols(df: DataFrame, y: str, x: str) -> DataFrame:
     return m.select(given(F.col("slope")).alias("slope"), given(F.col("intercept")).alias("intercept"), given(F.sqrt(F.greatest(F.try_divide(sse, (F.col("n") - 2) * F.col("sxx")), F.lit(0.0)))).alias("se"), "n")
 
 
-def icc(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One-way intraclass correlation over groups of at least two, with the group-size correction."""
+def icc(df: DataFrame, group: str, value: str, *, floored: bool = False) -> DataFrame:
+    """One-way intraclass correlation over groups of at least two, with the group-size correction.
+
+    ``floored``: at least 0, and 0 where fewer than three groups are left or the variances vanish.
+    """
     g = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v")).where("n > 1")
     t = g.agg(F.count("*").alias("k"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("n") * F.col("m")).alias("nm"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("nmm"), F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"))
-    t = t.withColumn("msb", (F.col("nmm") - F.col("nm") * F.col("nm") / F.col("N")) / (F.col("k") - 1)).withColumn("msw", F.col("ssw") / (F.col("N") - F.col("k"))).withColumn("n0", (F.col("N") - F.col("nn") / F.col("N")) / (F.col("k") - 1))
-    return t.select("k", "N", F.try_divide(F.col("msb") - F.col("msw"), F.col("msb") + (F.col("n0") - 1) * F.col("msw")).alias("icc"))
+    t = t.withColumn("msb", F.try_divide(F.col("nmm") - F.try_divide(F.col("nm") * F.col("nm"), F.col("N")), F.col("k") - 1)).withColumn("msw", F.try_divide(F.col("ssw"), F.col("N") - F.col("k"))).withColumn("n0", F.try_divide(F.col("N") - F.try_divide(F.col("nn"), F.col("N")), F.col("k") - 1))
+    ratio = F.try_divide(F.col("msb") - F.col("msw"), F.col("msb") + (F.col("n0") - 1) * F.col("msw"))
+    if floored:
+        ratio = F.when((F.col("k") >= 3) & (ratio > 0), ratio).otherwise(0.0)
+    return t.select("k", "N", ratio.alias("icc"))
 
 
 def psi_numeric(before: DataFrame, after: DataFrame, column: str, floor: float = 1e-4) -> DataFrame:
@@ -106,27 +153,48 @@ def ks(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     return scan.join(F.broadcast(n)).agg(F.max(F.abs(F.col("fa") / F.col("na") - F.col("fb") / F.col("nb"))).alias("ks"))
 
 
-def beta_prior(df: DataFrame, group: str, hits: str, trials: str, least: int = 20) -> DataFrame:
-    """Beta prior of a rate by group, by moments weighted by trials; groups of under 30 rows use all with a trial."""
-    p = F.try_divide(F.col(hits), F.col(trials))
-    rows = df.where(F.col(trials) > 0).select(group, F.col(trials).cast("double").alias("n"), F.least(p, F.lit(1.0)).alias("p"))
-    count = rows.groupBy(group).agg(F.count_if(F.col("n") >= least).alias("big"))
-    used = rows.join(count, group).where((F.col("n") >= least) | (F.col("big") < 30))
-    m = used.groupBy(group).agg(F.sum("n").alias("w"), F.sum(F.col("n") * F.col("p")).alias("wp"), F.sum(F.col("n") * F.col("p") * F.col("p")).alias("wpp"), F.count("*").alias("k"))
-    mean, nbar = F.col("wp") / F.col("w"), F.col("w") / F.col("k")
-    var = F.greatest(F.col("wpp") / F.col("w") - mean * mean, F.lit(0.0))
-    spread = mean * (1 - mean)
-    between = F.greatest(F.try_divide(var - spread / nbar, 1 - 1 / nbar), F.lit(1e-9))
-    kappa = F.least(F.greatest(spread / between - 1, F.lit(1.0)), F.lit(5000.0))
-    return m.select(group, mean.alias("mean"), kappa.alias("strength"), (mean * kappa).alias("a"), ((1 - mean) * kappa).alias("b"), "k")
+def beta_prior(df: DataFrame, group: str, hits: str, trials: str, least: int = 20, few: int = 30) -> DataFrame:
+    """Beta prior of a rate by group, by moments weighted by trials: ``mean, strength, a, b, accounts``.
+
+    Rows of at least ``least`` trials count, or all with a trial where fewer than ``few`` have them. The binomial noise of
+    the rates is taken off their variance. A group without trials has no prior.
+    """
+    rows = df.select(group, F.greatest(F.col(trials).cast("double"), F.lit(0.0)).alias("n"), F.greatest(F.col(hits).cast("double"), F.lit(0.0)).alias("y"))
+    large = F.col("n") >= least
+
+    def sums(on: Column, name: str) -> list[Column]:
+        """Weight, weighted rates and their squares, and rows: p times n is y, its square times n is y * y / n."""
+        return [F.sum(F.when(on, x)).alias(f"{name}_{k}") for k, x in (("w", F.col("n")), ("y", F.col("y")), ("yy", F.try_divide(F.col("y") * F.col("y"), F.nullif(F.col("n"), F.lit(0.0)))), ("k", F.lit(1)))]
+
+    m = rows.groupBy(group).agg(F.count("*").alias("accounts"), *sums(large, "l"), *sums(F.col("n") > 0, "a"))
+    pick = lambda c: F.when(F.coalesce("l_k", F.lit(0)) < few, F.col(f"a_{c}")).otherwise(F.col(f"l_{c}"))
+    m = m.withColumns({c: pick(c) for c in ("w", "y", "yy", "k")}).where("k > 0").withColumn("m", F.col("y") / F.col("w"))
+    spread = F.col("m") * (1 - F.col("m"))
+    real = F.greatest(F.col("yy") / F.col("w") - F.col("m") * F.col("m") - spread * F.col("k") / F.col("w"), F.lit(1e-6))
+    mean, strength = F.least(F.greatest("m", F.lit(1e-4)), F.lit(1 - 1e-4)), F.least(F.greatest(spread / real - 1, F.lit(1.0)), F.lit(5000.0))
+    return m.select(group, mean.alias("mean"), strength.alias("strength"), (mean * strength).alias("a"), ((1 - mean) * strength).alias("b"), "accounts")
 
 
 def shrink(df: DataFrame, priors: DataFrame, group: str, hits: str, trials: str, name: str = "eb_share") -> DataFrame:
-    """Empirical-Bayes rate (hits + a) / (trials + a + b); a group without a prior takes the median prior."""
+    """Empirical-Bayes rate (hits + a) / (trials + a + b), hits at most trials; a group without a prior takes the median prior.
+
+    The priors are a row per group.
+    """
     middle = priors.agg(F.median("a").alias("__a"), F.median("b").alias("__b"))
-    out = df.join(priors.select(group, "a", "b"), group, "left").join(F.broadcast(middle))
-    a, b = F.coalesce("a", "__a"), F.coalesce("b", "__b")
-    return out.withColumn(name, (F.least(F.col(hits), F.col(trials)) + a) / (F.col(trials) + a + b)).drop("a", "b", "__a", "__b")
+    mine = priors.select(F.col(group).alias("__g"), F.col("a").alias("__pa"), F.col("b").alias("__pb"))
+    out = df.join(mine, df[group].eqNullSafe(F.col("__g")), "left").join(F.broadcast(middle))  # one row
+    a, b = F.coalesce("__pa", "__a"), F.coalesce("__pb", "__b")
+    n = F.greatest(F.coalesce(F.col(trials).cast("double"), F.lit(0.0)), F.lit(0.0))
+    y = F.least(F.greatest(F.coalesce(F.col(hits).cast("double"), F.lit(0.0)), F.lit(0.0)), n)
+    return out.withColumn(name, (y + a) / (n + a + b)).drop("__g", "__pa", "__pb", "__a", "__b")
+
+
+def shrunk_growth(panel: DataFrame, priors: DataFrame, group: str = "specialty_group") -> DataFrame:
+    """Shrunk share now and in the next period, its change ``eb_growth_share``, and the change in volume ``eb_share_fills``, which is the target aligned with value."""
+    out = shrink(panel, priors, group, "brand_fills", "class_fills_observed")
+    out = shrink(out, priors, group, "brand_fills_next", "class_obs_next", "eb_share_next")
+    out = out.withColumn("eb_growth_share", F.col("eb_share_next") - F.col("eb_share"))
+    return out.withColumn("eb_share_fills", F.col("eb_growth_share") * F.greatest("class_fills", F.lit(0.0)))
 
 
 def stack_segments(df: DataFrame, segments: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -172,11 +240,21 @@ def histogram(df: DataFrame, value: str, arm: str, bins: int = 20) -> DataFrame:
     return df.groupBy(b.alias("bin")).agg(F.count_if(F.col(arm)).alias("treated"), F.count_if(~F.col(arm)).alias("control"))
 
 
+def captured_headroom(panel: DataFrame, now: str = "brand_share", after: str = "brand_share_next") -> DataFrame:
+    """Add ``captured``: growth of the share over what was left to win (at least 0.01), within -1 and 1; an undefined share is 0."""
+    share, growth = F.coalesce(F.col(now), F.lit(0.0)), F.coalesce(F.col(after), F.lit(0.0)) - F.coalesce(F.col(now), F.lit(0.0))
+    return panel.withColumn("captured", F.greatest(F.least(growth / F.greatest(1 - share, F.lit(0.01)), F.lit(1.0)), F.lit(-1.0)))
+
+
 def dose_response(panel: DataFrame, least: int = 200) -> DataFrame:
-    """Captured share by number of calls over the zero-call mean of the volume decile, pooled by size; thin cells are left out."""
+    """Captured headroom by number of calls over the zero-call mean of the volume decile, pooled by size.
+
+    Cells of fewer than ``least`` accounts are left out, and deciles with too few accounts without calls; the level of no
+    calls is 0 by construction and stays.
+    """
     cell = panel.groupBy("vol_decile", "calls").agg(F.count("*").alias("n"), F.avg("captured").alias("m")).where(F.col("n") >= least)
     base = cell.where("calls = 0").select("vol_decile", F.col("m").alias("m0"))
-    over = cell.where("calls > 0").join(base, "vol_decile")
+    over = cell.join(base, "vol_decile")
     return over.groupBy("calls").agg((F.sum((F.col("m") - F.col("m0")) * F.col("n")) / F.sum("n")).alias("captured_excess"), F.sum("n").alias("n"))
 
 
@@ -196,3 +274,12 @@ def ranked_metrics(df: DataFrame, score: str, k: int, values: Sequence[str], rel
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def list_uplift(effects: DataFrame, rules: Mapping[str, str], k: int) -> DataFrame:
+    """Sums of effects and of their pseudo-outcomes over each rule's list of ``k``, and the list's length."""
+    from .opportunity import stack_rules
+
+    rows = effects.select("npi", *dict.fromkeys(rules.values()), F.col("tau").alias("__tau"), F.col("phi").alias("__phi"))
+    top = ranks.top_k_by_rule(stack_rules(rows, rules, ["npi", "__tau", "__phi"]), k)
+    return top.groupBy("rule").agg(F.sum("__tau").alias("uplift"), F.sum("__phi").alias("observed"), F.count("*").alias("listed"))

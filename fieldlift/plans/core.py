@@ -191,7 +191,7 @@ def d2_imputation_sensitivity(s: Spark, d: str) -> DataFrame:
     return M.imputation_sensitivity(T.imputed(s, d))
 
 
-@query("SELECT * FROM mart2", "risk_score class_fills brand_share class_fills_prior brand_share_prior class_growth_yoy brand_growth_yoy brand_share_delta zip3_pop_density")
+@query("SELECT * FROM mart", "risk_score class_fills brand_share class_fills_prior brand_share_prior class_growth_yoy brand_growth_yoy brand_share_delta zip3_pop_density")
 def d4_j2_w3_account_metrics(s: Spark, d: str) -> DataFrame:
     return T.mart(s, d)
 
@@ -389,9 +389,12 @@ def ev3_w5_gain_curve(s: Spark, d: str) -> DataFrame:
     return B.gain_curve(p, {"opportunity": "opportunity", "volume": "class_fills"}, "g")
 
 
+@query("""WITH a AS (SELECT avg((abs(decile_shift) >= 2)::INT) AS moved FROM scored WHERE in_market), l AS (SELECT opportunity_decile AS k, avg(brand_growth_abs) AS m FROM hold GROUP BY 1),
+r AS (SELECT corr(x, y) AS rho FROM (SELECT rank() OVER (ORDER BY k) + 0.0 AS x, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2 AS y FROM l)),
+t AS (SELECT rule, h.*, row_number() OVER (PARTITION BY rule ORDER BY CASE rule WHEN 'v' THEN class_fills ELSE opportunity END DESC, npi) AS p FROM hold h, (VALUES ('o'), ('v')) x(rule)), k AS (SELECT greatest(floor(0.2 * count(*)), 1) AS k FROM hold),
+g AS (SELECT sum(greatest(coalesce(share_growth, 0), 0)) FILTER (rule = 'o') / sum(greatest(coalesce(share_growth, 0), 0)) FILTER (rule = 'v') AS s, median(class_fills) FILTER (rule = 'o') / median(class_fills) FILTER (rule = 'v') AS b FROM t, k WHERE p <= k)
+SELECT 'G2 moves deciles' AS gate, moved >= 0.3 AS passed FROM a UNION ALL SELECT 'G3 ranks growth', coalesce(rho >= 0.6, false) FROM r UNION ALL SELECT 'G3 beats volume on share', coalesce(s >= 1.05, false) FROM g UNION ALL SELECT 'G3 base not gamed', coalesce(b >= 0.25, false) FROM g UNION ALL SELECT 'G4 contiguity', false UNION ALL SELECT 'G4 balance', false""")
 def d28_gates(s: Spark, d: str) -> DataFrame:
+    """Without an alignment: what isn't measured fails."""
     h = T.holdout(s, d)
     return B.gates(O.agreement(T.scored(s, d)), B.decile_lift(h), B.head_to_head(h))
-
-
-query(None)(d28_gates)

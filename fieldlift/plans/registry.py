@@ -26,5 +26,5 @@ def query(sql: str | None, rounded: str = "", digits: int = 4) -> Callable[[Quer
     return register
 
 
-for _module in ("core", "study", "modelled"):
+for _module in ("core", "study", "modelled", "advanced"):
     import_module(f"{__package__}.{_module}")

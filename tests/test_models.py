@@ -30,7 +30,7 @@ def test_frontier_covers_its_quantile(accounts):
     got = {r["feature"]: r["share"] for r in p.collect()}
     assert got["log_panel_benes"] > got["specialty_group"] > got["risk_score"] and sum(got.values()) == pytest.approx(1)
     assert m.predict(accounts).where("frontier is null or frontier < 0").count() == 0
-    with pytest.raises(ValueError, match="market"):
+    with pytest.raises(ValueError, match="no rows"):
         models.fit_frontier(accounts.where("class_fills > 0").withColumn("class_fills", accounts.class_fills * 0), trees=1)
 
 
@@ -50,27 +50,28 @@ def test_uplift_orders_effects(accounts):
     assert {r["n"] for r in models.uplift_deciles(e).collect()} == {150}
 
 
-def test_registered_settings(spark, monkeypatch):
-    from fieldlift.plans import registry
-    from fieldlift.plans import modelled  # isort: skip
-
-    assert "d15_tau_sensitivity" in registry.QUERIES
-
-    seen = []
-    catch = lambda name: lambda *a, **k: seen.append((name, k.get("trees", k.get("iterations")), k.get("rate"), k.get("effect_iterations")))
-    for name in ("tau_sensitivity", "double_ml", "uplift"):
-        monkeypatch.setattr(models, name, catch(name))
-    for name in ("materialise", "uplift_deciles", "coverage"):
-        monkeypatch.setattr(models, name, lambda *a: None)
-    monkeypatch.setattr(models, "fit_frontier", catch("fit_frontier"))
-    monkeypatch.setattr(modelled.market, "peer_benchmark", lambda m: None)
-    monkeypatch.setattr(modelled.T, "mart", lambda s, d: None)
-    for name in ("_causal", "_fit_rows"):
-        monkeypatch.setattr(modelled, name, lambda s, d: None)
-    for q in (modelled.d9_frontier_coverage, modelled.d15_tau_sensitivity, modelled.rs14_rs15_double_ml, modelled.rs17_rs18_uplift_deciles):
-        q(spark, "")
-    # No argument: 300 trees at rate 0.05.
-    assert seen == [("fit_frontier", None, None, None), ("tau_sensitivity", None, None, None), ("double_ml", 200, 0.06, None), ("uplift", 200, 0.06, 150)]
+def test_registered_settings():
+    """Registered queries pass no settings of their own: what they run with are the operators' defaults."""
+    import inspect
+
+    from fieldlift.plans import advanced, modelled, registry
+
+    assert {"d15_tau_sensitivity", "ev8_forecast"} <= set(registry.QUERIES)
+    for module in (modelled, advanced):
+        source = inspect.getsource(module)
+        assert not [w for w in ("trees=", "iterations=", "rate=", "depth=", "reps=") if w in source]
+
+
+def test_contributions_add_up(accounts):
+    from fieldlift.operators import explain
+
+    m = models.fit_frontier(accounts, trees=6)
+    e = models.materialise(explain.attribution(accounts, m))
+    total = e.selectExpr("npi", "prediction", "base + aggregate(contributions, 0D, (a, c) -> a + c.contribution) as total").join(m.log_potential(models.feature_frame(accounts)[0].select("npi", *m.features, *models.CATEGORICAL)), "npi")
+    assert total.where("abs(total - prediction) > 1e-9 or abs(prediction - __f) > 1e-9").count() == 0
+    top = {r["feature"] for r in explain.top_drivers(e, 1).collect()}
+    assert "log_panel_benes" in top
+    assert sum(r["share"] for r in explain.global_drivers(e).collect()) == pytest.approx(1)
 
 
 def test_prediction_in_parts(accounts, monkeypatch):

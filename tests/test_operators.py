@@ -100,8 +100,9 @@ def test_territories_on_a_grid(spark):
     u = spark.createDataFrame(rows, "zip3 string, state string, lat double, lon double, workload double")
     e = territory.adjacency(u, 3, 1.0)
     assert e.where("a >= b").count() == 0 and e.count() >= 16
-    t = territory.repair_contiguity(territory.kmeans(u, 3), e)
-    assert t.count() == 16
+    start = territory.kmeans(u, 3).withColumn("n_reps", F.lit(3)).select("n_reps", "zip3", "lat", "lon", "workload", "territory")
+    t = territory.repair_contiguity(territory.capacity_assignment(u, territory.centroids(start)), e)
+    assert t.count() == 16 and t.select("zip3").distinct().count() == 16
     assert territory.metrics(t, territory.components(t, e)).first()["contiguity_rate"] == 1.0
 
 
