@@ -54,7 +54,8 @@ def test_registered_settings():
     """Registered queries pass no settings of their own: what they run with are the operators' defaults."""
     import inspect
 
-    from fieldlift.plans import advanced, modelled, registry
+    from fieldlift.plans import registry
+    from fieldlift.plans import advanced, modelled  # isort: skip
 
     assert {"d15_tau_sensitivity", "ev8_forecast"} <= set(registry.QUERIES)
     for module in (modelled, advanced):
