@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, chat, matroska, minhash, mixing, packing, substring_dedup, token_store, toxicity, weak_quality
+from . import block_naming, chat, collocations, matroska, minhash, mixing, packing, secret_scan, substring_dedup, token_store, toxicity, vector_codes, weak_quality
 from .common import table
 
 
@@ -63,6 +63,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_dedup(table(spark, sf_dir, "documents")).drop("n_cp")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_output,
         op9_exact_dedup,
         op10_best_fit_packing,
+        op11_secret_scan,
+        op12_phrase_collocations,
+        op13_vector_codes,
     )
 }
 
@@ -93,6 +108,15 @@ r AS (SELECT *, min(doc_id) OVER (PARTITION BY k) AS first_doc_id, row_number()
 d AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM r WHERE rn > 1),
 t AS (SELECT doc_id, unit::INT AS unit, s AS start_char, e AS end_char, words::BIGINT AS n_words, (sum(words) OVER (PARTITION BY doc_id, run))::BIGINT AS run_words, first_doc_id FROM d)"""
 
+
+
+def _code_rounds(rounds: int = 4) -> str:
+    """DuckDB SQL of the codebooks: a table of nearest entries and one of means by round; sums of integers in doubles are exact here."""
+    near = "a{0} AS MATERIALIZED (SELECT id, part, min({{'d': d, 'e': e}}) AS b FROM (SELECT p.id, p.part, c.e, (list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x) + list_inner_product(c.x, c.x))::BIGINT AS d FROM p JOIN c{0} c USING (part)) GROUP BY 1, 2)"
+    mean = "c{1} AS MATERIALIZED (SELECT c.part, c.e, coalesce(m.x, c.x) AS x FROM c{0} c LEFT JOIN (SELECT part, e, list(floor(s / n) ORDER BY j) AS x FROM (SELECT a.part, b.e AS e, j, sum(p.x[j]) AS s, count(*) AS n FROM a{0} a JOIN p USING (id, part), range(1, 17) r(j) GROUP BY ALL) GROUP BY 1, 2) m ON m.part = c.part AND m.e = c.e)"
+    return ",\n".join(x.format(k, k + 1) for k in range(rounds) for x in (near, mean)) + ",\n" + near.format(rounds)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": f"WITH {_LATER} SELECT * FROM t WHERE run_words >= 35",
     "op1_repeated_sentences": f"WITH {_LATER} SELECT *, run_words >= 35 AS removed FROM t",
@@ -121,4 +145,27 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = co
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS x FROM documents),
 g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size FROM t WINDOW w AS (PARTITION BY x ORDER BY n DESC, doc_id))
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM g""",
+    "op12_phrase_collocations": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, unnest(ps) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM w, range(1, 6) a(k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a FROM f WHERE k > 1 AND f >= 100),
+x AS (SELECT s.lang, s.phrase FROM c s JOIN c l ON l.lang = s.lang AND l.k > s.k AND contains(' ' || l.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * l.a >= 100 * s.a),
+t AS (SELECT c.*, string_split(phrase, ' ') AS w FROM c ANTI JOIN x USING (lang, phrase)),
+u AS (SELECT t.lang, t.phrase, t.a, j, l.f AS l, r.f AS r, n.n, ((1000::HUGEINT * t.a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM t, range(1, 5) b(j), n, f l, f r WHERE j < t.k AND n.lang = t.lang AND l.lang = t.lang AND l.k = j AND l.phrase = array_to_string(t.w[1:j], ' ') AND r.lang = t.lang AND r.k = t.k - j AND r.phrase = array_to_string(t.w[j + 1:], ' ')),
+m AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score FROM m QUALIFY rank <= 2000""",
+    "op13_vector_codes": f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT id, i AS part, v[16 * i + 1:16 * i + 16] AS x FROM k, range(4) r(i)),
+c0 AS MATERIALIZED (SELECT part, id - 1 AS e, x FROM p WHERE id <= 256),
+{_code_rounds()},
+o AS (SELECT id, string_agg(printf('%02x', b.e), '' ORDER BY part) AS code, sum(b.d)::BIGINT AS error FROM a4 GROUP BY 1),
+h AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY part, e, j)) AS s FROM (SELECT part, e, j, x[j] AS y FROM c4, range(1, 17) r(j)))
+SELECT k.vec_id, o.code, o.error, (sum(o.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, h.s AS codebooks_sha256 FROM k JOIN o USING (id), h""",
 }
