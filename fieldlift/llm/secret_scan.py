@@ -37,7 +37,7 @@ NAMES = re.compile(rb"passw|secret|token|api_?key", re.IGNORECASE)
 
 ESCAPED = re.compile(r"""[^\s"'<>&;,=]*(?:%[0-9A-Fa-f]{2}[^\s"'<>&;,=%]*)+""")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r'\\u\{([0-9A-Fa-f]{1,6})\}|\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|((?:\\x[0-9A-Fa-f]{2})+)|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|\\([\\"'/nrt])')
+UNICODE = re.compile(r"""\\u\{([0-9A-Fa-f]{1,6})\}|\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|((?:\\x[0-9A-Fa-f]{2})+)|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|\\([\\"'/nrt])""")
 PLAIN_ESCAPES = {"n": "\n", "r": "\r", "t": "\t"}
 #: The least secret has 16 bytes, 22 characters of base64; compressed bytes can be shorter.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{11,}")
