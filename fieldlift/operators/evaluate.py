@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import materialise
-from . import models, ranks, resample, stats
+from . import draws, models, ranks, resample, stats
 from .opportunity import stack_rules
 
 GUARDRAIL = 0.90
@@ -45,12 +45,10 @@ def ladder_panel(train: DataFrame, after: DataFrame, seed: int = 0) -> tuple[Dat
     """The next panel with the scores of eight rules, three of them boosted on the panel before."""
     targets = {"gbm_abs": "growth_abs", "gbm_share_raw": "growth_share", "gbm_value": "eb_share_fills"}
     train, after = materialise(train), materialise(after)
-    made = models.in_parallel([lambda c=c, n=n: models.fit_states(train, c, n) for n, c in targets.items()])
+    made = models.fit_states(train, {n: models.Fit(c) for n, c in targets.items()})
     out = ranks.percent_rank(ranks.percent_rank(after, "opportunity", "__ro"), "class_fills", "__rv")
     out = out.withColumn("hybrid", (F.col("__ro") + F.col("__rv")) / 2).drop("__ro", "__rv").withColumn("random", F.xxhash64("npi", F.lit(seed)).cast("double")).withColumn("momentum", F.coalesce("momentum", F.lit(0.0)))
-    for model in made:
-        out = out.join(model.predict(after), "npi")
-    return materialise(out), {"random": "random", "volume": "class_fills", "momentum": "momentum", "frontier": "opportunity", "hybrid": "hybrid"} | {n: n for n in targets}
+    return materialise(out.join(made.predict(after), "npi")), {"random": "random", "volume": "class_fills", "momentum": "momentum", "frontier": "opportunity", "hybrid": "hybrid"} | {n: n for n in targets}
 
 
 def shrinkage_comparison(train: DataFrame, after: DataFrame, k: int, cap: float = 2000.0) -> DataFrame:
@@ -58,10 +56,8 @@ def shrinkage_comparison(train: DataFrame, after: DataFrame, k: int, cap: float
     weight = F.least(F.greatest(F.coalesce("class_fills_observed", F.lit(0.0)), F.lit(1.0)), F.lit(cap))
     train, after = materialise(train.withColumn("precision", weight)), materialise(after)
     specs = {"ml_share_raw": ("growth_share", None), "ml_share_eb": ("eb_growth_share", None), "ml_share_eb_weighted": ("eb_growth_share", "precision"), "ml_share_value_aligned": ("eb_share_fills", None)}
-    made = models.in_parallel([lambda t=t, w=w, n=n: models.fit_states(train, t, n, weight=w) for n, (t, w) in specs.items()])
-    for model in made:
-        after = after.join(model.predict(after), "npi")
-    return rule_metrics(materialise(after), {n: n for n in specs}, k).select("rule", "median_base", "abs_capture", "eb_share_capture", "net_growth")
+    made = models.fit_states(train, {n: models.Fit(t, weight=w) for n, (t, w) in specs.items()})
+    return rule_metrics(materialise(after.join(made.predict(after), "npi")), {n: n for n in specs}, k).select("rule", "median_base", "abs_capture", "eb_share_capture", "net_growth")
 
 
 def mean_reversion(panel: DataFrame, small: float = 20.0) -> DataFrame:
@@ -75,29 +71,27 @@ def mean_reversion(panel: DataFrame, small: float = 20.0) -> DataFrame:
 
 
 def _draw_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Poisson trials and binomial hits of each row, from a generator of its own seed."""
+    """Poisson trials and binomial hits of whole batches, from hashed uniform numbers."""
     for b in batches:
-        n, y = np.empty(len(b)), np.empty(len(b))
-        for k, (seed, trials, p) in enumerate(zip(b["seed"].to_numpy(np.int64).view(np.uint64).tolist(), b["n"].tolist(), b["p"].tolist(), strict=True)):
-            rng = np.random.default_rng(seed)
-            n[k] = rng.poisson(trials)
-            y[k] = rng.binomial(int(n[k]), p)
-        yield b.drop(columns=["seed", "n", "p"]).assign(n=n, y=y)
+        key, rep = b["h"].to_numpy(np.int64), b["rep"].to_numpy()
+        n = draws.poisson(b["n"].to_numpy(float), draws.uniforms(key, rep, 1))
+        y = draws.binomial(n, b["p"].to_numpy(float), draws.uniforms(key, rep, 2))
+        yield b.drop(columns=["h", "n", "p"]).assign(n=n, y=y)
 
 
 def noise_ceiling(panel: DataFrame, priors: DataFrame, k: int, reps: int = 30, seed: int = 41, group: str = "specialty_group") -> DataFrame:
     """One row: what a list captures that knows every account's expected behaviour (mean and deviation over draws), and one that knows the outcome.
 
-    Next-period counts are drawn anew from the observed ones: Poisson trials and binomial hits, seeded by key and draw.
+    Next-period counts are drawn anew from the observed ones: Poisson trials and binomial hits, by key and draw.
     """
     n = F.greatest(F.coalesce("class_obs_next", F.lit(0.0)), F.lit(0.0))
     y = F.greatest(F.coalesce("brand_fills_next", F.lit(0.0)), F.lit(0.0))
     panel = materialise(panel)
     listed = ranks.top_k(panel.select("npi", F.col("eb_share_fills").alias("v")), "v", k).select("npi", F.lit(1).alias("listed"))
     base = materialise(panel.select("npi", group, "eb_share", "class_fills", n.alias("n"), F.least(F.coalesce(F.try_divide(y, F.nullif(n, F.lit(0.0))), F.lit(0.0)), F.lit(1.0)).alias("p"), F.greatest("eb_share_fills", F.lit(0.0)).alias("gv")).join(listed, "npi", "left"))
-    draws = base.select("npi", group, "eb_share", "class_fills", "listed", "n", "p", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("seed", F.xxhash64("npi", "rep", F.lit(seed)))
+    every = base.select("npi", group, "eb_share", "class_fills", "listed", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"), F.xxhash64("npi", F.lit(seed)).alias("h"), "n", "p")
     types = dict(base.dtypes)
-    counts = draws.select("npi", group, "eb_share", "class_fills", "listed", "rep", "seed", "n", "p").mapInPandas(_draw_counts, f"npi {types['npi']}, {group} {types[group]}, eb_share double, class_fills double, listed int, rep int, n double, y double")
+    counts = every.mapInPandas(_draw_counts, f"npi {types['npi']}, {group} {types[group]}, eb_share double, class_fills double, listed int, rep int, n double, y double")
     value = (F.col("next") - F.col("eb_share")) * F.greatest("class_fills", F.lit(0.0))
     gain = F.greatest(value, F.lit(0.0))
     per = stats.shrink(counts, priors, group, "y", "n", "next").groupBy("rep").agg(F.try_divide(F.sum(F.when(F.col("listed") == 1, gain)), F.sum(gain)).alias("c"))
@@ -131,9 +125,7 @@ def _first_practice(members: DataFrame) -> DataFrame:
 
 def practice_icc(members: DataFrame, panel: DataFrame, value: str, reps: int = 20, seed: int = 51) -> DataFrame:
     """One row: intraclass correlation of a value in practices (an account's first), against its shuffles over all accounts."""
-    own, dealt = resample.shuffled(materialise(panel.select("npi", value).dropna()), value, reps, seed)
-    real = own.select("npi", value, F.lit(0).alias("rep"))
-    every = materialise(real.unionByName(dealt.join(own.select("npi", "i"), "i").select("npi", value, "rep")).join(_first_practice(members), "npi"))
+    every = materialise(resample.shuffled(panel.select("npi", value).dropna(), value, reps, seed).join(_first_practice(members), "npi"))
     g = every.groupBy("rep", "practice").agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v")).where("n > 1")
     t = g.groupBy("rep").agg(F.count("*").alias("k"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("n") * F.col("m")).alias("nm"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("nmm"), F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"))
     between, inside = F.try_divide(F.col("nmm") - F.col("nm") * F.col("nm") / F.col("N"), F.col("k") - 1), F.try_divide("ssw", F.col("N") - F.col("k"))
@@ -155,7 +147,7 @@ def peer_value(train: DataFrame, after: DataFrame, members: DataFrame, k: int) -
     """Metrics of the value model's list with and without what practice mates do."""
     extra = ("peer_share", "peer_prior_change", "has_peers")
     train, after = materialise(with_peers(train, members, "growth_share")), materialise(with_peers(after, members, "prior_growth_share"))
-    plain, peers = models.in_parallel([lambda: models.fit_states(train, "eb_share_fills", "value_model"), lambda: models.fit_states(train, "eb_share_fills", "value_model_with_peers", extra=extra)])
+    plain, peers = models.in_parallel([lambda: models.fit_states(train, {"value_model": models.Fit("eb_share_fills")}), lambda: models.fit_states(train, {"value_model_with_peers": models.Fit("eb_share_fills")}, extra=extra)])
     return rule_metrics(after.join(plain.predict(after), "npi").join(peers.predict(after), "npi"), {n: n for n in ("value_model", "value_model_with_peers")}, k)
 
 
@@ -178,15 +170,15 @@ def bootstrap_frontier(panel: DataFrame, k: int, weights: Sequence[float], *, re
     """
     pos = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0))
     rows = materialise(panel.select("npi", F.col("opportunity").alias("o"), F.col("class_fills").alias("v"), pos("growth_abs").alias("ga"), pos("growth_share").alias("gs")))
-    draws = materialise(resample.drawn(rows, reps, seed))
+    drawn = materialise(resample.drawn(rows, reps, seed))
     for c in ("o", "v"):
-        counts = draws.groupBy("rep", c).agg(F.sum("m").alias("__c"))
+        counts = drawn.groupBy("rep", c).agg(F.sum("m").alias("__c"))
         scan = ranks.rank_within(counts, ["rep"], [F.col(c)], {"__upto": F.col("__c")}, rank="__rn")
-        whole = draws.groupBy("rep").agg(F.sum("m").alias("__all"))  # a row per draw
+        whole = drawn.groupBy("rep").agg(F.sum("m").alias("__all"))  # a row per draw
         share = scan.join(whole, "rep").select(F.col("rep").alias("__rep"), F.col(c).alias("__v"), ((F.col("__upto") - F.col("__c") + (F.col("__c") + 1) / 2) / F.col("__all")).alias(f"r{c}"))
-        draws = draws.join(share, (F.col("rep") == F.col("__rep")) & (F.col(c) == F.col("__v"))).drop("__rep", "__v")
-    draws = materialise(draws.select("npi", "rep", "m", "ro", "rv", "ga", "gs"))
-    scored = draws.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights]))).withColumn("order", F.round(-(F.col("weight") * F.col("ro") + (1 - F.col("weight")) * F.col("rv")), 12))
+        drawn = drawn.join(share, (F.col("rep") == F.col("__rep")) & (F.col(c) == F.col("__v"))).drop("__rep", "__v")
+    drawn = materialise(drawn.select("npi", "rep", "m", "ro", "rv", "ga", "gs"))
+    scored = drawn.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights]))).withColumn("order", F.round(-(F.col("weight") * F.col("ro") + (1 - F.col("weight")) * F.col("rv")), 12))
     per = resample.list_totals(scored.withColumn("block", F.floor(F.col("order") * blocks)).select("npi", "rep", "weight", "m", "order", "block", "ga", "gs"), ["rep", "weight"], "order", k, ["ga", "gs"])
     base = per.where("weight = 0").select("rep", F.col("lga").alias("a0"), F.col("lgs").alias("s0"))
     long = per.join(base, "rep").withColumn("abs_ratio", F.try_divide("lga", "a0")).withColumn("share_ratio", F.try_divide("lgs", "s0"))

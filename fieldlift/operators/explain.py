@@ -2,77 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import materialise
 from . import backtest, models, ranks, stats
+from .boosting import Trees
 from .opportunity import CATEGORICAL, score, stack_rules
 
 TOP = 5
 
 
-@dataclass
-class TreeTable:
-    """A tree as arrays: split feature (-1: leaf), threshold or left categories, children, and the expected shift of a node."""
-
-    feature: np.ndarray
-    threshold: np.ndarray
-    left_categories: list[frozenset[int] | None]
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-
-
-def tree_table(tree, shift: dict[float, float]) -> TreeTable:
-    """A node's value is the mean of its leaves' shifts, weighted by their training rows. Leaves are numbered from left to right."""
-    rows: list[list] = []
-    leaves = iter(range(1 << 20))
-
-    def add(node) -> tuple[int, float, float]:
-        at = len(rows)
-        rows.append([-1, 0.0, None, -1, -1, 0.0])
-        count = float(node.impurityStats().count())
-        if node.subtreeDepth() == 0:
-            value = shift.get(float(next(leaves)), 0.0)
-        else:
-            split = node.split()
-            (l, lv, lc), (r, rv, rc) = add(node.leftChild()), add(node.rightChild())
-            value = (lv * lc + rv * rc) / (lc + rc)
-            categories = frozenset(int(c) for c in split.leftCategories()) if "Categorical" in split.getClass().getSimpleName() else None
-            rows[at][:5] = [int(split.featureIndex()), 0.0 if categories is not None else float(split.threshold()), categories, l, r]
-        rows[at][5] = value
-        return at, value, count
-
-    add(tree._java_obj.rootNode())
-    feature, threshold, categories, left, right, value = zip(*rows, strict=True)
-    return TreeTable(np.array(feature), np.array(threshold), list(categories), np.array(left), np.array(right), np.array(value))
-
-
-def path_contributions(tables: Sequence[TreeTable], x: np.ndarray) -> tuple[float, np.ndarray]:
+def expected_values(trees: Trees) -> np.ndarray:
+    """By tree and node the mean of the leaves' values below it, weighted by their training rows."""
+    out = trees.value.copy()
+    for node in range(out.shape[1] // 2 - 1, -1, -1):
+        inner = trees.feature[:, node] >= 0
+        l, r = 2 * node + 1, 2 * node + 2
+        count = trees.count[:, l] + trees.count[:, r]
+        mean = (out[:, l] * trees.count[:, l] + out[:, r] * trees.count[:, r]) / np.maximum(count, 1)
+        out[inner, node] = mean[inner]
+    return out
+
+
+def path_contributions(trees: Trees, bins: np.ndarray) -> tuple[float, np.ndarray]:
     """Base value and contributions (row, feature): at each split a row's expected value changes, and the split's feature earns it."""
-    base, out, every = sum(t.value[0] for t in tables), np.zeros(x.shape), np.arange(len(x))
-    for t in tables:
-        node = np.zeros(len(x), int)
-        while True:
-            inner = t.feature[node] >= 0
-            if not inner.any():
-                break
-            rows, at = every[inner], node[inner]
-            seen = x[rows, t.feature[at]]
-            go = seen <= t.threshold[at]
-            for n in np.unique(at):
-                if t.left_categories[n] is not None:
-                    go[at == n] = np.isin(seen[at == n].astype(int), list(t.left_categories[n]))
-            after = np.where(go, t.left[at], t.right[at])
-            np.add.at(out, (rows, t.feature[at]), t.value[after] - t.value[at])
-            node[inner] = after
-    return base, out
+    value = expected_values(trees)
+    base, out, every = trees.start + trees.rate * value[:, 0].sum(), np.zeros(bins.shape), np.arange(len(bins))
+    for t in range(len(value)):
+        node = np.zeros(len(bins), np.int64)
+        for _ in range(trees.depth):
+            f = trees.feature[t][node]
+            seen = np.maximum(f, 0)
+            after = np.where(f >= 0, 2 * node + 2 - trees.left[t][node, bins[every, seen]], node)
+            out[every, seen] += np.where(f >= 0, value[t][after] - value[t][node], 0.0)
+            node = after
+    return float(base), trees.rate * out
 
 
 def attribution(df: DataFrame, model: models.Frontier) -> DataFrame:
@@ -81,18 +51,15 @@ def attribution(df: DataFrame, model: models.Frontier) -> DataFrame:
     Contributions and base add up to the prediction in log space. Categories are one feature each.
     """
     names = [*model.features, *CATEGORICAL]
-    tables = [tree_table(tree, shift) for tree, shift in model.model.trees if shift]
-    rate, start = model.model.rate, model.model.start
+    binning, trees = model.model.binning, model.model.trees
     framed, _ = models.feature_frame(df)
-    rows = model.encoded(framed.select("npi", *model.features, *CATEGORICAL)).select("npi", models.vector_to_array("x").alias("x"))
+    rows = model.encoded(framed.select("npi", *model.features, *CATEGORICAL)).select("npi", vector_to_array("x").alias("x"))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                base, found = path_contributions(tables, np.stack(batch["x"].to_numpy()))
-                found *= rate
-                total = start + rate * base
-                yield pd.DataFrame({"npi": batch["npi"], "prediction": total + found.sum(1), "base": total, "values": list(found)})
+                base, found = path_contributions(trees, binning.of(np.stack(batch["x"].to_numpy())))
+                yield pd.DataFrame({"npi": batch["npi"], "prediction": base + found.sum(1), "base": base, "values": list(found)})
 
     out = rows.mapInPandas(explain, "npi long, prediction double, base double, values array<double>")
     pairs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("values").alias("contribution"))
@@ -128,9 +95,10 @@ def ablation(df: DataFrame, benchmarks: DataFrame, outcomes: DataFrame, k: int,
     A variant may have ``keep`` (numeric features), ``flatten`` (categories made one), ``tau`` and ``national`` (one achievable
     share for all). ``outcomes``: npi, class_fills, growth_abs and the value. The first variant is the production one.
     """
+    fitted = models.fit_frontiers(df, {n: {"tau": tau} | v for n, v in variants.items()})
     middle = materialise(benchmarks.agg(F.median("achievable_share").alias("__m")))  # few distinct values: one per cell
 
-    def opportunity(spec: dict) -> DataFrame:
+    def opportunity(name: str, spec: dict) -> DataFrame:
         flat = tuple(spec.get("flatten", ()))
         rows = materialise(df.withColumns({c: F.lit("All") for c in flat}))
         bench = benchmarks
@@ -139,10 +107,9 @@ def ablation(df: DataFrame, benchmarks: DataFrame, outcomes: DataFrame, k: int,
         if flat:
             keys = [c for c in (*CATEGORICAL, "year") if c not in flat]
             bench = bench.groupBy(*keys).agg(F.median("achievable_share").alias("achievable_share")).withColumns({c: F.lit("All") for c in flat})
-        model = models.fit_frontier(rows, tau=spec.get("tau", tau), keep=spec.get("keep"))
-        return materialise(score(rows, bench, model.predict(rows), ["npi"]).where("in_market").select("npi", "opportunity"))
+        return materialise(score(rows, bench, fitted[name].predict(df), ["npi"]).where("in_market").select("npi", "opportunity"))
 
-    made = models.in_parallel([lambda s=s: opportunity(s) for s in variants.values()])
+    made = models.in_parallel([lambda n=n, s=s: opportunity(n, s) for n, s in variants.items()])
     outcomes = materialise(outcomes.select("npi", "class_fills", *[F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)).alias(n) for c, n in ((value, "gv"), ("growth_abs", "ga"))]))
     total = outcomes.agg(F.sum("gv").alias("tv"))
 

@@ -6,13 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import size_band
 from ..functions.session import materialise
-from . import models, ranks, stats
+from . import boosting, models, ranks, stats
 
 ALPHA = 0.10
 #: A band with no more calibration rows than this takes the constant of all rows.
@@ -50,13 +49,10 @@ class Intervals:
 
     encode: PipelineModel
     numeric: list[str]
-    quantiles: dict[str, models.Boosted]
+    quantiles: dict[str, boosting.Boosted]
 
     def predict(self, df: DataFrame) -> DataFrame:
-        out = models.encoded_states(df, self.encode, self.numeric)
-        for name, model in self.quantiles.items():
-            out = model.predict(out, name)
-        return out.drop("x")
+        return boosting.predict(models.encoded_states(df, self.encode, self.numeric), self.quantiles).drop("x")
 
 
 def fit_intervals(train: DataFrame, actual: str = "brand_fills_next", alpha: float = ALPHA, *, median: bool = False, **options: float) -> Intervals:
@@ -64,8 +60,7 @@ def fit_intervals(train: DataFrame, actual: str = "brand_fills_next", alpha: flo
     encode, numeric = models.state_encoder(train)
     rows = materialise(models.encoded_states(train.where(F.col(actual) > 0), encode, numeric).select("x", F.log1p(actual).alias("__y")))
     taus = {"lo": alpha / 2, "hi": 1 - alpha / 2} | ({"mid": 0.5} if median else {})
-    made = models.in_parallel([lambda t=t: models.boost_quantile(rows, t, **options) for t in taus.values()])
-    return Intervals(encode, numeric, dict(zip(taus, made, strict=True)))
+    return Intervals(encode, numeric, models.boost_quantiles(rows, taus, models.categories_of(numeric), **models.MEANS | options))
 
 
 def interval_coverage(train: DataFrame, after: DataFrame, actual: str = "brand_fills_next", alpha: float = ALPHA, segments: tuple[str, ...] = ("size_band", "specialty_group", "region", "rural"), least: int = 200, seed: int = 0, **options: float) -> DataFrame:
@@ -90,7 +85,7 @@ def interval_coverage(train: DataFrame, after: DataFrame, actual: str = "brand_f
 def hurdle(train: DataFrame, after: DataFrame, actual: str = "brand_fills_next", **options: float) -> DataFrame:
     """One row: AUC and Brier score on the next panel of the probability that the outcome isn't 0, with the share that it isn't."""
     active = (F.coalesce(F.col(actual), F.lit(0.0)) > 0).cast("double")
-    model = models.fit_states(train.withColumn("active", active), "active", "p_active", clip=(0.0, 1.0), depth=5, **options)
+    model = models.fit_states(train.withColumn("active", active), {"p_active": models.Fit("active", (0.0, 1.0))}, **options)
     out = materialise(after.select("npi", active.alias("active")).join(model.predict(after), "npi"))
     auc = BinaryClassificationEvaluator(rawPredictionCol="p_active", labelCol="active").evaluate(out)
     return out.agg(F.count("*").alias("n"), F.avg("active").alias("active_share"), F.lit(auc).alias("auc"), F.avg((F.col("p_active") - F.col("active")) ** 2).alias("brier"))
@@ -99,7 +94,7 @@ def hurdle(train: DataFrame, after: DataFrame, actual: str = "brand_fills_next",
 def hurdle_calibration(train: DataFrame, after: DataFrame, actual: str = "brand_fills_next", **options: float) -> DataFrame:
     """Predicted and actual share of active accounts by decile of the prediction."""
     active = (F.coalesce(F.col(actual), F.lit(0.0)) > 0).cast("double")
-    model = models.fit_states(train.withColumn("active", active), "active", "p_active", clip=(0.0, 1.0), depth=5, **options)
+    model = models.fit_states(train.withColumn("active", active), {"p_active": models.Fit("active", (0.0, 1.0))}, **options)
     return stats.calibration(materialise(after.select("npi", active.alias("active")).join(model.predict(after), "npi")), "p_active", "active")
 
 
@@ -111,7 +106,7 @@ def forecast(panel: DataFrame, latest: DataFrame, actual: str = "brand_fills_nex
     panel = materialise(panel)
     active = (F.coalesce(F.col(actual), F.lit(0.0)) > 0).cast("double")
     fitted = panel.where(half(seed))
-    classifier, intervals = models.in_parallel([lambda: models.fit_states(fitted.withColumn("active", active), "active", "p_active", clip=(0.0, 1.0), depth=5), lambda: fit_intervals(fitted, actual, alpha, median=True, **options)])
+    classifier, intervals = models.in_parallel([lambda: models.fit_states(fitted.withColumn("active", active), {"p_active": models.Fit("active", (0.0, 1.0))}, **options), lambda: fit_intervals(fitted, actual, alpha, median=True, **options)])
     calibration = intervals.predict(panel.where(~half(seed)).where(F.col(actual) > 0)).withColumn("__y", F.log1p(actual))
     q = qhat(materialise(calibration.select("npi", conformity("lo", "hi", "__y").alias("score"))), "score", alpha).select(F.col("qhat").alias("__q"))
     latest = materialise(latest)
@@ -122,9 +117,9 @@ def forecast(panel: DataFrame, latest: DataFrame, actual: str = "brand_fills_nex
     return out.select("npi", zero(low).alias("lo"), zero(middle).alias("median"), zero(high).alias("hi")).join(classifier.predict(latest), "npi").select("npi", "p_active", "lo", "median", "hi")
 
 
-def poisson_counts(train: DataFrame, after: DataFrame, actual: str = "brand_fills_next") -> DataFrame:
-    """``npi, predicted``: counts by a generalised linear model with a Poisson loss and a logarithmic link on the state; a substitute for Poisson boosting."""
+def poisson_counts(train: DataFrame, after: DataFrame, actual: str = "brand_fills_next", **options: float) -> DataFrame:
+    """``npi, predicted``: expected counts by boosting with a Poisson loss on the state; a missing count is 0."""
     encode, numeric = models.state_encoder(train)
-    rows = materialise(models.encoded_states(train, encode, numeric).select("x", F.greatest(F.coalesce(F.col(actual), F.lit(0.0)), F.lit(0.0)).alias("__t")))
-    model = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="x", labelCol="__t", predictionCol="predicted", regParam=1e-3, maxIter=50).fit(rows)
-    return model.transform(models.encoded_states(after, encode, numeric).select("npi", "x")).drop("x")
+    rows = models.encoded_states(train, encode, numeric).select("x", F.greatest(F.coalesce(F.col(actual), F.lit(0.0)), F.lit(0.0)).alias("__t"))
+    made = boosting.fit(rows, {"predicted": boosting.Target("__t", "poisson")}, categorical=models.categories_of(numeric), **models.MEANS | options)
+    return boosting.predict(models.encoded_states(after, encode, numeric).select("npi", "x"), made).drop("x")

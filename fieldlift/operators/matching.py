@@ -4,26 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.session import materialise
+from ..functions.session import written as materialise
 from . import models, ranks, resample, stats
 
 CALIPER = 0.2
 
 
+def logistic(rows: DataFrame, label: str, covariates: Sequence[str], penalty: float = 1.0, iterations: int = 50) -> Column:
+    """Log odds of a 0/1 label as a column over standardised covariates, with a ridge penalty on their weights.
+
+    Newton's method: a step is one aggregation of the gradient and the curvature, (p + 1)(p + 4) / 2 sums of one row, until the weights move by less than
+    1e-9. A constant covariate weighs nothing; with labels of one kind the odds are 50 or -50, without rows null.
+    """
+    label_ = F.col(label).cast("double")
+    first = rows.agg(F.count("*"), F.avg(label_), *[f(F.col(c).cast("double")) for c in covariates for f in (F.avg, F.stddev_pop)]).first()
+    if not first[0]:
+        return F.lit(None).cast("double")
+    if first[1] in (0.0, 1.0):  # all of one kind
+        return F.lit(50.0 if first[1] else -50.0)
+    mean, spread = first[2::2], first[3::2]
+    z = [F.lit(1.0), *[(F.col(c).cast("double") - F.lit(m)) / F.lit(s) if s else F.lit(0.0) for c, m, s in zip(covariates, mean, spread, strict=True)]]
+    share = min(max(first[1], 1e-6), 1 - 1e-6)
+    w = np.array([np.log(share / (1 - share)), *[0.0] * len(covariates)])
+    ridge = np.diag([1e-9, *[penalty] * len(covariates)])
+    odds = lambda w: sum((F.lit(float(a)) * x for a, x in zip(w[1:], z[1:], strict=True)), F.lit(float(w[0])))
+    pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
+    for _ in range(iterations):
+        p = 1 / (1 + F.exp(-odds(w)))
+        out = rows.select(*[x.alias(f"z{k}") for k, x in enumerate(z)], label_.alias("y"), p.alias("p"))
+        sums = out.agg(*[F.sum(F.col(f"z{k}") * (F.col("y") - F.col("p"))) for k in range(len(z))], *[F.sum(F.col(f"z{i}") * F.col(f"z{j}") * F.col("p") * (1 - F.col("p"))) for i, j in pairs]).first()
+        curve = ridge.copy()
+        for (i, j), v in zip(pairs, sums[len(z) :], strict=True):
+            curve[i, j] += v
+            if i != j:
+                curve[j, i] += v
+        step = np.linalg.solve(curve, np.array(sums[: len(z)]) - np.array([0.0, *[penalty] * len(covariates)]) * w)
+        w = w + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-9:
+            break
+    return odds(w)
+
+
 def propensity(df: DataFrame, treated: str, covariates: Sequence[str]) -> DataFrame:
     """Rows without missing covariates with ``logit``, the log odds of treatment by logistic regression on standardised covariates."""
-    rows = materialise(df.dropna(subset=[treated, *covariates]).withColumn("__label", F.col(treated).cast("double")))
-    n = max(rows.count(), 1)
-    steps = Pipeline(stages=[VectorAssembler(inputCols=list(covariates), outputCol="__v"), StandardScaler(inputCol="__v", outputCol="__z", withMean=True), LogisticRegression(featuresCol="__z", labelCol="__label", regParam=1 / n, standardization=False, maxIter=200, predictionCol="", rawPredictionCol="", probabilityCol="__p")])
-    p = F.greatest(F.least(vector_to_array("__p")[1], F.lit(1 - 1e-6)), F.lit(1e-6))
-    return steps.fit(rows).transform(rows).withColumn("logit", F.log(p / (1 - p))).drop("__v", "__z", "__p", "__label")
+    rows = materialise(df.dropna(subset=[treated, *covariates]))
+    edge = float(np.log((1 - 1e-6) / 1e-6))
+    return rows.withColumn("logit", F.greatest(F.least(logistic(rows, treated, covariates), F.lit(edge)), F.lit(-edge)))
 
 
 def match(scored: DataFrame, treated: str, caliper: float = CALIPER, key: str = "npi") -> DataFrame:

@@ -1,27 +1,26 @@
-"""Boosted quantile frontier, cross-fitted effects and uplift on MLlib trees.
+"""Boosted quantile frontier, cross-fitted effects, uplift and state models on histogram boosting.
 
-Training is distributed by MLlib. What reaches the driver is a tree, its at most ``2 ** depth`` leaf values, or a row of
-sums. Encoded rows are materialised once, so that folds and trees don't repeat the joins before them.
+All models of a call are grown in one Spark job (``boosting``). What reaches the driver is trees or a row of sums. Encoded rows
+are materialised once, so that passes over them don't repeat the joins before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor, LinearRegression
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import materialise
-from . import backtest, ranks, stats
+from . import backtest, boosting, ranks, stats
+from .boosting import Boosted, Target
 from .opportunity import CATEGORICAL, feature_frame
 
 T = TypeVar("T")
@@ -29,14 +28,10 @@ T = TypeVar("T")
 #: Critical value of intervals, bounds of propensities.
 CRITICAL = 1.96
 RESIDUAL_CLIP, UPLIFT_CLIP = (0.01, 0.99), (0.02, 0.98)
-BINS = 64
-#: Trees between materialisations of the running prediction.
-CUT_EVERY = 5
-#: Rounds of boosting and the weight of a round. A round costs a handful of Spark jobs whatever the number of rows, so there
-#: are few and heavy ones.
-TREES, RATE = 30, 0.3
-#: Trees between materialisations of a prediction, so that its plan doesn't grow with the number of trees.
-PREDICT_CUT = 10
+#: Rounds, depth, rate, least rows of a leaf and shrinkage of leaves for the frontier, for means and for probabilities.
+FRONTIER = {"trees": 300, "depth": 4, "rate": 0.05, "least": 40, "l2": 0.0}
+MEANS = {"trees": 200, "depth": 6, "rate": 0.06, "least": 80, "l2": 1.0}
+CHANCES = {"trees": 200, "depth": 5, "rate": 0.06, "least": 100, "l2": 1.0}
 
 
 def encoder(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = CATEGORICAL) -> PipelineModel:
@@ -56,53 +51,21 @@ def in_parallel(fits: Sequence[Callable[[], T]], threads: int = 4) -> list[T]:
         return pool.map(inheritable_thread_target(lambda f: f()), fits)
 
 
-@dataclass
-class Boosted:
-    """A start value and trees with a shift for each leaf."""
-
-    tau: float
-    start: float
-    rate: float
-    trees: list[tuple[DecisionTreeRegressionModel, dict[float, float]]] = field(default_factory=list)
-
-    def step(self, df: DataFrame, k: int) -> DataFrame:
-        tree, shift = self.trees[k]
-        if not shift:
-            return df
-        leaf = F.create_map(*[F.lit(v) for pair in shift.items() for v in pair])
-        return tree.transform(df).withColumn("__f", F.col("__f") + self.rate * F.coalesce(F.try_element_at(leaf, F.col("__leaf")), F.lit(0.0))).drop("__leaf")
-
-    def predict(self, df: DataFrame, name: str = "__f") -> DataFrame:
-        """Add the prediction to rows that have ``x``."""
-        out = df.withColumn("__f", F.lit(self.start))
-        for k in range(len(self.trees)):
-            out = self.step(out, k)
-            if (k + 1) % PREDICT_CUT == 0 and k + 1 < len(self.trees):
-                out = materialise(out)
-        return out.withColumnRenamed("__f", name)
-
-
-def boost_quantile(rows: DataFrame, tau: float, *, trees: int = TREES, depth: int = 4, rate: float = RATE, least: int = 40) -> Boosted:
-    """Gradient boosting for the quantile ``tau`` of ``__y`` given ``x``.
-
-    Each tree is grown on the gradient of the pinball loss and its leaves are set to the quantile of the residuals,
-    approximate within 1e-4 of its rank. Without rows it raises.
+def categories_of(numeric: Sequence[str], categorical: Sequence[str] = CATEGORICAL) -> list[int]:
+    """Positions of the codes in an encoder's vector."""
+    return list(range(len(numeric), len(numeric) + len(categorical)))
+
+
+def boost_quantiles(rows: DataFrame, taus: Mapping[str, float], categorical: Sequence[int] = (), features: Mapping[str, Sequence[int]] | None = None, **options: float) -> dict[str, Boosted]:
+    """Gradient boosting for quantiles of ``__y`` given ``x``, one for each of ``taus``; ``features`` restricts what some of them see.
+
+    Each tree is grown on the gradient of the pinball loss and its leaves are set to the quantile of the residuals. Without rows it raises.
     """
-    start = rows.agg(F.percentile_approx("__y", tau, 10_000)).first()[0]
-    if start is None:
+    allowed = {n: tuple(f) for n, f in (features or {}).items()}
+    made = boosting.fit(rows, {n: Target("__y", "quantile", t, features=allowed.get(n)) for n, t in taus.items()}, categorical=categorical, **FRONTIER | options)
+    if None in made.values():
         raise ValueError("no rows to fit a quantile on")
-    model = Boosted(tau, float(start), rate)
-    state = materialise(rows.select("x", "__y", F.lit(float(start)).alias("__f")))
-    for k in range(trees):
-        slope = state.withColumn("__g", F.lit(tau) - (F.col("__y") < F.col("__f")).cast("double"))
-        tree = DecisionTreeRegressor(featuresCol="x", labelCol="__g", maxDepth=depth, minInstancesPerNode=least, maxBins=BINS, leafCol="__leaf", seed=k).fit(slope)
-        tree.setPredictionCol("")
-        leaves = tree.transform(state).groupBy("__leaf").agg(F.percentile_approx(F.col("__y") - F.col("__f"), tau, 10_000).alias("v"))
-        model.trees.append((tree, {r["__leaf"]: r["v"] for r in leaves.collect()}))  # at most 2 ** depth rows
-        state = model.step(state, k)
-        if (k + 1) % CUT_EVERY == 0:
-            state = materialise(state)
-    return model
+    return made
 
 
 @dataclass
@@ -131,18 +94,28 @@ class Frontier:
         return self.log_potential(framed.select("npi", *self.features, *CATEGORICAL)).select("npi", F.greatest(F.expm1("__f"), F.lit(0.0)).alias("frontier"))
 
 
-def _framed(df: DataFrame, target: str, keep: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
+def _framed(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
     framed, usable = feature_frame(df)
-    usable = [f for f in usable if keep is None or f in keep]
     return framed.where(F.col(target) > 0).select("npi", *usable, *CATEGORICAL, F.log1p(target).alias("__y")), usable
 
 
-def fit_frontier(df: DataFrame, target: str = "class_fills", *, tau: float = 0.8, keep: Sequence[str] | None = None, **options: float) -> Frontier:
-    """The quantile ``tau`` of log1p(target) over rows with a positive target, by ``boost_quantile``; ``keep`` restricts the numeric features."""
-    rows, usable = _framed(df, target, keep)
+def fit_frontiers(df: DataFrame, variants: Mapping[str, Mapping], target: str = "class_fills", **options: float) -> dict[str, Frontier]:
+    """Quantiles of log1p(target) over rows with a positive target, all in one fit.
+
+    A variant may have ``tau`` (0.8), ``keep`` (numeric features that it sees) and ``flatten`` (categories that it doesn't see).
+    """
+    rows, usable = _framed(df, target)
     rows = materialise(rows)
     encode = encoder(rows, usable)
-    return Frontier(encode, usable, boost_quantile(encode.transform(rows), tau, **options))
+    names = [*usable, *CATEGORICAL]
+    seen = {v: [k for k, n in enumerate(names) if n not in spec.get("flatten", ()) and (n in CATEGORICAL or spec.get("keep") is None or n in spec["keep"])] for v, spec in variants.items()}
+    made = boost_quantiles(encode.transform(rows), {v: spec.get("tau", 0.8) for v, spec in variants.items()}, categories_of(usable), seen, **options)
+    return {v: Frontier(encode, usable, model) for v, model in made.items()}
+
+
+def fit_frontier(df: DataFrame, target: str = "class_fills", *, tau: float = 0.8, keep: Sequence[str] | None = None, **options: float) -> Frontier:
+    """One of ``fit_frontiers``."""
+    return fit_frontiers(df, {"": {"tau": tau, "keep": keep}}, target, **options)[""]
 
 
 def coverage(df: DataFrame, model: Frontier, target: str = "class_fills", slack: float = 0.10) -> DataFrame:
@@ -187,43 +160,47 @@ def _fold(key: str, folds: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
 
 
-def _fit(train: DataFrame, label: str, name: str, *, clip: tuple[float, float] | None = None, iterations: int = TREES, depth: int = 6, rate: float = RATE, weight: str | None = None):
-    """A function that adds ``name``: a mean or, with ``clip``, the probability that the label is 1 inside these bounds.
+@dataclass(frozen=True)
+class Fit:
+    """A mean or, with ``clip``, the probability that the label is 1 inside these bounds; ``on``: condition on training rows; ``weight``: their weight."""
 
-    With fewer than two training rows nothing can be grown: the prediction is null.
-    """
-    if len(train.select(label).head(2)) < 2:
-        return lambda df: df.withColumn(name, F.lit(None).cast("double"))
-    shared = {"featuresCol": "x", "labelCol": label, "maxIter": iterations, "maxDepth": depth, "stepSize": rate, "maxBins": BINS, "seed": 1} | ({"weightCol": weight} if weight else {})
-    if clip is None:
-        return GBTRegressor(predictionCol=name, **shared).fit(train).transform
-    model = GBTClassifier(predictionCol="", **shared).fit(train)
-    chance = F.greatest(F.least(vector_to_array("probability")[1], F.lit(clip[1])), F.lit(clip[0]))
-    return lambda df: model.transform(df).withColumn(name, chance).drop("rawPrediction", "probability")
-
-
-def _prepared(df: DataFrame, numeric: Sequence[str], keep: Sequence[str], folds: int, seed: int) -> DataFrame:
-    """``npi``, the kept columns as doubles, the vector ``x`` and the fold; rows with a null among them are left out."""
+    label: str
+    clip: tuple[float, float] | None = None
+    on: str = "true"
+    weight: str | None = None
+
+
+def _grown(rows: DataFrame, fits: Mapping[str, Fit], held_out: Mapping[str, int], categorical: Sequence[int], means: Mapping[str, float], chances: Mapping[str, float]) -> dict[str, Boosted | None]:
+    """Models of the fits, means and probabilities in a job each; a fit in ``held_out`` isn't trained on that fold."""
+    weight = lambda n, f: F.when((F.col("fold") != held_out[n] if n in held_out else F.lit(True)) & F.expr(f.on), F.col(f.weight) if f.weight else F.lit(1.0))
+    sides = [({n: Target(f.label, "squared", weight=weight(n, f)) for n, f in fits.items() if f.clip is None}, means), ({n: Target(f.label, "logistic", weight=weight(n, f)) for n, f in fits.items() if f.clip is not None}, chances)]
+    made = in_parallel([lambda t=t, o=o: boosting.fit(rows, t, categorical=categorical, **o) for t, o in sides if t])
+    return {n: m for part in made for n, m in part.items()}
+
+
+def _predicted(df: DataFrame, models: Mapping[str, Boosted | None], clips: Mapping[str, tuple[float, float] | None]) -> DataFrame:
+    """A column for each model, null for one without training rows; probabilities inside their bounds."""
+    real = {n: m for n, m in models.items() if m is not None}
+    out = boosting.predict(df, real) if real else df
+    bound = lambda n, c: F.greatest(F.least(F.col(n), F.lit(c[1])), F.lit(c[0]))
+    return out.withColumns({n: F.lit(None).cast("double") if m is None else bound(n, clips[n]) if clips[n] else F.col(n) for n, m in models.items()})
+
+
+def _prepared(df: DataFrame, numeric: Sequence[str], keep: Sequence[str], folds: int, seed: int) -> tuple[DataFrame, list[int]]:
+    """``npi``, the kept columns as doubles, the vector ``x`` and the fold, and where ``x`` has categories; rows with a null among them are left out."""
     rows = df.select("npi", *CATEGORICAL, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*numeric, *keep])]).dropna(subset=["npi", *numeric, *keep])
     rows = materialise(rows)
-    codes = StringIndexer(inputCols=list(CATEGORICAL), outputCols=[f"__{c}" for c in CATEGORICAL], handleInvalid="keep")
-    hot = OneHotEncoder(inputCols=codes.getOutputCols(), outputCols=[f"__hot_{c}" for c in CATEGORICAL], dropLast=False)  # no limit of categories by training rows
-    vector = VectorAssembler(inputCols=[*numeric, *hot.getOutputCols()], outputCol="x")
-    encoded = Pipeline(stages=[codes, hot, vector]).fit(rows).transform(rows)
-    return materialise(encoded.select("npi", "x", *keep, _fold("npi", folds, seed).alias("fold")))
+    encoded = encoder(rows, numeric).transform(rows)
+    return materialise(encoded.select("npi", "x", *keep, _fold("npi", folds, seed).alias("fold"))), categories_of(numeric)
 
 
-def cross_fit(rows: DataFrame, fits: dict[str, tuple[str, tuple[float, float] | None, str]], folds: int, iterations: int, depth: int, rate: float = RATE) -> DataFrame:
-    """Add a column for each of ``fits`` (label, clip, condition on training rows), predicted by models of the other folds."""
-    jobs = [(k, name, *fit) for k in range(folds) for name, fit in fits.items()]
-    made = in_parallel([lambda k=k, name=name, label=label, clip=clip, on=on: _fit(rows.where(F.col("fold") != k).where(on), label, name, clip=clip, iterations=iterations, depth=depth, rate=rate) for k, name, label, clip, on in jobs])
-    parts = []
-    for k in range(folds):
-        part = rows.where(F.col("fold") == k)
-        for (fold, *_), model in zip(jobs, made, strict=True):
-            part = model(part) if fold == k else part
-        parts.append(part)
-    return materialise(stats.union_all(parts))
+def cross_fit(rows: DataFrame, fits: Mapping[str, Fit], folds: int, categorical: Sequence[int], means: Mapping[str, float] = MEANS, chances: Mapping[str, float] = CHANCES) -> DataFrame:
+    """Add a column for each of ``fits``, predicted by models of the other folds. All folds and fits are grown together."""
+    every = {f"__{k}_{n}": (k, n) for k in range(folds) for n in fits}
+    made = _grown(rows, {e: fits[n] for e, (_, n) in every.items()}, {e: k for e, (k, _) in every.items()}, categorical, means, chances)
+    out = _predicted(rows, made, {e: fits[n].clip for e, (_, n) in every.items()})
+    own = {n: F.element_at(F.array(*[F.col(f"__{k}_{n}") for k in range(folds)]), F.col("fold") + 1) for n in fits}
+    return materialise(out.withColumns(own).drop(*every))
 
 
 def robustness_value(t: Column, dof: Column, critical: float = 0.0) -> Column:
@@ -232,10 +209,10 @@ def robustness_value(t: Column, dof: Column, critical: float = 0.0) -> Column:
     return F.when(f <= 0, 0.0).otherwise(0.5 * (F.sqrt(F.pow(f, F.lit(4)) + 4 * f * f) - f * f))
 
 
-def double_ml(df: DataFrame, outcome: str, treatment: str, numeric: Sequence[str], *, binary: bool = False, folds: int = 5, iterations: int = TREES, depth: int = 6, rate: float = RATE, seed: int = 0) -> DataFrame:
+def double_ml(df: DataFrame, outcome: str, treatment: str, numeric: Sequence[str], *, binary: bool = False, folds: int = 5, seed: int = 0, **options: float) -> DataFrame:
     """Partially linear effect from cross-fitted residuals: theta, robust error, interval, t and robustness values."""
-    rows = _prepared(df, numeric, [outcome, treatment], folds, seed)
-    got = cross_fit(rows, {"__my": (outcome, None, "true"), "__md": (treatment, RESIDUAL_CLIP if binary else None, "true")}, folds, iterations, depth, rate)
+    rows, categorical = _prepared(df, numeric, [outcome, treatment], folds, seed)
+    got = cross_fit(rows, {"__my": Fit(outcome), "__md": Fit(treatment, RESIDUAL_CLIP if binary else None)}, folds, categorical, MEANS | options, CHANCES | options)
     r = got.select((F.col(outcome) - F.col("__my")).alias("ry"), (F.col(treatment) - F.col("__md")).alias("rd"))
     sums = r.agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col("rd") * F.col("ry")), F.nullif(F.sum(F.col("rd") * F.col("rd")), F.lit(0.0))).alias("theta"))
     psi = (F.col("ry") - F.col("theta") * F.col("rd")) * F.col("rd")
@@ -244,15 +221,15 @@ def double_ml(df: DataFrame, outcome: str, treatment: str, numeric: Sequence[str
     return out.select("n", "theta", "se", (F.col("theta") - CRITICAL * F.col("se")).alias("ci_low"), (F.col("theta") + CRITICAL * F.col("se")).alias("ci_high"), "t", robustness_value(F.col("t"), F.col("n") - 1).alias("rv"), robustness_value(F.col("t"), F.col("n") - 1, CRITICAL).alias("rv_alpha"))
 
 
-def uplift(df: DataFrame, outcome: str, treated: str, numeric: Sequence[str], *, folds: int = 5, iterations: int = TREES, depth: int = 6, rate: float = RATE, seed: int = 0, effect_iterations: int | None = None) -> DataFrame:
+def uplift(df: DataFrame, outcome: str, treated: str, numeric: Sequence[str], *, folds: int = 5, seed: int = 0, **options: float) -> DataFrame:
     """``npi, phi, tau``: doubly robust pseudo-outcomes and effects by account, both out of fold."""
-    rows = _prepared(df, numeric, [outcome, treated], folds, seed)
-    got = cross_fit(rows, {"e": (treated, UPLIFT_CLIP, "true"), "m1": (outcome, None, f"{treated} = 1"), "m0": (outcome, None, f"{treated} = 0")}, folds, iterations, depth, rate)
+    rows, categorical = _prepared(df, numeric, [outcome, treated], folds, seed)
+    got = cross_fit(rows, {"e": Fit(treated, UPLIFT_CLIP), "m1": Fit(outcome, on=f"{treated} = 1"), "m0": Fit(outcome, on=f"{treated} = 0")}, folds, categorical, MEANS | options, CHANCES | options)
     t, y, e, m1, m0 = (F.col(c) for c in (treated, outcome, "e", "m1", "m0"))
     got = got.withColumn("phi", m1 - m0 + t * (y - m1) / e - (1 - t) * (y - m0) / (1 - e))
     edge = got.agg(F.percentile_approx("phi", [0.01, 0.99], 10_000).alias("q"))
     wins = got.join(F.broadcast(edge)).withColumn("__z", F.least(F.greatest("phi", F.col("q")[0]), F.col("q")[1])).select("npi", "x", "fold", "phi", "__z")  # one row
-    return cross_fit(wins, {"tau": ("__z", None, "__z is not null")}, folds, effect_iterations or iterations, depth, rate).select("npi", "phi", "tau")
+    return cross_fit(wins, {"tau": Fit("__z")}, folds, categorical, MEANS | options).select("npi", "phi", "tau")
 
 
 def qini(effects: DataFrame, points: int = 40) -> DataFrame:
@@ -269,10 +246,10 @@ def uplift_deciles(effects: DataFrame) -> DataFrame:
     return cut.groupBy("decile").agg(F.avg("tau").alias("predicted"), F.avg("phi").alias("observed"), (F.stddev_samp("phi") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n"))
 
 
-def challenger(df: DataFrame, target: str, numeric: Sequence[str], *, iterations: int = TREES, depth: int = 6, rate: float = RATE, folds: int = 5, seed: int = 0) -> DataFrame:
+def challenger(df: DataFrame, target: str, numeric: Sequence[str], *, folds: int = 5, seed: int = 0, **options: float) -> DataFrame:
     """``npi, predicted``: squared-loss boosting of a growth column, out of fold."""
-    rows = _prepared(df, numeric, [target], folds, seed)
-    return cross_fit(rows, {"predicted": (target, None, "true")}, folds, iterations, depth, rate).select("npi", "predicted")
+    rows, categorical = _prepared(df, numeric, [target], folds, seed)
+    return cross_fit(rows, {"predicted": Fit(target)}, folds, categorical, FRONTIER | options).select("npi", "predicted")
 
 
 def tau_sensitivity(df: DataFrame, score: Callable[[DataFrame], DataFrame], taus: Sequence[float], base: float = 0.8, **options: float) -> DataFrame:
@@ -280,8 +257,10 @@ def tau_sensitivity(df: DataFrame, score: Callable[[DataFrame], DataFrame], taus
 
     ``score`` maps predictions (``npi, frontier``) to scored accounts with ``opportunity`` and ``opportunity_decile``.
     """
+    made = fit_frontiers(df, {str(t): {"tau": t} for t in (base, *taus)}, **options)
+
     def scored(tau: float) -> DataFrame:
-        return materialise(score(fit_frontier(df, tau=tau, **options).predict(df)).where("in_market").select("npi", "opportunity", "opportunity_decile"))
+        return materialise(score(made[str(tau)].predict(df)).where("in_market").select("npi", "opportunity", "opportunity_decile"))
 
     def against(first: DataFrame, other: DataFrame, tau: float) -> DataFrame:
         both = first.join(other.select("npi", F.col("opportunity").alias("o"), F.col("opportunity_decile").alias("d")), "npi")
@@ -309,16 +288,17 @@ def state_frame(df: DataFrame, extra: Sequence[str] = ()) -> tuple[DataFrame, li
 
 @dataclass
 class StateModel:
-    """An encoder of states and a fitted step that adds a column to encoded rows."""
+    """An encoder of states and fitted models that add columns to encoded rows."""
 
     encode: PipelineModel
     numeric: list[str]
     extra: tuple[str, ...]
-    add: Callable[[DataFrame], DataFrame]
+    models: dict[str, Boosted | None]
+    clips: dict[str, tuple[float, float] | None]
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """``npi`` and the prediction."""
-        return self.add(encoded_states(df, self.encode, self.numeric, self.extra).select("npi", "x")).drop("x")
+        """``npi`` and the predictions."""
+        return _predicted(encoded_states(df, self.encode, self.numeric, self.extra).select("npi", "x"), self.models, self.clips).drop("x")
 
 
 def encoded_states(df: DataFrame, encode: PipelineModel, numeric: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -335,8 +315,10 @@ def state_encoder(df: DataFrame, extra: Sequence[str] = ()) -> tuple[PipelineMod
     return encoder(renamed, [f"__num_{c}" for c in numeric]), numeric
 
 
-def fit_states(train: DataFrame, target: str, name: str, *, extra: Sequence[str] = (), weight: str | None = None, clip: tuple[float, float] | None = None, **options: float) -> StateModel:
-    """Squared-loss boosting of a column on the state, or with ``clip`` the probability that it is 1; rows without the target are left out."""
+def fit_states(train: DataFrame, fits: Mapping[str, Fit], *, extra: Sequence[str] = (), **options: float) -> StateModel:
+    """Boosting of columns on the state, all of them together; rows without a label are left out of that model."""
     encode, numeric = state_encoder(train, extra)
-    rows = materialise(encoded_states(train.where(F.col(target).isNotNull()), encode, numeric, extra).select("npi", "x", F.col(target).cast("double").alias("__t"), *([F.col(weight).cast("double").alias("__w")] if weight else [])))
-    return StateModel(encode, numeric, tuple(extra), _fit(rows, "__t", name, clip=clip, weight="__w" if weight else None, **options))
+    used = dict.fromkeys([*(f.label for f in fits.values()), *(f.weight for f in fits.values() if f.weight)])
+    rows = materialise(encoded_states(train, encode, numeric, extra).select("npi", "x", *[F.col(c).cast("double").alias(c) for c in used]))
+    made = _grown(rows, fits, {}, categories_of(numeric), MEANS | options, CHANCES | options)
+    return StateModel(encode, numeric, tuple(extra), {n: made[n] for n in fits}, {n: f.clip for n, f in fits.items()})

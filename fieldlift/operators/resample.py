@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.session import materialise
+from . import draws as D
 from . import ranks, stats
 
+#: Counts (rows times draws) that a task makes at once, and blocks that it holds.
+AT_ONCE, HELD_BLOCKS = 2_000_000, 500
+
 
 def drawn(rows: DataFrame, reps: int, seed: int, key: str = "npi") -> DataFrame:
     """Rows once more for each draw ``rep`` with their Poisson(1) count ``m``, if it isn't 0; draw 0 is the table itself."""
@@ -43,17 +50,99 @@ def list_totals(draws: DataFrame, by: list[str], order: str, k: int, gains: list
     return materialise(out.select(*by, *[(zero(f"w{g}") + zero(f"c{g}")).alias(f"l{g}") for g in gains], *[f"t{g}" for g in gains]))
 
 
-def shuffled(rows: DataFrame, value: str, reps: int, seed: int, key: str = "npi", stratum: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows with a number ``i``, and ``rep, i, value``: in each shuffle the value of another row of the same stratum.
+def shuffled(rows: DataFrame, value: str, reps: int, seed: int, key: str = "npi", stratum: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """``rep, key``, the columns in ``carry`` and ``value``: in each shuffle the value of another row of the same stratum; draw 0 is the table itself.
 
-    Rows are numbered in the order of strata and keys, and in each shuffle in the order of strata and hashes: one number is
-    one stratum in both. Both orders are range scans over all rows.
+    Rows are numbered once, in the order of strata and keys. A shuffle is a keyed permutation of the numbers of a stratum, so the number of a row's
+    donor is computed, and the only shuffle of ``reps`` times the rows is the join on that number.
     """
     s = F.col(stratum) if stratum else F.lit(0)
-    own = materialise(ranks.global_scan(rows.withColumn("__s", s), [F.col("__s"), F.col(key)], rank="i", total="__n"))
-    hashed = own.select(key, "__s", value, "__n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("h", F.xxhash64(key, "rep", F.lit(seed)))
-    dealt = ranks.global_scan(hashed, [F.col("rep"), F.col("__s"), F.col("h"), F.col(key)], rank="g")
-    return own.drop("__s", "__n"), dealt.select("rep", (F.col("g") - (F.col("rep") - 1) * F.col("__n")).alias("i"), value)
+    own = ranks.global_scan(rows.select(key, value, *[c for c in carry if c not in (key, value)], s.alias("__s")), [F.col("__s"), F.col(key)], rank="__i")
+    strata = own.groupBy(F.col("__s").alias("__t")).agg((F.min("__i") - 1).alias("__start"), F.count("*").alias("__n"))
+    own = materialise(own.join(strata, F.col("__s").eqNullSafe(F.col("__t"))).drop("__s", "__t"))
+    kept = [key, *carry]
+
+    def donors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = np.arange(1, reps + 1)
+        step = max(1, AT_ONCE // max(reps, 1))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                i, start, n = (b.column(c).to_numpy() for c in ("__i", "__start", "__n"))
+                # A stratum has permutations of its own: its start tells it from others of the same size.
+                to = start[:, None] + 1 + D.permuted((i - 1 - start)[:, None], n[:, None], draw[None, :] + (start[:, None] << 20), seed)
+                row = np.repeat(np.arange(b.num_rows), reps)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(draw, b.num_rows).astype(np.int32)), pa.array(to.ravel()), *[b.column(c).take(pa.array(row)) for c in kept]], names=["rep", "__donor", *kept])
+
+    kinds = dict(own.dtypes)
+    asks = own.mapInArrow(donors, ", ".join(["rep int", "__donor bigint", *[f"`{c}` {kinds[c]}" for c in kept]]))
+    given = own.select(F.col("__i").alias("__donor"), F.col(value).alias("__value"))
+    dealt = asks.join(given, "__donor").select("rep", *kept, F.col("__value").alias(value))
+    return own.select(F.lit(0).alias("rep"), *kept, value).unionByName(dealt)
+
+
+def _block_sums(gains: list[str], reps: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Drawn rows and their gains by (rule, block, draw): a task adds up vectors over draws, and its rows are never repeated."""
+    draw = np.arange(reps + 1)
+    names = ["bm", *[f"t{g}" for g in gains]]
+
+    def passed(held: dict[tuple[str, int], np.ndarray]) -> pa.RecordBatch:
+        rules = [r for r, _ in held for _ in draw]
+        blocks = np.repeat(np.array([k for _, k in held], np.int64), len(draw))
+        sums = np.concatenate(list(held.values()), axis=1) if held else np.empty((len(names), 0))
+        return pa.RecordBatch.from_arrays([pa.array(rules, pa.string()), pa.array(blocks), pa.array(np.tile(draw, len(held)).astype(np.int32)), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])], names=["rule", "block", "rep", *names])
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], np.ndarray] = {}
+        step = max(1, AT_ONCE // len(draw))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                m = D.poisson_one(b.column("h").to_numpy(), draw).astype(float)
+                value = np.stack([np.ones(b.num_rows), *[b.column(g).to_numpy() for g in gains]])
+                places = pd.MultiIndex.from_arrays([b.column("rule").to_pandas(), b.column("block").to_numpy()])
+                code, found = pd.factorize(places)
+                for k, place in enumerate(found):
+                    mine = code == k
+                    sums = value[:, mine] @ m[mine]
+                    held[place] = held[place] + sums if place in held else sums
+            if len(held) > HELD_BLOCKS:
+                yield passed(held)
+                held = {}
+        yield passed(held)
+
+    return rows_of
+
+
+def capture_totals(ranked: DataFrame, k: int, gains: list[str], reps: int) -> DataFrame:
+    """``rep, rule`` with sums over all drawn rows (``t<gain>``) and over the first ``k`` of them, copies counted (``l<gain>``).
+
+    ``ranked``: rule, block, rn, the hash ``h`` of the key, and the gains. Counts are summed by block; then the rows of the
+    blocks in which ``k`` ends are counted one after another. A block has a bounded number of rows.
+    """
+    types = ", ".join(f"t{g} double" for g in gains)
+    blocks = materialise(ranked.mapInArrow(_block_sums(gains, reps), f"rule string, block long, rep int, bm long, {types}").groupBy("rule", "block", "rep").agg(F.sum("bm").alias("bm"), *[F.sum(f"t{g}").alias(f"t{g}") for g in gains]))
+    ahead = F.coalesce(F.sum("bm").over(Window.partitionBy("rule", "rep").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.withColumn("ahead", ahead)
+    whole = placed.groupBy("rep", "rule").agg(*[F.sum(F.when(F.col("ahead") + F.col("bm") <= k, F.col(f"t{g}"))).alias(f"w{g}") for g in gains], *[F.sum(f"t{g}").alias(f"t{g}") for g in gains])
+    last = materialise(placed.where((F.col("ahead") < k) & (F.col("ahead") + F.col("bm") > k)).groupBy("rule", "block").agg(F.sort_array(F.collect_list(F.struct("rep", "ahead"))).alias("ends")))
+
+    def cut(rows: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        """What the lists that end in this block take of it."""
+        if ends.empty or rows.empty:
+            return pd.DataFrame({"rep": [], "rule": [], **{f"c{g}": [] for g in gains}})
+        rows = rows.sort_values("rn")
+        rep = np.array([e["rep"] for e in ends["ends"].iloc[0]])
+        room = k - np.array([e["ahead"] for e in ends["ends"].iloc[0]])
+        m = D.poisson_one(rows["h"].to_numpy(), rep).astype(np.int64)
+        take = np.clip(room[None, :] - (np.cumsum(m, 0) - m), 0, m)
+        return pd.DataFrame({"rep": rep, "rule": rows["rule"].iloc[0], **{f"c{g}": rows[g].to_numpy() @ take for g in gains}})
+
+    inside = ranked.join(last.select("rule", "block"), ["rule", "block"], "left_semi")
+    part = inside.groupBy("rule", "block").cogroup(last.groupBy("rule", "block")).applyInPandas(cut, "rep int, rule string, " + ", ".join(f"c{g} double" for g in gains))
+    out = whole.join(part, ["rep", "rule"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return materialise(out.select("rep", "rule", *[(zero(f"w{g}") + zero(f"c{g}")).alias(f"l{g}") for g in gains], *[f"t{g}" for g in gains]))
 
 
 def bootstrap_capture(panel: DataFrame, rules: Mapping[str, str], value: str, k: int, reps: int = 400, seed: int = 5, baseline: str = "volume", share: str | None = None, block: int = 10_000) -> DataFrame:
@@ -61,13 +150,12 @@ def bootstrap_capture(panel: DataFrame, rules: Mapping[str, str], value: str, k:
 
     Accounts are drawn with Poisson(1) counts from a hash of key and draw, and each draw has lists of its own: its first
     ``k`` drawn accounts, copies counted, in the order of the score. That order is the same in all draws, so rows are
-    numbered once by rule; a draw sums its counts by blocks of ``block`` numbers, then inside the blocks that ``k`` reaches.
+    numbered once by rule; draws are vectors in ``capture_totals``, so a row is never repeated by draw.
     """
     values = {"": value} | ({"share_": share} if share else {})
     gains = {f"g{p}": F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)) for p, c in values.items()}
     ranked = stats.union_all([ranks.global_scan(panel.select("npi", F.col(c).cast("double").alias("score"), *[x.alias(g) for g, x in gains.items()]), [F.col("score").desc_nulls_last(), F.col("npi")]).select("npi", F.lit(r).alias("rule"), "rn", *gains) for r, c in rules.items()])
-    draws = drawn(ranked.withColumn("block", F.floor((F.col("rn") - 1) / block)), reps, seed)
-    per = list_totals(draws, ["rep", "rule"], "rn", k, list(gains))
+    per = capture_totals(ranked.select("rule", F.floor((F.col("rn") - 1) / block).alias("block"), "rn", F.xxhash64("npi", F.lit(seed)).alias("h"), *gains), k, list(gains), reps)
     long = per.join(per.where(F.col("rule") == baseline).select("rep", *[F.col(f"l{g}").alias(f"b{g}") for g in gains]), "rep", "left")
     long = long.withColumns({f"{p}{c}": F.try_divide(f"lg{p}", f"{d}g{p}") for p in values for c, d in (("capture", "t"), ("ratio", "b"))})
     out = long.groupBy("rule").agg(*[x for p in values for c in (f"{p}capture", f"{p}ratio") for x in interval(c, se=True)])
@@ -79,10 +167,8 @@ def permutation_test(df: DataFrame, stratum: str, x: str, y: str, key: str = "np
 
     No stratum has to fit a task.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(stratum).alias("s"), F.col(x).alias("x"), F.col(y).alias("y"))
-    own, others = shuffled(rows, "x", reps, seed, key, "s")
-    both = others.join(own.select("i", "y"), "i").unionByName(own.select("i", F.lit(0).alias("rep"), "x", "y"))
-    slopes = both.groupBy("rep").agg(F.regr_slope("y", "x").alias("b"))
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(stratum).alias("s"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    slopes = materialise(shuffled(rows, "x", reps, seed, key, "s", ["y"]).groupBy("rep").agg(F.regr_slope("y", "x").alias("b")))  # a row per shuffle
     real = slopes.where("rep = 0").select(F.col("b").alias("slope"))
     return slopes.where("rep > 0").join(F.broadcast(real)).groupBy("slope").agg(F.avg((F.abs("b") >= F.abs("slope")).cast("double")).alias("p_value"), F.count("*").alias("shuffles"))
 

@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import miles
-from ..functions.session import materialise
+from ..functions.session import written as materialise
 from . import ranks
 
+#: Capacity of a territory as a multiple of the mean load.
+SLACK = 1.08
+
 
 def units(plan: DataFrame) -> DataFrame:
     """Workload, value, mean centroid and modal state by unit."""
@@ -111,155 +114,231 @@ def territory_rollup(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("territory").agg(F.count("*").alias("units"), F.sum("workload").alias("workload"), F.sum("opportunity").alias("opportunity"), F.sum("targets").alias("targets"))
 
 
-# A solve holds all sizes in one frame: ``n_reps, zip3, lat, lon, workload, territory``; rounds are joins and aggregations over it.
+# A solve holds all sizes in one frame, a row per size and unit: ``n_reps, zip3, lat, lon, workload, near, links, territory, component``.
+# ``near`` (adjacent units) and ``links`` (pairs of them that are adjacent) are joined once. In a round every row sees a
+# book of its size. Components are searched once for an alignment; after that a move carries its unit's label along.
 
 SIZE = "n_reps"
+#: Rounds without a better variation of loads after which balancing ends.
+STALL = 3
 
 
 def _nearest(by: Sequence[str], *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 
 
+def neighbourhoods(u: DataFrame, edges: DataFrame) -> DataFrame:
+    """Units with the arrays of their neighbours and of the edges among these."""
+    both = materialise(_symmetric(edges))
+    near = both.groupBy(F.col("a").alias("zip3")).agg(F.array_sort(F.collect_set("b")).alias("near"))
+    triangles = both.join(both.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").join(both.select("a", F.col("b").alias("c")), ["a", "c"])
+    links = triangles.groupBy(F.col("a").alias("zip3")).agg(F.array_sort(F.collect_set(F.struct("b", "c"))).alias("links"))
+    out = u.select("zip3", "lat", "lon", "workload").join(near, "zip3", "left").join(links, "zip3", "left")
+    return materialise(out.withColumn("near", F.coalesce("near", F.array().cast("array<string>"))).withColumn("links", F.coalesce("links", F.array().cast("array<struct<b:string,c:string>>"))))
+
+
 def centroids(assigned: DataFrame) -> DataFrame:
     """Load, number of units and workload-weighted centre of each territory; units without work count a little."""
     w = F.greatest("workload", F.lit(1e-6))
     return assigned.groupBy(SIZE, "territory").agg(F.sum("workload").alias("load"), F.count("*").alias("members"), (F.sum(F.col("lat") * w) / F.sum(w)).alias("clat"), (F.sum(F.col("lon") * w) / F.sum(w)).alias("clon"))
 
 
-def capacity_assignment(u: DataFrame, seeds: DataFrame, slack: float = 1.1) -> DataFrame:
+def capacity_assignment(u: DataFrame, seeds: DataFrame, slack: float = SLACK) -> DataFrame:
     """Nearest territory with room, in rounds: every open unit proposes, a territory accepts its nearest within capacity.
 
-    ``seeds``: n_reps, territory, clat, clon. Each round places a unit at least, or no open unit has a territory with
-    room left: then those go to their nearest. Units meet the territories of an alignment, whose number is that of the reps.
+    ``seeds``: n_reps, territory, clat, clon. A size's centres are one array, as long as its force; a unit ranks them by
+    distance once and then asks its first one with room. Each round places a unit at least, so there are at most as many rounds as units;
+    when no open unit has a territory with room, those left go to their nearest.
     """
-    total = u.agg(F.sum("workload")).first()[0] or 0.0
-    seeds = materialise(seeds.select(SIZE, "territory", "clat", "clon").withColumn("cap", F.lit(total * slack) / F.count("*").over(Window.partitionBy(SIZE))))
-    way = F.round(miles(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")), 6)
-    plain = u.select("zip3", "lat", "lon", "workload")
-    pairs = materialise(seeds.join(plain, F.lit(True)).select(SIZE, *plain.columns, "territory", "cap", way.alias("d")))
-    done = None
+    centre = F.struct("territory", "clat", "clon")
+    sizes = seeds.groupBy(SIZE).agg(F.sort_array(F.collect_list(centre)).alias("centres"), F.count("*").alias("n"))  # a row per size
+    total = u.agg(F.sum("workload").alias("total"))
+    sizes = materialise(sizes.join(F.broadcast(total)).withColumn("cap", F.coalesce("total", F.lit(0.0)) * slack / F.col("n")))  # one row
+    units_of = u.withColumn(SIZE, F.explode(F.array(*[F.lit(r[SIZE]) for r in sizes.select(SIZE).collect()])))
+    way = F.transform("centres", lambda c: F.struct(F.round(miles(F.col("lat"), F.col("lon"), c["clat"], c["clon"]), 6).alias("d"), c["territory"].alias("territory")))
+    left = materialise(units_of.join(F.broadcast(sizes), SIZE).withColumn("wish", F.array_sort(way)).drop("centres", "n", "total"))
+    keep, done = [c for c in left.columns if c not in ("wish", "cap")], None
     while True:
-        used = done.groupBy(SIZE, "territory").agg(F.sum("workload").alias("used")) if done is not None else None
-        open_ = pairs.withColumn("used", F.lit(0.0)) if used is None else pairs.join(done.select(SIZE, "zip3"), [SIZE, "zip3"], "left_anti").join(used, [SIZE, "territory"], "left").fillna(0.0, ["used"])
-        offers = open_.where(F.col("used") + F.col("workload") <= F.col("cap")).withColumn("r", _nearest([SIZE, "zip3"], F.col("d"), F.col("territory"))).where("r = 1")
-        running = F.sum("workload").over(Window.partitionBy(SIZE, "territory").orderBy("d", "zip3").rowsBetween(Window.unboundedPreceding, 0))
-        got = offers.withColumn("cum", running).where(F.col("used") + F.col("cum") <= F.col("cap")).select(SIZE, *plain.columns, "territory")
-        got = materialise(got)
+        if done is None:
+            asks = left.withColumn("used", F.create_map().cast("map<int,double>"))
+        else:
+            used = done.groupBy(SIZE, "territory").agg(F.sum("workload").alias("w")).groupBy(SIZE).agg(F.map_from_entries(F.collect_list(F.struct("territory", "w"))).alias("used"))  # a row per size
+            asks = left.join(F.broadcast(used), SIZE, "left")
+        load = lambda t: F.coalesce(F.try_element_at("used", t.cast("int")), F.lit(0.0))
+        room = F.filter("wish", lambda w: load(w["territory"]) + F.col("workload") <= F.col("cap"))
+        asks = asks.withColumn("ask", F.try_element_at(room, F.lit(1)))
+        running = F.sum("workload").over(Window.partitionBy(SIZE, "ask.territory").orderBy("ask.d", "zip3").rowsBetween(Window.unboundedPreceding, 0))
+        tried = materialise(asks.withColumn("ok", F.col("ask").isNotNull() & (load(F.col("ask.territory")) + running <= F.col("cap"))).drop("used"))
+        got = tried.where("ok").select(*keep, F.col("ask.territory").alias("territory"))
         if got.isEmpty():
-            rest = open_.withColumn("r", _nearest([SIZE, "zip3"], F.col("d"), F.col("territory"))).where("r = 1").select(SIZE, *plain.columns, "territory")
+            rest = tried.select(*keep, F.col("wish")[0]["territory"].alias("territory"))
             return materialise(rest if done is None else done.unionByName(rest))
-        done = got if done is None else materialise(done.unionByName(got))
+        done = got if done is None else done.unionByName(got)
+        left = tried.where(~F.col("ok")).drop("ok", "ask")
+
+
+def labelled(assigned: DataFrame) -> DataFrame:
+    """With ``component``, the smallest unit of each unit's piece.
+
+    The edges inside a territory are one array, and each of them merges two labels: a pass instead of rounds to a fixpoint. A territory's
+    units are bounded by its geography.
+    """
+    whole = assigned.groupBy(SIZE, "territory").agg(F.sort_array(F.collect_list(F.struct("zip3", "near"))).alias("us")).withColumn("names", F.transform("us", lambda u: u["zip3"]))
+    inside = F.flatten(F.transform("us", lambda u: F.transform(F.filter(u["near"], lambda n: (n > u["zip3"]) & F.array_contains("names", n)), lambda n: F.struct(u["zip3"].alias("a"), n.alias("b")))))
+    # Labels stand at the places of their units.
+    label = lambda acc, name: F.element_at(acc, F.array_position("names", name).cast("int"))
+    joined = lambda acc, e: F.transform(acc, lambda x: F.when(x == F.greatest(label(acc, e["a"]), label(acc, e["b"])), F.least(label(acc, e["a"]), label(acc, e["b"]))).otherwise(x))
+    labels = F.aggregate(inside, F.col("names"), joined)
+    out = whole.select(SIZE, F.explode(F.arrays_zip(F.col("names").alias("zip3"), labels.alias("component"))).alias("x")).select(SIZE, "x.zip3", "x.component")
+    return materialise(assigned.drop("component").join(out, [SIZE, "zip3"]))
+
+
+def _with_book(state: DataFrame) -> DataFrame:
+    """With what all units of a size see: who owns each unit (``owner``), what territories hold (``sums``) and the mean load; and the neighbours' owners (``around``).
+
+    There is one such row for a size, as long as its units and territories; the join broadcasts it below the session's threshold only.
+    """
+    w = F.greatest("workload", F.lit(1e-6))
+    t = state.groupBy(SIZE, "territory").agg(F.struct(F.sum("workload").alias("load"), F.count("*").alias("members"), (F.sum(F.col("lat") * w) / F.sum(w)).alias("lat"), (F.sum(F.col("lon") * w) / F.sum(w)).alias("lon")).alias("s"), F.collect_list(F.struct("zip3", "component")).alias("us"))
+    owners = F.transform("us", lambda u: F.struct(u["zip3"].alias("b"), F.struct(F.col("territory").alias("t"), u["component"].alias("c"))))
+    book = t.groupBy(SIZE).agg(F.map_from_entries(F.flatten(F.collect_list(owners))).alias("owner"), F.map_from_entries(F.collect_list(F.struct("territory", "s"))).alias("sums"), F.avg("s.load").alias("mean"))
+    seen = F.transform("near", lambda b: F.struct(b.alias("b"), F.try_element_at("owner", b)["t"].alias("t"), F.try_element_at("owner", b)["c"].alias("c")))
+    return state.join(book, SIZE).withColumn("around", seen)
 
 
-def _moved(assigned: DataFrame, moves: DataFrame) -> tuple[DataFrame, int]:
-    """The alignment after the moves (n_reps, zip3, to), and their number."""
-    out = materialise(assigned.join(moves.select(SIZE, "zip3", F.col("to").alias("__to")), [SIZE, "zip3"], "left"))
-    count = out.where("__to is not null").count()
-    return out.withColumn("territory", F.coalesce("__to", "territory")).drop("__to"), count
+def _moved(state: DataFrame, moves: DataFrame) -> DataFrame:
+    """The alignment after the moves (n_reps, zip3, to, piece), with a flag ``moved``."""
+    out = state.drop("moved").join(moves.select(SIZE, "zip3", "to", "piece"), [SIZE, "zip3"], "left").withColumn("moved", F.col("to").isNotNull())
+    return materialise(out.withColumn("territory", F.coalesce("to", "territory")).withColumn("component", F.coalesce("piece", "component")).drop("to", "piece"))
 
 
-def repair_contiguity(assigned: DataFrame, edges: DataFrame) -> DataFrame:
+def repair_contiguity(state: DataFrame) -> DataFrame:
     """Keep each territory's largest piece by workload; other units go to an adjacent territory's piece, the nearest centre first.
 
-    Every round joins units to largest pieces, so their number falls until no unit outside is adjacent to one.
+    Every round joins units to largest pieces and gives them those labels, so there are at most as many rounds as units outside; it ends
+    when no such unit is adjacent to one.
     """
-    both = _symmetric(edges)
     while True:
-        c = components(assigned, edges, [SIZE]).join(assigned.select(SIZE, "zip3", "workload", "lat", "lon"), [SIZE, "zip3"])
-        size = c.groupBy(SIZE, "territory", "component").agg(F.sum("workload").alias("w"), F.count("*").alias("n"))
-        main = size.withColumn("r", _nearest([SIZE, "territory"], F.desc("w"), F.desc("n"), F.col("component"))).where("r = 1").select(SIZE, "territory", F.col("component").alias("main"))
-        c = materialise(c.join(main, [SIZE, "territory"]))
-        orphans = c.where("component <> main").select(SIZE, "zip3", "territory", "lat", "lon")
-        if orphans.isEmpty():
-            return assigned
-        kept = c.where("component = main").select(SIZE, F.col("zip3").alias("b"), F.col("territory").alias("to"))
-        centre = centroids(assigned).select(SIZE, F.col("territory").alias("to"), "clat", "clon")
-        offers = orphans.join(both.withColumnRenamed("a", "zip3"), "zip3").join(kept, [SIZE, "b"]).where("to <> territory").join(centre, [SIZE, "to"])
+        size = state.groupBy(SIZE, "territory", "component").agg(F.sum("workload").alias("w"), F.count("*").alias("n"))
+        main = materialise(size.withColumn("r", _nearest([SIZE, "territory"], F.desc("w"), F.desc("n"), F.col("component"))).where("r = 1").select(SIZE, "territory", F.col("component").alias("main")))
+        if main.join(size, [SIZE, "territory"]).where("component <> main").isEmpty():
+            return state
+        orphans = _with_book(state).join(main, [SIZE, "territory"]).where("component <> main").select(SIZE, "zip3", "lat", "lon", F.explode("around").alias("x"))
+        body = main.select(SIZE, F.col("territory").alias("to"), F.col("main").alias("piece"))
+        offers = orphans.select(SIZE, "zip3", "lat", "lon", F.col("x.t").alias("to"), F.col("x.c").alias("piece")).join(body, [SIZE, "to", "piece"], "left_semi")
+        centre = centroids(state).select(SIZE, F.col("territory").alias("to"), "clat", "clon")
         way = F.round(miles(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")), 6)
-        assigned, count = _moved(assigned, offers.withColumn("r", _nearest([SIZE, "zip3"], way, F.col("to"))).where("r = 1"))
-        if not count:
-            return assigned
+        state = _moved(state, offers.join(centre, [SIZE, "to"]).withColumn("r", _nearest([SIZE, "zip3"], way, F.col("to"))).where("r = 1"))
+        if state.where("moved").isEmpty():
+            return state
 
 
-def _safe_offers(assigned: DataFrame, edges: DataFrame) -> DataFrame:
-    """Moves of a unit to an adjacent territory that leave its own in one piece, with loads and centres of both.
+def _safe_offers(state: DataFrame) -> DataFrame:
+    """Moves of a unit to an adjacent territory that leave its own piece whole, with what both hold (``here``, ``there``).
 
     A unit may leave if its neighbours in the territory hang together without it: what is reached from one of them
     over edges among them is all of them. The neighbours of a unit are a handful.
     """
-    own = assigned.select(SIZE, "zip3", "territory")
-    near = materialise(_symmetric(edges).join(own.withColumnRenamed("zip3", "a"), "a").join(own.select(SIZE, F.col("zip3").alias("b"), F.col("territory").alias("to")), [SIZE, "b"]))
-    mates = near.where("territory = to").select(SIZE, "a", "b")
-    links = mates.join(mates.select(SIZE, F.col("a").alias("b"), F.col("b").alias("c")), [SIZE, "b"]).join(mates.select(SIZE, "a", F.col("b").alias("c")), [SIZE, "a", "c"])
-    grouped = mates.groupBy(SIZE, "a").agg(F.array_sort(F.collect_set("b")).alias("mates")).join(links.groupBy(SIZE, "a").agg(F.collect_set(F.struct("b", "c")).alias("links")), [SIZE, "a"], "left")
-    reached = "aggregate(mates, slice(mates, 1, 1), (acc, x) -> array_distinct(concat(acc, transform(filter(coalesce(links, array()), l -> array_contains(acc, l.b)), l -> l.c))))"
-    free = grouped.where(F.size("mates") == F.size(F.expr(reached))).select(SIZE, F.col("a").alias("zip3"))
-    centre = centroids(assigned)
-    there = centre.select(SIZE, F.col("territory").alias("to"), F.col("load").alias("load2"), F.col("clat").alias("clat2"), F.col("clon").alias("clon2"))
-    offers = near.where("territory <> to").select(SIZE, F.col("a").alias("zip3"), "to").distinct().join(assigned, [SIZE, "zip3"]).join(free, [SIZE, "zip3"], "left_semi")
-    return offers.join(centre, [SIZE, "territory"]).join(there, [SIZE, "to"]).where("members > 1")
+    x = _with_book(state).withColumn("mates", F.transform(F.filter("around", lambda n: n["t"] == F.col("territory")), lambda n: n["b"])).withColumn("here", F.try_element_at("sums", "territory")).where("here.members > 1")
+    reached = "aggregate(mates, slice(mates, 1, 1), (acc, m) -> array_distinct(concat(acc, transform(filter(links, l -> array_contains(acc, l.b) and array_contains(mates, l.c)), l -> l.c))))"
+    x = x.where(F.size("mates") == F.size(F.expr(reached)))
+    to = F.array_distinct(F.transform(F.filter("around", lambda n: n["t"] != F.col("territory")), lambda n: n["t"]))
+    x = x.withColumn("to", F.explode(to)).withColumn("there", F.try_element_at("sums", "to"))
+    # The piece of the other territory: any of those that the unit touches.
+    return x.withColumn("piece", F.array_min(F.transform(F.filter("around", lambda n: n["t"] == F.col("to")), lambda n: n["c"]))).drop("owner", "sums", "around", "mates", "near", "links")
 
 
 def _best_moves(offers: DataFrame) -> DataFrame:
     """At most one move out of a territory and one into it, the highest gain first; one that gives doesn't take."""
     order = (F.desc("gain"), F.col("zip3"), F.col("to"))
-    out = offers.withColumn("r", _nearest([SIZE, "territory"], *order)).where("r = 1").withColumn("r", _nearest([SIZE, "to"], *order)).where("r = 1").select(SIZE, "zip3", "territory", "to")
-    out = materialise(out)
+    out = offers.withColumn("r", _nearest([SIZE, "territory"], *order)).where("r = 1").withColumn("r", _nearest([SIZE, "to"], *order)).where("r = 1").select(SIZE, "zip3", "territory", "to", "piece")
     return out.join(out.select(SIZE, F.col("to").alias("territory")), [SIZE, "territory"], "left_anti")
 
 
-def improve_balance(assigned: DataFrame, edges: DataFrame) -> DataFrame:
-    """Boundary moves out of territories above the mean load that lower the squared deviation of loads, until none is left."""
-    while True:
-        offers = _safe_offers(assigned, edges)
-        mean = F.avg("load").over(Window.partitionBy(SIZE))
-        above = centroids(assigned).withColumn("mean", mean).where(F.col("load") > F.col("mean")).select(SIZE, "territory")
-        gain = 2 * F.col("workload") * (F.col("load") - F.col("load2") - F.col("workload"))
-        assigned, count = _moved(assigned, _best_moves(offers.join(above, [SIZE, "territory"], "left_semi").withColumn("gain", F.round(gain, 9)).where("gain > 0")))
-        if not count:
-            return assigned
+def _variation(state: DataFrame) -> dict[int, tuple[float, int]]:
+    """Variation of loads and number of units just moved, by size."""
+    t = state.groupBy(SIZE, "territory").agg(F.sum("workload").alias("w"), F.count_if("moved").alias("m"))
+    rows = t.groupBy(SIZE).agg(F.try_divide(F.stddev_pop("w"), F.nullif(F.avg("w"), F.lit(0.0))).alias("cv"), F.sum("m").alias("m")).collect()  # a row per size
+    return {r[SIZE]: (r["cv"] or 0.0, r["m"]) for r in rows}
+
 
+def improve_balance(state: DataFrame, passes: int = 200) -> DataFrame:
+    """Boundary moves out of territories above the mean load that lower the squared deviation of loads.
+
+    It ends without a move, when no size's variation has fallen in ``STALL`` rounds, or after ``passes`` rounds.
+    """
+    best, stalled = {}, 0
+    for _ in range(passes):
+        gain = F.round(2 * F.col("workload") * (F.col("here.load") - F.col("there.load") - F.col("workload")), 9)
+        state = _moved(state, _best_moves(_safe_offers(state).where("here.load > mean").withColumn("gain", gain).where("gain > 0")))
+        now = _variation(state)
+        fell = [n for n, (cv, _) in now.items() if n not in best or cv < best[n] - 1e-4]
+        best |= {n: now[n][0] for n in fell}
+        stalled = 0 if fell else stalled + 1
+        if stalled >= STALL or not sum(m for _, m in now.values()):
+            break
+    return state
 
-def polish_distance(assigned: DataFrame, edges: DataFrame, slack: float = 1.1) -> DataFrame:
+
+def polish_distance(state: DataFrame, slack: float = SLACK, passes: int = 100) -> DataFrame:
     """Boundary moves to a nearer centre that keep the other territory within its capacity, as long as travel falls for some size."""
-    best = materialise(assigned)
+    best = materialise(state)
     travel = {r[SIZE]: r["travel_miles"] for r in metrics(best, by=[SIZE]).collect()}  # a row per size
-    while True:
-        way = lambda lat, lon: miles(F.col("lat"), F.col("lon"), F.col(lat), F.col(lon))
-        room = best.groupBy(SIZE).agg((F.sum("workload") * slack / F.count_distinct("territory")).alias("cap"))
-        gain = F.round(F.col("workload") * (way("clat", "clon") - way("clat2", "clon2")), 6)
-        offers = _safe_offers(best, edges).join(room, SIZE).where(F.col("load2") + F.col("workload") <= F.col("cap")).withColumn("gain", gain).where("gain > 0")
-        trial, count = _moved(best, _best_moves(offers))
-        if not count:
-            return best
+    for _ in range(passes):
+        way = lambda at: miles(F.col("lat"), F.col("lon"), F.col(at)["lat"], F.col(at)["lon"])
+        gain = F.round(F.col("workload") * (way("here") - way("there")), 6)
+        offers = _safe_offers(best).where(F.col("there.load") + F.col("workload") <= slack * F.col("mean")).withColumn("gain", gain).where("gain > 0")
+        trial = _moved(best, _best_moves(offers))
         now = {r[SIZE]: r["travel_miles"] for r in metrics(trial, by=[SIZE]).collect()}  # a row per size
         better = [n for n, t in now.items() if t is not None and t < travel[n] * (1 - 1e-4)]
         if not better:
-            return best
-        best = materialise(trial.where(F.col(SIZE).isin(better)).unionByName(best.where(~F.col(SIZE).isin(better))))
+            break
+        best = materialise(trial.where(F.col(SIZE).isin(better)).unionByName(best.where(~F.col(SIZE).isin(better)), allowMissingColumns=True))
         travel |= {n: now[n] for n in better}
+    return best
+
+
+def _ranks(state: DataFrame, worst_cv: float) -> dict[int, tuple[float, float, float]]:
+    """By size: share of territories in pieces, variation beyond ``worst_cv``, and travel; lower is better."""
+    rows = metrics(state, labelled(state), [SIZE]).collect()  # a row per size
+    return {r[SIZE]: (-round(r["contiguity_rate"], 3), round(max(r["workload_cv"] or 0.0, worst_cv), 2), r["travel_miles"] or 0.0) for r in rows}
 
 
-def solve(u: DataFrame, edges: DataFrame, sizes: list[int], slack: float = 1.1, max_iterations: int = 40, worst_cv: float = 0.20) -> DataFrame:
-    """Aligned units for several numbers of territories, in long format: ``n_reps, zip3, territory, workload``.
+def solve(u: DataFrame, edges: DataFrame, sizes: list[int], slack: float = SLACK, max_iterations: int = 40, worst_cv: float = 0.20) -> DataFrame:
+    """Aligned units for several numbers of territories, in long format: ``n_reps, zip3, lat, lon, territory, workload``.
 
-    From workload-weighted k-means: capacity assignment, contiguity, balance and travel, again from the new centres while a
-    size gets better. An alignment is better with more territories in one piece, then with a variation of loads within
-    ``worst_cv``, then with less travel.
+    From workload-weighted k-means: capacity assignment, contiguity and balance, again from the new centres while a size gets
+    better; the best alignments are then polished for travel. An alignment is better with more territories in one piece, then
+    with a variation of loads within ``worst_cv``, then with less travel. Boundary moves keep pieces whole, so components are
+    searched after an assignment and for the measures only.
     """
-    starts = [kmeans(u, n).withColumn(SIZE, F.lit(n)) for n in sizes]
-    now = materialise(reduce(DataFrame.unionByName, starts).select(SIZE, "zip3", "lat", "lon", "workload", "territory"))
+    near = neighbourhoods(u, edges)
+    starts = [kmeans(near, n).withColumn(SIZE, F.lit(n)) for n in sizes]
+    now = materialise(reduce(DataFrame.unionByName, starts))
     best, rank = None, {}
     for _ in range(max_iterations):
-        now = repair_contiguity(capacity_assignment(u, centroids(now), slack), edges)
-        now = repair_contiguity(polish_distance(improve_balance(now, edges), edges, slack), edges)
-        rows = metrics(now, components(now, edges, [SIZE]), [SIZE]).collect()  # a row per size
-        found = {r[SIZE]: (-round(r["contiguity_rate"], 3), round(max(r["workload_cv"] or 0.0, worst_cv), 2), r["travel_miles"] or 0.0) for r in rows}
+        now = repair_contiguity(labelled(capacity_assignment(near, centroids(now), slack)))
+        now = improve_balance(now)
+        found = _ranks(now, worst_cv)
         # Travel has to fall by a hundredth, or the rest to get better.
-        better = [n for n, f in found.items() if best is None or f[:2] < rank[n][:2] or (f[:2] == rank[n][:2] and f[2] < 0.99 * rank[n][2])]
+        better = [n for n, f in found.items() if n not in rank or f[:2] < rank[n][:2] or (f[:2] == rank[n][:2] and f[2] < 0.99 * rank[n][2])]
         if not better:
             break
-        mine = now.where(F.col(SIZE).isin(better))
-        best = now if best is None else materialise(mine.unionByName(best.where(~F.col(SIZE).isin(better))))
+        best = now if best is None else materialise(now.where(F.col(SIZE).isin(better)).unionByName(best.where(~F.col(SIZE).isin(better)), allowMissingColumns=True))
         rank |= {n: found[n] for n in better}
-    return best.select(SIZE, "zip3", "lat", "lon", "territory", "workload")
+        now = now.where(F.col(SIZE).isin(better))
+    polished = polish_distance(best, slack)
+    after = _ranks(polished, worst_cv)
+    good = [n for n in after if after[n] <= rank[n]]
+    out = polished.where(F.col(SIZE).isin(good)).unionByName(best.where(~F.col(SIZE).isin(good)), allowMissingColumns=True)
+    return materialise(out.select(SIZE, "zip3", "lat", "lon", "territory", "workload"))
+
+
+def headline(u: DataFrame, edges: DataFrame, solved: DataFrame, size: int) -> DataFrame:
+    """``alignment, n_reps`` and the metrics of the baseline, plain k-means and the solved alignments, all by the same measures."""
+    u = materialise(u)
+    parts = {"baseline": baseline(u, size).withColumn(SIZE, F.lit(size)), "kmeans": kmeans(u, size).withColumn(SIZE, F.lit(size)), "optimised": solved}
+    kept = [df.select(F.lit(name).alias("alignment"), SIZE, "zip3", "lat", "lon", "territory", "workload") for name, df in parts.items()]
+    every = materialise(reduce(DataFrame.unionByName, kept))
+    by = ["alignment", SIZE]
+    return metrics(every, components(every, edges, by), by)

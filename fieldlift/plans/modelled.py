@@ -74,9 +74,8 @@ def d30_ev2_challenger_ladder(s: Spark, d: str) -> DataFrame:
     m = T.mart(s, d)
     train = models.materialise(backtest.growth_panel(T.scored(s, d, 1998), m.where("year = 1999")))
     p = models.materialise(_panel(s, d))
-    out = p
-    for model in models.in_parallel([lambda t=t: models.fit_states(train, t, f"predicted_{t}") for t in ("growth_abs", "growth_share")]):
-        out = out.join(model.predict(p), "npi")
+    made = models.fit_states(train, {f"predicted_{t}": models.Fit(t) for t in ("growth_abs", "growth_share")}, **models.FRONTIER)
+    out = p.join(made.predict(p), "npi")
     return backtest.evaluate_rules(models.materialise(out), {"volume": "class_fills", "frontier": "opportunity", "challenger_abs": "predicted_growth_abs", "challenger_share": "predicted_growth_share"}, 100)
 
 

@@ -1,10 +1,12 @@
 """Known answers of forecasts, matching, saturation, segments, ladders and distributions."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlift.operators import evaluate, forecast, matching, ranks, resample, segments, stats
+from fieldlift.operators import draws, evaluate, forecast, matching, ranks, resample, segments, stats
 
 
 def test_conformal_constant(spark):
@@ -37,6 +39,21 @@ def test_student_and_normal(spark):
     assert [r[0] for r in d.select(stats.p_value(F.col("x"), F.col("d"))).collect()][1] is None
 
 
+def test_log_odds_equal_a_plain_fit(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 2)) * [1, 50] + [0, 9]
+    t = rng.random(300) < 1 / (1 + np.exp(-1.5 * x[:, 0] + 0.5))
+    d = spark.createDataFrame([(i, float(x[i, 0]), float(x[i, 1]), 3.0, bool(t[i])) for i in range(300)], "npi long, a double, b double, c double, t boolean")
+    z = (x - x.mean(0)) / x.std(0)
+    z1, w = np.column_stack([np.ones(300), z]), np.zeros(3)
+    for _ in range(4000):  # plain gradient steps on the same penalised likelihood
+        w += 0.01 * (z1.T @ (t - 1 / (1 + np.exp(-z1 @ w))) - [0, w[1], w[2]])
+    got = {r["npi"]: r["logit"] for r in matching.propensity(d, "t", ["a", "b", "c"]).collect()}
+    assert [got[i] for i in range(300)] == pytest.approx((z1 @ w).tolist(), abs=1e-6)
+    assert matching.propensity(d.where("t"), "t", ["a"]).where("logit < 10").count() == 0
+    assert matching.propensity(d.limit(0), "t", ["a"]).count() == 0
+
+
 def test_matching_pairs_near_accounts_once(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=400)
@@ -109,7 +126,73 @@ def test_noise_ceiling_is_near_hindsight_for_large_counts(spark):
 
 def test_shuffles_stay_inside_strata(spark):
     d = spark.createDataFrame([(i, i % 3, float(i % 3)) for i in range(90)], "npi long, s int, v double")
-    own, dealt = resample.shuffled(d, "v", 4, 1, stratum="s")
-    both = dealt.join(own.select("i", "s"), "i")
-    assert both.count() == 360 and both.where("v <> s").count() == 0
-    assert dealt.groupBy("rep").agg(F.count_distinct("i").alias("n")).where("n <> 90").count() == 0
+    d = d.withColumn("u", F.col("npi") * 1.0)
+    rows = resample.shuffled(d, "u", 6, 1, stratum="s", carry=["v"]).collect()
+    assert len(rows) == 7 * 90 and all(r["u"] % 3 == r["v"] for r in rows)
+    by = {rep: {r["npi"]: r["u"] for r in rows if r["rep"] == rep} for rep in range(7)}
+    assert by[0] == {i: float(i) for i in range(90)}
+    for rep in range(1, 7):
+        assert sorted(by[rep].values()) == [float(i) for i in range(90)]
+        # Strata of one size are permuted differently.
+        assert [by[rep][i] for i in range(0, 90, 3)] != [by[rep][i] - 1 for i in range(1, 90, 3)]
+    assert len({tuple(sorted(x.items())) for x in by.values()}) == 7
+
+
+def test_permutations_are_exact_and_even():
+    for size in (1, 2, 3, 5, 16, 17, 100, 1025):
+        for draw in (1, 2, 9):
+            assert sorted(draws.permuted(np.arange(size), size, draw, 7).tolist()) == list(range(size))
+    # Every place is as likely as any other.
+    seen = np.bincount(np.concatenate([draws.permuted(np.array([3]), 10, r, 1) for r in range(6000)]), minlength=10)
+    assert ((seen - 600) ** 2 / 600).sum() < 27.9  # chi-square of 9 degrees at 0.001
+
+
+def chi_square(got, chances, n):
+    """Statistic over outcomes with at least five expected hits, the rest pooled; and its degrees of freedom."""
+    want = np.array(chances) * n
+    big = want >= 5
+    seen = np.bincount(got.astype(int), minlength=len(want))[: len(want)]
+    o, e = np.append(seen[big], n - seen[big].sum()), np.append(want[big], n - want[big].sum())
+    use = e > 1e-9
+    return ((o[use] - e[use]) ** 2 / e[use]).sum(), use.sum() - 1
+
+
+def test_counts_follow_their_distributions():
+    n = 40_000
+    u = draws.uniforms(np.arange(n), 3)
+    assert abs(u.mean() - 0.5) < 0.01 and 0 < u.min() and u.max() < 1
+    for mean in (0.0, 0.3, 4.0, 37.5, 900.0):
+        got = draws.poisson(np.full(n, mean), u)
+        chances = [math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) if mean else float(k == 0) for k in range(int(mean + 12 * mean**0.5 + 20))]
+        stat, dof = chi_square(got, chances, n)
+        assert stat < dof + 4 * (2 * max(dof, 1)) ** 0.5
+    for size, p in ((0, 0.4), (1, 0.5), (7, 0.0), (7, 1.0), (20, 0.03), (300, 0.5), (1000, 0.97)):
+        got = draws.binomial(np.full(n, float(size)), np.full(n, p), u)
+        chances = [math.comb(size, k) * p**k * (1 - p) ** (size - k) for k in range(size + 1)]
+        stat, dof = chi_square(got, chances, n)
+        assert stat < dof + 4 * (2 * max(dof, 1)) ** 0.5 and got.max() <= size
+    m = draws.poisson_one(np.arange(n), np.array([0, 5]))
+    assert (m[:, 0] == 1).all() and abs(m[:, 1].mean() - 1) < 0.02 and abs(m[:, 1].var() - 1) < 0.05
+
+
+def test_bootstrap_equals_a_plain_run_of_the_same_draws(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(rng.integers(0, 30)), float(rng.normal()), float(rng.normal())) for i in range(500)]
+    d = spark.createDataFrame(rows, "npi long, a double, b double, g double").repartition(7)
+    keys = {r["npi"]: r["h"] for r in d.select("npi", F.xxhash64("npi", F.lit(5)).alias("h")).collect()}
+    reps, k = 50, 60
+    m = draws.poisson_one(np.array([keys[i] for i in range(500)]), np.arange(reps + 1)).astype(int)
+    gain = np.maximum([r[3] for r in rows], 0)
+    capture = {}
+    for name, at in (("a", 1), ("b", 2)):
+        order = sorted(range(500), key=lambda i: (-rows[i][at], i))
+        before = np.cumsum(m[order], 0) - m[order]
+        take = np.clip(k - before, 0, m[order])
+        capture[name] = (gain[order] @ take) / (gain @ m)
+    for block in (16, 10_000):
+        got = {r["rule"]: r for r in resample.bootstrap_capture(d, {"a": "a", "b": "b"}, "g", k, reps, baseline="b", block=block).collect()}
+        for name in ("a", "b"):
+            want = capture[name]
+            assert got[name]["capture"] == pytest.approx(want[0])
+            assert (got[name]["capture_low"], got[name]["capture_high"]) == pytest.approx(tuple(np.percentile(want[1:], [2.5, 97.5])))
+            assert got[name]["ratio_se"] == pytest.approx(np.std((want / capture["b"])[1:], ddof=1))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldlift.functions import exprs as X
+from fieldlift.functions.session import materialise
 from fieldlift.operators import backtest, market, opportunity, quality, ranks, sizing, stats, territory
 
 
@@ -100,12 +101,68 @@ def test_territories_on_a_grid(spark):
     u = spark.createDataFrame(rows, "zip3 string, state string, lat double, lon double, workload double")
     e = territory.adjacency(u, 3, 1.0)
     assert e.where("a >= b").count() == 0 and e.count() >= 16
-    start = territory.kmeans(u, 3).withColumn("n_reps", F.lit(3)).select("n_reps", "zip3", "lat", "lon", "workload", "territory")
-    t = territory.repair_contiguity(territory.capacity_assignment(u, territory.centroids(start)), e)
+    near = territory.neighbourhoods(u, e)
+    start = territory.kmeans(near, 3).withColumn("n_reps", F.lit(3))
+    t = territory.repair_contiguity(territory.labelled(territory.capacity_assignment(near, territory.centroids(start))))
     assert t.count() == 16 and t.select("zip3").distinct().count() == 16
     assert territory.metrics(t, territory.components(t, e)).first()["contiguity_rate"] == 1.0
 
 
+@pytest.fixture(scope="module")
+def county(spark):
+    rows = [(f"{i}{j}", f"S{j % 3}", 35 + 0.6 * i, -100 + 0.6 * j, float(5 + (7 * i + 3 * j) % 20)) for i in range(6) for j in range(6)]
+    u = materialise(spark.createDataFrame(rows, "zip3 string, state string, lat double, lon double, workload double"))
+    return u, materialise(territory.adjacency(u, 4, 1.0))
+
+
+def plain_pieces(owner, links):
+    """Number of pieces by territory, by a plain search."""
+    out, seen = {}, set()
+    for start in owner:
+        if start not in seen:
+            out[owner[start]] = out.get(owner[start], 0) + 1
+            stack = [start]
+            while stack:
+                at = stack.pop()
+                if at not in seen:
+                    seen.add(at)
+                    stack += [n for n in links[at] if owner[n] == owner[at]]
+    return out
+
+
+def test_territories_are_whole_balanced_and_better_than_blocks(spark, county):
+    u, e = county
+    solved = territory.solve(u, e, [3, 4], max_iterations=2)
+    head = {(r["alignment"], r["n_reps"]): r for r in territory.headline(u, e, solved, 4).collect()}
+    assert set(head) == {("baseline", 4), ("kmeans", 4), ("optimised", 3), ("optimised", 4)}
+    for n in (3, 4):
+        r = head["optimised", n]
+        assert r["territories"] == n and r["contiguity_rate"] >= 0.95 and r["workload_cv"] <= 0.20
+    base, best = head["baseline", 4], head["optimised", 4]
+    assert best["contiguity_rate"] >= base["contiguity_rate"] and best["workload_cv"] < base["workload_cv"] and best["travel_miles"] < base["travel_miles"]
+    rows = solved.collect()
+    links = {}
+    for r in e.collect():
+        links.setdefault(r["a"], []).append(r["b"])
+        links.setdefault(r["b"], []).append(r["a"])
+    for n in (3, 4):
+        owner = {r["zip3"]: r["territory"] for r in rows if r["n_reps"] == n}
+        assert len(owner) == 36 and set(plain_pieces(owner, links).values()) == {1}
+
+
+def test_moves_keep_pieces_whole_and_carry_labels(spark, county):
+    u, e = county
+    near = territory.neighbourhoods(u, e)
+    start = territory.labelled(territory.baseline(u, 4).select("zip3", "territory").join(near, "zip3").withColumn("n_reps", F.lit(4)))
+    assert {(r["zip3"], r["component"]) for r in start.collect()} == {(r["zip3"], r["component"]) for r in territory.components(start, e).collect()}
+    whole = territory.repair_contiguity(start)
+    after = territory.improve_balance(whole)
+    same = after.select("zip3", "territory", "component").join(territory.components(after, e).select("zip3", F.col("component").alias("real")), "zip3")
+    # One label is one piece.
+    assert same.groupBy("component").agg(F.count_distinct("real").alias("n")).where("n > 1").isEmpty() and same.groupBy("real").agg(F.count_distinct("component").alias("n")).where("n > 1").isEmpty()
+    assert territory.metrics(after).first()["workload_cv"] < territory.metrics(whole).first()["workload_cv"]
+
+
 def test_rule_choice_and_leakage(spark):
     t = spark.createDataFrame([("volume", 0.5, 0.2, 100.0), ("opportunity", 0.46, 0.4, 80.0), ("model", 0.49, 0.9, 10.0)], "rule string, abs_capture double, share_capture double, median_base double")
     got = {r["rule"]: r for r in backtest.recommend_rule(t, ["opportunity", "volume"]).collect()}
