@@ -6,8 +6,9 @@ Texts (A-Z lower-cased) are pieces between ``[.,;:!?\\x0A-\\x0D]`` and words ``[
    through it can be frequent. The same is done for pairs of words. Bits are shared by hashes, so they let too much pass
    at worst: the more phrases there are for their size, the less they save, and counts never depend on them.
 2. Every position begins a suffix of at most five words, cut where a pair is rare. Equal ones are summed by task.
-3. Prefixes are grouped by budget: a prefix of one word goes to a group by hash, one with more records than a fraction of the
-   budget is lengthened by a word, and so on. Only these few prefixes, whose number is bounded by the number of groups, are known everywhere.
+3. Prefixes are grouped by budget: a word goes to a group by hash with all suffixes that it begins; one with more positions than
+   a fraction of the budget is lengthened to pairs, and a pair with as many to whole suffixes. Counts are known from the steps
+   before. Only these few prefixes, whose number is bounded by that of the groups, are sent to all tasks.
 4. Each group is sorted by Spark, which is the leaf order of its depth-truncated suffix tree. A node is an interval of
    leaves, and its count is their total. A task holds one path of the tree. Nodes above the cut of a lengthened prefix
    are in several groups; their totals are added at the end.
@@ -24,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap, has
 from .common import join_small, materialise, stored
-from .shingles import mix64
 
 LEAST, TOP, LONGEST = 100, 2000, 5
-#: Records of a group; at most so many groups, so that lengthened prefixes stay few.
-BUDGET, MOST_GROUPS = 100_000, 20_000
+#: Positions of a group; at most so many groups, so that lengthened prefixes stay few.
+BUDGET, MOST_GROUPS = 500_000, 20_000
 #: Bits of the maps of frequent words and pairs, as powers of two: 2 and 8 MB.
 WORD_BITS, PAIR_BITS = 24, 26
 #: What a task sums before it passes rows on.
@@ -60,26 +61,6 @@ class _Hashes(dict):
         return value
 
 
-def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether the bit of each hash is set in a map of 64-bit words."""
-    width = _U(64 - (len(bits).bit_length() - 1 + 6))
-    at = mix64(h) >> width
-    return (bits[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
-
-
-def _bitmap(hashes: DataFrame, power: int) -> np.ndarray:
-    """Map of ``2 ** power`` bits with those of the column ``h`` set; at most ``2 ** (power - 6)`` rows come to the driver, as Arrow."""
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array((mix64(b.column("h").to_numpy().view(_U)) >> _U(64 - power)).astype(np.int64))], names=["at"])
-
-    words = hashes.mapInArrow(places, "at long").groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("v")).toArrow()
-    out = np.zeros(1 << (power - 6), _U)
-    out[words["w"].to_numpy()] = words["v"].to_numpy().view(_U)
-    return out
-
-
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
     """Language and tokens of some whole texts of one language, with a piece's end between texts."""
     for batch in batches:
@@ -132,7 +113,7 @@ class _Pairs:
     def __call__(self, lang: str, found: list[bytes]) -> np.ndarray:
         known = self.hashes.setdefault(lang, _Hashes(lang))
         ids = np.fromiter(map(known.__getitem__, found), _U, len(found))
-        ids[~_has(self.words, ids)] = 0
+        ids[~has(self.words, ids)] = 0
         both = (ids[:-1] != 0) & (ids[1:] != 0)
         return np.where(both, (ids[:-1] * _STEP + ids[1:]) | _U(1), _U(0))
 
@@ -157,12 +138,33 @@ def _pair_rows(words) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return rows_of
 
 
-def _suffix_rows(words, frequent, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-        pairs, bits = _Pairs(words.value), frequent.value
+class _Routes:
+    """Group and length of the prefix that decides it, by suffix."""
+
+    def __init__(self, hot_words: set[tuple[str, str]], hot_pairs: np.ndarray, groups: int, longest: int):
+        self.words = {(lang, word.encode()) for lang, word in hot_words}
+        self.pairs, self.groups, self.longest = set(hot_pairs.tolist()), groups, longest
+
+    def of(self, lang: str, known: _Hashes, suffix: bytes) -> tuple[int, int]:
+        first, _, rest = suffix.partition(b" ")
+        if (lang, first) not in self.words:
+            return known[first] % self.groups, 1
+        h = _pair_hash(known[first], known[rest.partition(b" ")[0]])
+        if h not in self.pairs:
+            return h % self.groups, 2
+        return xxhash.xxh3_64_intdigest(suffix, known.seed) % self.groups, self.longest
+
+
+def _pair_hash(a: int, b: int) -> int:
+    return ((a * int(_STEP) + b) & (1 << 64) - 1) | 1
+
+
+def _suffix_rows(words, frequent, hot, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def suffixes(batches: Iterator[pa.RecordBatch], pairs: _Pairs) -> Iterator[tuple[str, list[bytes]]]:
+        bits = frequent.value
         for lang, found in _chunks(batches):
             h = pairs(lang, found)
-            on = (h != 0) & _has(bits, h)
+            on = (h != 0) & has(bits, h)
             on = np.concatenate([on, np.zeros(longest, bool)])
             more, depth = on[: len(h)].copy(), np.ones(len(h), np.int64)
             for k in range(1, longest):
@@ -171,7 +173,14 @@ def _suffix_rows(words, frequent, longest: int) -> Callable[[Iterator[pa.RecordB
             at = np.flatnonzero(depth > 1)
             yield lang, [b" ".join(found[i:j]) for i, j in zip(at.tolist(), (at + depth[at]).tolist(), strict=True)]
 
-    return lambda batches: _summed(suffixes(batches), "suffix")
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, routes = _Pairs(words.value), _Routes(*hot.value, longest)
+        for b in _summed(suffixes(batches, pairs), "suffix"):
+            to = [routes.of(lang, pairs.hashes[lang], s.encode()) for lang, s in zip(b.column("lang").to_pylist(), b.column("suffix").to_pylist(), strict=True)]
+            group, cut = zip(*to, strict=True) if to else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), *b.columns, pa.array(cut, pa.int8())], names=["group", "lang", "suffix", "c", "cut"])
+
+    return rows_of
 
 
 def _node_rows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -212,23 +221,6 @@ def _node_rows(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return rows_of
 
 
-def _grouped(suffixes: DataFrame, budget: int, longest: int) -> tuple[DataFrame, int]:
-    """Suffixes with the group of their prefix and the length ``cut`` of that prefix; and the number of groups."""
-    spark = suffixes.sparkSession
-    total = suffixes.count()
-    budget = max(budget, -(-total // MOST_GROUPS))
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // budget))
-    out = suffixes.withColumn("w", F.split("suffix", " ")).withColumn("cut", F.lit(1))
-    for k in range(1, longest):
-        # At most 4 * MOST_GROUPS prefixes of a length have more than a quarter of the budget.
-        prefix = F.array_join(F.slice("w", 1, k), " ")
-        hot = materialise(out.where(f"cut = {k} and size(w) >= {k}").groupBy("lang", prefix.alias("p")).count().where(F.col("count") > budget // 4).select("lang", "p", F.lit(1).alias("more")))
-        if hot.isEmpty():
-            break
-        out = out.withColumn("p", prefix).join(F.broadcast(hot), ["lang", "p"], "left").withColumn("cut", F.col("cut") + F.coalesce("more", F.lit(0))).drop("p", "more")
-    return out.withColumn("group", F.pmod(F.xxhash64("lang", F.slice("w", F.lit(1), F.col("cut"))), F.lit(groups)).cast("int")), groups
-
-
 def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, words, f`` of every phrase of 1 to ``longest`` words that occurs ``least`` times or more, and ``lang, n``, all words.
 
@@ -240,12 +232,19 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET, lon
     words = stored(rows.mapInArrow(_word_rows, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("f")))
     n = materialise(words.groupBy("lang").agg(F.sum("f").alias("n")))
     frequent = words.where(F.col("f") >= least)
-    word_bits = spark.sparkContext.broadcast(_bitmap(frequent.mapInArrow(_hash_rows, "h long"), WORD_BITS))
-    pairs = rows.mapInArrow(_pair_rows(word_bits), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    pair_bits = spark.sparkContext.broadcast(_bitmap(pairs.select("h"), PAIR_BITS))
-    suffixes = stored(rows.mapInArrow(_suffix_rows(word_bits, pair_bits, longest), "lang string, suffix string, c long"))
-    routed, groups = _grouped(suffixes, budget, longest)
-    leaves = routed.select("group", "lang", "w", "c", "cut").repartition(groups, "group").sortWithinPartitions("group", "lang", "w")
+    word_bits = spark.sparkContext.broadcast(bitmap(frequent.mapInArrow(_hash_rows, "h long"), WORD_BITS))
+    pairs = stored(rows.mapInArrow(_pair_rows(word_bits), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least))
+    pair_bits = spark.sparkContext.broadcast(bitmap(pairs.select("h"), PAIR_BITS))
+    total = pairs.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    budget = max(budget, -(-total // MOST_GROUPS))
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // budget))
+    # At most 4 * MOST_GROUPS words, and as many pairs, have more than these quarters.
+    limit = max(budget, -(-n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // MOST_GROUPS)) // 4
+    hot_words = {(r["lang"], r["word"]) for r in frequent.where(F.col("f") > limit).select("lang", "word").collect()}
+    hot_pairs = pairs.where(F.col("c") > budget // 4).select("h").toArrow()["h"].to_numpy().view(_U)
+    hot = spark.sparkContext.broadcast((hot_words, hot_pairs, groups))
+    suffixes = rows.mapInArrow(_suffix_rows(word_bits, pair_bits, hot, longest), "group int, lang string, suffix string, c long, cut byte")
+    leaves = suffixes.repartition(groups, "group").withColumn("w", F.split("suffix", " ")).drop("suffix").sortWithinPartitions("group", "lang", "w")
     nodes = leaves.mapInArrow(_node_rows(least), "lang string, phrase string, words int, f long")
     phrases = nodes.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return stored(phrases.unionByName(frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f"))), n

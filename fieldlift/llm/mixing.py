@@ -139,6 +139,9 @@ def emissions(planned: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, *, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **limits: float | None) -> DataFrame:
     """The rows of ``docs``, with all their columns, as many times as the mix repeats them."""
-    copies = plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **limits).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("copies").alias("__copies"))
-    on = docs[id_col].eqNullSafe(copies["__id"]) & (F.xxhash64(docs[text_col]) == copies["__h"])
-    return docs.join(copies.where("__copies > 0"), on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    planned = plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **limits).where("copies > 0")
+    # Columns are inside structs, so that none of them clashes.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    chosen = planned.select(F.struct("doc_id", "h", "copies").alias("c"))
+    out = rows.join(chosen, F.col("r")[id_col].eqNullSafe(F.col("c.doc_id")) & (F.xxhash64(F.col("r")[text_col]) == F.col("c.h")))
+    return out.select("r", F.explode(F.sequence(F.lit(1), F.col("c.copies"))).alias("copy")).select("r.*")

@@ -97,7 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Later occurrences of units. White space behind a sentence's mark becomes a line end of the same length; behind full-width
 #: marks a line end is put in, marked by U+E000, which belongs to no text.
-_LATER = r"""p AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '([.!?\x{2026}])[\x20\x09-\x0D]', E'\\1\n', 'g'), '([\x{3002}\x{FF01}\x{FF1F}]+)([^\x{3002}\x{FF01}\x{FF1F}\n])', '\1' || chr(57344) || chr(10) || '\2', 'g') AS x FROM documents),
+_LATER = r"""p AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '([.!?,;:\x{2026}])[\x20\x09-\x0D]', E'\\1\n', 'g'), '([\x{3002}\x{FF01}\x{FF1F}\x{FF0C}\x{3001}\x{FF1B}\x{FF1A}]+)([^\x{3002}\x{FF01}\x{FF1F}\x{FF0C}\x{3001}\x{FF1B}\x{FF1A}\n])', '\1' || chr(57344) || chr(10) || '\2', 'g') AS x FROM documents),
 l AS (SELECT doc_id, string_split(x, chr(10)) AS ls FROM p),
 a AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM l),
 z AS (SELECT doc_id, i, rtrim(line, chr(57344)) AS line, CASE WHEN ends_with(line, chr(57344)) THEN 0 ELSE 1 END AS gap FROM a),

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from fieldlift.llm import block_naming, chat, components, matroska, minhash, mixing, packing, substring_dedup, token_store, toxicity, weak_quality
 from fieldlift.llm.features import DIMENSIONS, Rows
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, removed_spans string, h string, s string, copies string, size string, votes string, facts map<string,int>"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, removed_spans string, h string, s string, copies string, size string, votes string, facts map<string,int>, __id string, __h string, r string, c string"
 
 
 def frame(spark, rows):
     """Documents with columns whose names clash with internal and result columns, and a map."""
-    return spark.createDataFrame([(i, t, "en", s, 0, "a", "b", "c", "d", "e", "f", {"k": 1}) for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", s, 0, "a", "b", "c", "d", "e", "f", {"k": 1}, "p", "q", "u", "v") for i, t, s in rows], DOCS)
 
 
 def words(text):
