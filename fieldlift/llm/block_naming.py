@@ -76,7 +76,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal if they are the same without white space. Of equal texts the longest original stays (code points),
     then the smallest id; a null id comes last. A null text counts as empty, so null, empty and blank texts are one
     group. Of rows with the same id and text one is kept and each counts in ``group_size``. An empty table gives an
-    empty result. Other columns are not read.
+    empty result. Texts of any length are named by all their blocks. Other columns are not read.
     """
     found = document_names(docs, id_col, text_col, block_bytes)
     best = F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))).alias("best")

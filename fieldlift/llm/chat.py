@@ -55,8 +55,8 @@ def format_conversations(turns: DataFrame, template: Template | None = None, con
     Rows are ordered by turn, then role and text; a null turn comes first. Null roles and texts count as empty. Repeated
     rows are turns of their own. Nothing tells which rows without an id belong together: each is a conversation of its
     own, with a null id, so they gather in no task. Turn orders that the machine refuses are
-    formatted all the same with ``valid`` false and the state ``error``. An empty table gives no row; other columns
-    aren't read.
+    formatted all the same with ``valid`` false and the state ``error``. An empty table gives no row; texts of any length are
+    formatted whole; other columns aren't read.
     """
     t = template or Template()
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -3,9 +3,10 @@
 Texts (A-Z lower-cased) are pieces between ``[.,;:!?\\x0A-\\x0D]`` and words ``[^\\x20\\x09]+``; everything is counted per language.
 
 1. Words are counted. Frequent ones set bits in a map of fixed size; a rare word ends every phrase, as no phrase
-   through it can be frequent. The same is done for pairs of words. Bits are shared by hashes, so they let too much pass
+   through it can be frequent. The same is done for pairs of words, and longer phrases of frequent pairs are counted in a fixed
+   number of shared counters. Bits and counters are shared by hashes, so they let too much pass
    at worst: the more phrases there are for their size, the less they save, and counts never depend on them.
-2. Every position begins a suffix of at most five words, cut where a pair is rare. Equal ones are summed by task.
+2. Every position begins a suffix of at most five words, cut where a pair or its own beginning is rare. Equal ones are summed by task.
 3. Prefixes are grouped by budget: a word goes to a group by hash with all suffixes that it begins; one with more positions than
    a fraction of the budget is lengthened to pairs, and a pair with as many to whole suffixes. Counts are known from the steps
    before. Only these few prefixes, whose number is bounded by that of the groups, are sent to all tasks.
@@ -27,14 +28,17 @@ from pyspark.sql import functions as F
 
 from .bitmaps import bitmap, has
 from .common import join_small, materialise, stored
+from .shingles import mix64
 
 LEAST, TOP, LONGEST = 100, 2000, 5
 #: Positions of a group; at most so many groups, so that lengthened prefixes stay few.
 BUDGET, MOST_GROUPS = 500_000, 20_000
-#: Bits of the maps of frequent words and pairs, as powers of two: 2 and 8 MB.
-WORD_BITS, PAIR_BITS = 24, 26
+#: Bits of the maps of frequent words and pairs (2 and 8 MB) and counters of longer phrases (8 MB a task), as powers of two.
+WORD_BITS, PAIR_BITS, PHRASE_COUNTERS = 24, 26, 23
+#: Counters that travel as one value.
+COUNTER_CHUNK = 1 << 16
 #: What a task sums before it passes rows on.
-HELD_KEYS, HELD_PAIRS, HELD_TOKENS = 200_000, 2_000_000, 200_000
+HELD_KEYS, HELD_PAIRS, HELD_TOKENS = 200_000, 1_000_000, 200_000
 
 #: A-Z lower-cased, the ends of pieces as full stops (which no word holds), tabs as spaces.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 46 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -110,12 +114,13 @@ class _Pairs:
     def __init__(self, words: np.ndarray):
         self.words, self.hashes = words, {}
 
-    def __call__(self, lang: str, found: list[bytes]) -> np.ndarray:
+    def __call__(self, lang: str, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words (0: none or rare) and of the pairs that begin with them."""
         known = self.hashes.setdefault(lang, _Hashes(lang))
         ids = np.fromiter(map(known.__getitem__, found), _U, len(found))
         ids[~has(self.words, ids)] = 0
         both = (ids[:-1] != 0) & (ids[1:] != 0)
-        return np.where(both, (ids[:-1] * _STEP + ids[1:]) | _U(1), _U(0))
+        return ids, np.where(both, (ids[:-1] * _STEP + ids[1:]) | _U(1), _U(0))
 
 
 def _pair_rows(words) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -126,7 +131,7 @@ def _pair_rows(words) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, held, n = _Pairs(words.value), [], 0
         for lang, found in _chunks(batches):
-            h = pairs(lang, found)
+            _, h = pairs(lang, found)
             held.append(h[h != 0])
             n += len(held[-1])
             if n >= HELD_PAIRS:
@@ -138,6 +143,56 @@ def _pair_rows(words) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return rows_of
 
 
+def _longer(ids: np.ndarray, h: np.ndarray, on: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For phrases of 3, 4, ... words by position: whether all their pairs are frequent (``on``), and their hashes."""
+    whole = on
+    for k in range(3, longest + 1):
+        n = len(ids) - k + 1
+        if n <= 0:
+            return
+        whole = whole[:n] & on[k - 2 : k - 2 + n]
+        h = mix64(h[:n] * _STEP + ids[k - 1 :])
+        yield whole, h
+
+
+def _counter_rows(words, frequent, longest: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's counters of longer phrases, in chunks. A counter stops at ``least``: the sum over tasks reaches it just the same."""
+    kind = np.uint8 if least < 1 << 8 else np.uint16 if least < 1 << 16 else np.int64
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, counters = _Pairs(words.value), np.zeros(1 << PHRASE_COUNTERS, kind)
+        for lang, found in _chunks(batches):
+            ids, h = pairs(lang, found)
+            for whole, g in _longer(ids, h, (h != 0) & has(frequent.value, h), longest):
+                at, c = np.unique((mix64(g[whole]) >> _U(64 - PHRASE_COUNTERS)).astype(np.int64), return_counts=True)
+                counters[at] = np.minimum(counters[at].astype(np.int64) + c, least)
+        for k in range(0, len(counters), COUNTER_CHUNK):
+            part = counters[k : k + COUNTER_CHUNK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // COUNTER_CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "counters"])
+
+    return rows_of
+
+
+def _phrase_bits(counters: DataFrame, least: int) -> np.ndarray:
+    """Map of the counters that reach ``least`` in all tasks together; a bit each comes to the driver."""
+    kind = np.uint8 if least < 1 << 8 else np.uint16 if least < 1 << 16 else np.int64
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, x in zip(b.column("chunk").to_pylist(), b.column("counters"), strict=True):
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(x.as_py(), kind).astype(np.int64)
+        packed = [np.packbits(t >= least, bitorder="little").tobytes() for t in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "bits"])
+
+    out = np.zeros(1 << (PHRASE_COUNTERS - 6), _U)
+    words = COUNTER_CHUNK >> 6
+    for r in counters.repartition("chunk").mapInArrow(added, "chunk int, bits binary").toArrow().to_pylist():
+        out[r["chunk"] * words : (r["chunk"] + 1) * words] = np.frombuffer(r["bits"], _U)
+    return out
+
+
 class _Routes:
     """Group and length of the prefix that decides it, by suffix."""
 
@@ -159,17 +214,15 @@ def _pair_hash(a: int, b: int) -> int:
     return ((a * int(_STEP) + b) & (1 << 64) - 1) | 1
 
 
-def _suffix_rows(words, frequent, hot, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _suffix_rows(words, frequent, phrases, hot, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def suffixes(batches: Iterator[pa.RecordBatch], pairs: _Pairs) -> Iterator[tuple[str, list[bytes]]]:
-        bits = frequent.value
         for lang, found in _chunks(batches):
-            h = pairs(lang, found)
-            on = (h != 0) & has(bits, h)
-            on = np.concatenate([on, np.zeros(longest, bool)])
-            more, depth = on[: len(h)].copy(), np.ones(len(h), np.int64)
-            for k in range(1, longest):
-                depth += more
-                more &= on[k : len(h) + k]
+            ids, h = pairs(lang, found)
+            on = (h != 0) & has(frequent.value, h)
+            depth, alive = 1 + on.astype(np.int64), on
+            for whole, g in _longer(ids, h, on, longest):
+                alive = alive[: len(whole)] & whole & has(phrases.value, g)
+                depth[: len(alive)] += alive
             at = np.flatnonzero(depth > 1)
             yield lang, [b" ".join(found[i:j]) for i, j in zip(at.tolist(), (at + depth[at]).tolist(), strict=True)]
 
@@ -243,7 +296,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET, lon
     hot_words = {(r["lang"], r["word"]) for r in frequent.where(F.col("f") > limit).select("lang", "word").collect()}
     hot_pairs = pairs.where(F.col("c") > budget // 4).select("h").toArrow()["h"].to_numpy().view(_U)
     hot = spark.sparkContext.broadcast((hot_words, hot_pairs, groups))
-    suffixes = rows.mapInArrow(_suffix_rows(word_bits, pair_bits, hot, longest), "group int, lang string, suffix string, c long, cut byte")
+    phrase_bits = spark.sparkContext.broadcast(_phrase_bits(rows.mapInArrow(_counter_rows(word_bits, pair_bits, longest, least), "chunk int, counters binary"), least))
+    suffixes = rows.mapInArrow(_suffix_rows(word_bits, pair_bits, phrase_bits, hot, longest), "group int, lang string, suffix string, c long, cut byte")
     leaves = suffixes.repartition(groups, "group").withColumn("w", F.split("suffix", " ")).drop("suffix").sortWithinPartitions("group", "lang", "w")
     nodes = leaves.mapInArrow(_node_rows(least), "lang string, phrase string, words int, f long")
     phrases = nodes.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)

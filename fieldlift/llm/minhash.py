@@ -168,7 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked at 75 % Jaccard similarity of their distinct 5-word shingles (A-Z lower-cased); with fewer
     words the whole sequence is the one shingle. ``component_id`` is the smallest id reachable over links, itself
     included. A null, empty or blank text has no shingle and no link. Rows that repeat an id are one document. Rows
-    without an id keep null as component and are kept. Ties fall to the smaller id. Other columns are not read.
+    without an id keep null as component and are kept. Ties fall to the smaller id. Texts of any length are
+    shingled whole. Other columns are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(source.mapInArrow(_sign, "doc_id long, n_shingles long, fp binary, bands array<long>"))
@@ -223,6 +224,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document stands for its component, with all their columns."""
+    """The rows of ``docs`` whose document stands for its component, with all their columns.
+
+    Rows without an id or without text stay, as do rows that repeat an id that stays. Columns may have any names.
+    """
     dropped = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(dropped, docs[id_col] == dropped["__id"], "left_anti")

@@ -92,7 +92,7 @@ def plan(docs: DataFrame, *, seed: int = SEED, id_col: str = "doc_id", text_col:
 
     Tokens are words. Null sources are one source. A source without tokens takes no budget: its documents come once.
     Rows that repeat both id and text are planned once, under the first of their sources by name (null last). An empty
-    table gives an empty plan.
+    table gives an empty plan. Texts of any length are counted whole.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("n_tokens"))
     narrow = narrow.groupBy("doc_id", "h").agg(F.min("source").alias("source"), F.min("n_tokens").alias("n_tokens"))
@@ -138,7 +138,10 @@ def emissions(planned: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, *, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **limits: float | None) -> DataFrame:
-    """The rows of ``docs``, with all their columns, as many times as the mix repeats them."""
+    """The rows of ``docs``, with all their columns, as many times as the mix repeats them.
+
+    Columns may have any names; nulls, ties, repeated rows and empty tables are as in ``plan``.
+    """
     planned = plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **limits).where("copies > 0")
     # Columns are inside structs, so that none of them clashes.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))

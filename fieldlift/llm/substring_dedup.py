@@ -104,7 +104,7 @@ def later_occurrences(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
 
     ``removed`` is false where the run of adjacent later occurrences has fewer than ``min_words`` words. A null, empty or
     blank text has no unit. Rows that repeat id and text are one document; rows that share an id but not the text are
-    documents of their own, ranked by the texts' hashes; rows without an id rank last. Other columns aren't read.
+    documents of their own, ranked by the texts' hashes; rows without an id rank last. Texts of any length are read whole. Other columns aren't read.
     """
     out = _later(docs, min_words, id_col, text_col, sentences)
     return out.select("doc_id", "unit", F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.col("words").alias("n_words"), "run_words", "first_doc_id", "removed")

@@ -203,7 +203,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
     """Encode every whole text, append ``end_id`` and write ``path/blocks`` and ``path/ranks`` in ascending id order.
 
     A null or empty text is its end id alone. Rows that repeat an id follow one another, by the hash of their tokens;
-    rows without an id come first. An empty table writes empty files. Other columns aren't read.
+    rows without an id come first. An empty table writes empty files. Texts of any length are encoded
+    whole, word by word. Other columns aren't read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     encoded = rows.mapInArrow(_tokenise(tokenizer_path, end_id), "doc_id long, ids binary")

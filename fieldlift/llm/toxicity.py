@@ -154,11 +154,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     A null, empty or blank text is clean, with a severity of 0. Repeated rows get equal scores; other columns aren't
     read. Without labelled rows of both kinds every document gets the one kind seen, and clean if there is none.
+    Texts of any length are scored whole, by their distinct words.
     """
     s = docs.select(F.col(id_col).alias("doc_id"), score_column(F.col(text_col), model).alias("s"))
     return s.select("doc_id", F.col("s.severity").alias("expected_severity"), F.col("s.p_toxic").alias("p_toxic"), F.round("s.severity").cast("int").alias("grade"), (F.col("s.p_toxic") < REJECT_AT).alias("kept"))
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, with all their columns."""
-    return docs.withColumn("__score", score_column(F.col(text_col), model)).where(F.col("__score.p_toxic") < REJECT_AT).drop("__score")
+    """The rows of ``docs`` that aren't toxic, with all their columns.
+
+    Null, empty and blank texts stay, as do all rows of a text or none; whole texts of any length are scored. An empty table stays empty.
+    """
+    return docs.where(score_column(F.col(text_col), model)["p_toxic"] < REJECT_AT)

@@ -203,8 +203,8 @@ def quality(docs: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", t
 
     ``posterior`` is the label model's probability that the text is good, ``score`` the trained scorer's; ``kept`` is
     a score of at least 0.5. Null, empty and very short texts get no votes and the posterior of a text without votes.
-    Repeated rows get equal values, and a text that repeats trains once. An empty table gives an empty result. Other
-    columns aren't read.
+    Repeated rows get equal values, and a text that repeats trains once. An empty table gives an empty result. Texts of
+    any length are read whole. Other columns aren't read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counted = materialise(rows.groupBy(vote_column("text").alias("votes")).agg(F.count("*").alias("n"))).toPandas()  # at most 3 ** len(LABELLERS) rows
