@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.session import materialise
 from . import draws, models, ranks, resample, stats
+from .blends import GUARDRAIL
 from .opportunity import stack_rules
 
-GUARDRAIL = 0.90
 
 
 def rule_metrics(panel: DataFrame, rules: Mapping[str, str], k: int) -> DataFrame:
@@ -157,36 +157,3 @@ def unlisted_mates(panel: DataFrame, listed: DataFrame, members: DataFrame, valu
     gain = panel.select("npi", F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0)).alias("g"))
     held = gain.join(mates.withColumn("__mate", F.lit(1)), "npi", "left")
     return held.agg(F.count("__mate").alias("mates"), F.try_divide(F.sum(F.when(F.col("__mate") == 1, F.col("g"))), F.sum("g")).alias("value_share"))
-
-
-# Blends
-
-
-def bootstrap_frontier(panel: DataFrame, k: int, weights: Sequence[float], *, reps: int = 200, floor: float = GUARDRAIL, seed: int = 7, blocks: int = 200) -> DataFrame:
-    """By weight: intervals of both captures' ratios to volume alone, and how often the absolute one clears the floor.
-
-    Ranks are taken anew in each draw: equal values are counted by draw first, then one scan per measure cumulates the
-    counts. Lists are cut by ``list_totals``.
-    """
-    pos = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0))
-    rows = materialise(panel.select("npi", F.col("opportunity").alias("o"), F.col("class_fills").alias("v"), pos("growth_abs").alias("ga"), pos("growth_share").alias("gs")))
-    drawn = materialise(resample.drawn(rows, reps, seed))
-    for c in ("o", "v"):
-        counts = drawn.groupBy("rep", c).agg(F.sum("m").alias("__c"))
-        scan = ranks.rank_within(counts, ["rep"], [F.col(c)], {"__upto": F.col("__c")}, rank="__rn")
-        whole = drawn.groupBy("rep").agg(F.sum("m").alias("__all"))  # a row per draw
-        share = scan.join(whole, "rep").select(F.col("rep").alias("__rep"), F.col(c).alias("__v"), ((F.col("__upto") - F.col("__c") + (F.col("__c") + 1) / 2) / F.col("__all")).alias(f"r{c}"))
-        drawn = drawn.join(share, (F.col("rep") == F.col("__rep")) & (F.col(c) == F.col("__v"))).drop("__rep", "__v")
-    drawn = materialise(drawn.select("npi", "rep", "m", "ro", "rv", "ga", "gs"))
-    scored = drawn.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights]))).withColumn("order", F.round(-(F.col("weight") * F.col("ro") + (1 - F.col("weight")) * F.col("rv")), 12))
-    per = resample.list_totals(scored.withColumn("block", F.floor(F.col("order") * blocks)).select("npi", "rep", "weight", "m", "order", "block", "ga", "gs"), ["rep", "weight"], "order", k, ["ga", "gs"])
-    base = per.where("weight = 0").select("rep", F.col("lga").alias("a0"), F.col("lgs").alias("s0"))
-    long = per.join(base, "rep").withColumn("abs_ratio", F.try_divide("lga", "a0")).withColumn("share_ratio", F.try_divide("lgs", "s0"))
-    clears = F.avg(F.when(F.col("rep") > 0, (F.col("abs_ratio") >= floor).cast("double")))
-    return long.groupBy("weight").agg(*resample.interval("abs_ratio"), *resample.interval("share_ratio"), F.round(clears, 2).alias("p_clears_floor"))
-
-
-def robust_weight(frontier: DataFrame, sure: float = 0.95) -> DataFrame:
-    """The weight of the highest share ratio among those that clear the floor in at least ``sure`` of the draws; volume alone if none does."""
-    best = frontier.where(F.col("p_clears_floor") >= sure).agg(F.max(F.struct("share_ratio", -F.col("weight"))).alias("b"))
-    return best.select(F.coalesce(-F.col("b.col2"), F.lit(0.0)).alias("weight"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,36 @@ from ..functions.exprs import reason_text
 SORTABLE = ("opportunity", "class_fills", "brand_share", "brand_fills", "opportunity_decile", "volume_decile", "decile_shift", "npi")
 
 
+#: What a condition may ask, as SQL over a column and a parameter.
+CONDITIONS = {"=": "{c} = {p}", "<": "{c} < {p}", "<=": "{c} <= {p}", ">": "{c} > {p}", ">=": "{c} >= {p}", "in": "array_contains({p}, {c})", "like": "{c} LIKE {p}", "from last": "{c} >= {p} * (SELECT max({c}) FROM {{rows}})"}
+
+
+@dataclass(frozen=True)
+class Condition:
+    """A column, one of ``CONDITIONS`` and a value (a list for ``in``)."""
+
+    column: str
+    asks: str
+    value: Any
+
+
+def filtered(df: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
+    """Rows that meet all conditions, by Spark SQL with named parameters.
+
+    Text of a query comes from the schema and from ``CONDITIONS`` alone; values are bound and never become text. An unknown
+    column or condition raises. A row with a null in an asked column isn't met; without conditions all rows stay.
+    """
+    parts, values = [], {}
+    for k, c in enumerate(conditions):
+        if c.column not in df.columns:
+            raise ValueError(f"no column {c.column!r}")
+        if c.asks not in CONDITIONS:
+            raise ValueError(f"can't ask {c.asks!r}")
+        parts.append(CONDITIONS[c.asks].format(c="`" + c.column.replace("`", "``") + "`", p=f":p{k}"))
+        values[f"p{k}"] = c.value
+    return df.sparkSession.sql("SELECT * FROM {rows}" + (" WHERE " + " AND ".join(parts) if parts else ""), args=values, rows=df)
+
+
 def page(df: DataFrame, sort: str, *, page: int = 1, size: int = 50, ascending: bool = False, where: Column | None = None) -> DataFrame:
     """One page of a filtered list, nulls last, ties by key, with the total of rows."""
     if sort not in SORTABLE:

@@ -31,25 +31,6 @@ def interval(c: str, name: str | None = None, *, se: bool = False) -> list[Colum
     return [*out, F.stddev_samp(over).alias(f"{name}_se")] if se else out
 
 
-def list_totals(draws: DataFrame, by: list[str], order: str, k: int, gains: list[str]) -> DataFrame:
-    """Sums over all (``t<gain>``) and over the list of the first ``k`` drawn rows, copies counted (``l<gain>``), by draw and rule.
-
-    ``draws`` has ``block``, which rises with ``order`` (repeat it by ``npi``): counts are summed by block, then inside the
-    blocks that ``k`` ends in, so nothing is sorted as a whole.
-    """
-    blocks = materialise(draws.groupBy(*by, "block").agg(F.sum("m").alias("bm"), *[F.sum(F.col("m") * F.col(g)).alias(f"t{g}") for g in gains]))
-    ahead = F.coalesce(F.sum("bm").over(Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = blocks.withColumn("ahead", ahead)
-    whole = placed.groupBy(*by).agg(*[F.sum(F.when(F.col("ahead") + F.col("bm") <= k, F.col(f"t{g}"))).alias(f"w{g}") for g in gains], *[F.sum(f"t{g}").alias(f"t{g}") for g in gains])
-    last = placed.where((F.col("ahead") < k) & (F.col("ahead") + F.col("bm") > k)).select(*by, "block", "ahead")
-    prior = F.col("ahead") + F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy(order, "npi").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = draws.join(last, [*by, "block"]).withColumn("take", F.greatest(F.least(F.col("m"), k - prior), F.lit(0)))
-    part = cut.groupBy(*by).agg(*[F.sum(F.col("take") * F.col(g)).alias(f"c{g}") for g in gains])
-    out = whole.join(part, by, "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return materialise(out.select(*by, *[(zero(f"w{g}") + zero(f"c{g}")).alias(f"l{g}") for g in gains], *[f"t{g}" for g in gains]))
-
-
 def shuffled(rows: DataFrame, value: str, reps: int, seed: int, key: str = "npi", stratum: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """``rep, key``, the columns in ``carry`` and ``value``: in each shuffle the value of another row of the same stratum; draw 0 is the table itself.
 

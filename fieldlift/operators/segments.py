@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.session import materialise
-from . import models, stats
+from . import models, ranks, stats
 
 #: Features of the clusters.
 FEATURES = ("brand_share", "share_delta_recent", "share_delta_prior", "log_class_fills", "class_growth", "log_payments", "opportunity_pct")
 #: Numbers of clusters tried, draws and their size.
 CANDIDATES, RUNS, PART = (3, 4, 5, 6, 7, 8), 25, 0.8
+#: Fixed value: accounts that the silhouette is taken over.
+SILHOUETTE_ROWS = 4_000
 
 
 def panel(scored: DataFrame, payments: DataFrame, years: Sequence[int]) -> DataFrame:
@@ -65,17 +69,51 @@ def agreement(pairs: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataF
     return t.select(*by, F.coalesce(F.try_divide(F.col("both") - expected, (F.col(f"s_{a}") + F.col(f"s_{b}")) / 2 - expected), F.lit(1.0)).alias("ari"))
 
 
+def silhouette(labelled: DataFrame, names: Sequence[str], rows: int = SILHOUETTE_ROWS) -> DataFrame:
+    """``name, silhouette``: mean Euclidean silhouette of each column of labels over a hashed sample of the accounts.
+
+    The sample has ``rows`` accounts at most, so it is sent to all tasks; each of them takes the distances of its part of the
+    sample to the whole, a batch at a time, once for all labellings. An account alone in its cluster has 0.
+    """
+    sample = materialise(ranks.hash_sample(labelled, rows).select(vector_to_array("z").alias("z"), *names))
+    all_ = sample.toArrow()  # at most ``rows`` rows
+    if not all_.num_rows:
+        return labelled.sparkSession.createDataFrame([(n, None) for n in names], "name string, silhouette double")
+    z = np.array(all_["z"].to_pylist())
+    whole = labelled.sparkSession.sparkContext.broadcast((z, {n: np.unique(all_[n].to_numpy(), return_inverse=True)[1] for n in names}, {n: np.unique(all_[n].to_numpy()) for n in names}))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, codes, known = whole.value
+        for b in (whole_batch.slice(at, 256) for whole_batch in batches for at in range(0, whole_batch.num_rows, 256)):
+            mine = np.array(b.column("z").to_pylist()).reshape(-1, points.shape[1])
+            far = np.sqrt(np.square(mine[:, None, :] - points[None]).sum(2))
+            out = {}
+            for n in names:
+                size = np.bincount(codes[n])
+                sums = np.stack([np.bincount(codes[n], d, len(size)) for d in far]) if len(far) else np.empty((0, len(size)))
+                own = np.searchsorted(known[n], b.column(n).to_numpy())
+                every = np.arange(len(own))
+                inner = sums[every, own] / np.maximum(size[own] - 1, 1)
+                mean = sums / size
+                mean[every, own] = np.inf
+                outer = mean.min(1) if len(size) > 1 else np.full(len(own), np.nan)
+                out[n] = np.where(size[own] > 1, (outer - inner) / np.maximum(np.maximum(outer, inner), 1e-300), 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(names), b.num_rows)), pa.array(np.concatenate([out[n] for n in names]))], names=["name", "s"])
+
+    return sample.repartition(8).mapInArrow(parts, "name string, s double").groupBy("name").agg(F.avg("s").alias("silhouette"))
+
+
 def choose_k(rows: DataFrame, candidates: Sequence[int] = CANDIDATES, runs: int = RUNS, part: float = PART, seed: int = 42) -> DataFrame:
-    """By number of clusters: silhouette over all rows, mean and deviation of the agreement with clusterings of hashed parts, inertia and combined rank.
+    """By number of clusters: silhouette, mean and deviation of the agreement with clusterings of hashed parts, inertia and combined rank.
 
-    The silhouette is that of squared distances, which needs sums only; runs fit side by side.
+    The silhouettes of all candidates are taken from one pass over a sample; runs fit side by side.
     """
     cut = lambda b: F.pmod(F.xxhash64("npi", F.lit(b)), F.lit(1000)) < int(1000 * part)
 
-    def own(k: int) -> tuple[DataFrame, float, float]:
+    def own(k: int) -> tuple[DataFrame, float]:
         model = KMeans(k=k, seed=seed, featuresCol="z", predictionCol="cluster").fit(rows)
         out = materialise(model.transform(rows).select("npi", "z", "cluster"))
-        return out, ClusteringEvaluator(featuresCol="z", predictionCol="cluster").evaluate(out), model.summary.trainingCost
+        return out, model.summary.trainingCost
 
     def again(k: int, b: int) -> DataFrame:
         sub = rows.where(cut(b))
@@ -83,10 +121,13 @@ def choose_k(rows: DataFrame, candidates: Sequence[int] = CANDIDATES, runs: int
 
     whole = dict(zip(candidates, models.in_parallel([lambda k=k: own(k) for k in candidates]), strict=True))
     parts = stats.union_all(models.in_parallel([lambda k=k, b=b: again(k, b) for k in candidates for b in range(runs)]))
-    labels = stats.union_all([w.select("npi", "cluster", F.lit(k).alias("k")) for k, (w, _, _) in whole.items()])
+    labels = stats.union_all([w.select("npi", "cluster", F.lit(k).alias("k")) for k, (w, _) in whole.items()])
     ari = agreement(parts.join(labels, ["npi", "k"]), "cluster", "other", ["k", "run"]).groupBy("k").agg(F.avg("ari").alias("stability_ari"), F.stddev_pop("ari").alias("stability_sd"))
-    facts = rows.sparkSession.createDataFrame([(k, s, i) for k, (_, s, i) in whole.items()], "k int, silhouette double, inertia double")
-    out = facts.join(ari, "k")
+    facts = rows.sparkSession.createDataFrame([(k, str(k), i) for k, (_, i) in whole.items()], "k int, name string, inertia double")
+    wide = materialise(rows.select("npi", "z"))
+    for k, (w, _) in whole.items():
+        wide = wide.join(w.select("npi", F.col("cluster").alias(str(k))), "npi")
+    out = facts.join(silhouette(materialise(wide), [str(k) for k in whole]), "name").join(ari, "k").select("k", "silhouette", "inertia", "stability_ari", "stability_sd")
     best = lambda c: F.rank().over(Window.partitionBy().orderBy(F.desc(c)))  # noqa: E731  a row per candidate
     return out.withColumn("combined_rank", best("silhouette") + best("stability_ari"))
 

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.session import materialise
 from ..operators import backtest as B
-from ..operators import evaluate, explain, forecast, market, matching, models, reads, segments, sizing, stats, territory
+from ..operators import blends, evaluate, explain, forecast, market, matching, models, reads, segments, sizing, stats, territory
 from ..operators import opportunity as O
 from ..operators import ranks as R
 from . import fixture as T
 from .core import PANEL, WEIGHTS, _panel
+from .modelled import _uplift
 from .registry import query
 from .study import CAPACITY, LINKS, VALUE, _cohort, dose_panel, train_priors, value_panel
 
@@ -48,7 +49,7 @@ def ev6_qhat_by_band(s: Spark, d: str) -> DataFrame:
 
 @query(None)
 def ev6_conformal_coverage(s: Spark, d: str) -> DataFrame:
-    return forecast.interval_coverage(train_panel(s, d), value_panel(s, d), least=20)
+    return forecast.interval_coverage(train_panel(s, d), value_panel(s, d))
 
 
 @query(None)
@@ -121,6 +122,17 @@ def j13_rq4_full_call_list(s: Spark, d: str) -> DataFrame:
     return out.select("npi", "territory", "is_target", "opportunity", "visit_order", "why", "lo", "median", "hi", "p_active")
 
 
+@query(None)
+def rq2_full_account_detail(s: Spark, d: str) -> DataFrame:
+    """The first account of the list with its trend, payments, segment, drivers, forecast and effect of a touch."""
+    sc, pay, m = materialise(T.scored(s, d)), materialise(T.payments(s, d)), _fit_rows(s, d)
+    npi = R.top_k(sc.where("in_market").join(pay, "npi", "left_semi"), "opportunity", 1).first()["npi"]
+    drivers = explain.top_drivers(explain.attribution(m.where("class_fills > 0"), models.fit_frontier(m))).select("npi", "rank", "feature", "multiplier")
+    clustered = segments.clusters(segments.standardised(_segment_panel(s, d)), 5).select("npi", "cluster")
+    more = {"segment": clustered, "drivers": drivers, "forecast": _forecast(s, d), "effect": _uplift(s, d).select("npi", "tau")}
+    return reads.detail(sc, T.mart(s, d), npi, pay, **more).select("npi", "opportunity", "trend", "payments", *more)
+
+
 # Matching and response
 
 MATCHED = ["log_fills", "risk"]
@@ -164,7 +176,7 @@ def rs11_saturation(s: Spark, d: str) -> DataFrame:
 
 @query(None)
 def rs13_dose_fit(s: Spark, d: str) -> DataFrame:
-    return matching.dose_fit(dose_panel(s, d), least=2)
+    return matching.dose_fit(dose_panel(s, d))
 
 
 COVARIATES = ["log_panel_benes", "log_non_class_clms", "risk_score", "class_fills", "brand_fills", "prior_growth_share"]
@@ -176,7 +188,7 @@ def rs16_falsification(s: Spark, d: str) -> DataFrame:
     pay = T.payments(s, d).where(F.col("year") == T.FIT).select("npi", "focus_events", (F.col("pay_count") - F.col("focus_events") - F.col("competitor_events")).alias("other_events"))
     framed, _ = O.feature_frame(value_panel(s, d))
     rows = framed.join(pay, "npi", "left").fillna(0, ["focus_events", "other_events"]).fillna(0.0, ["prior_growth_share"]).withColumn("treated", (F.col("focus_events") > 0).cast("double"))
-    return matching.falsification(rows, "eb_growth_share", "prior_growth_share", "treated", "other_events", "focus_events", COVARIATES, least=20)
+    return matching.falsification(rows, "eb_growth_share", "prior_growth_share", "treated", "other_events", "focus_events", COVARIATES)
 
 
 def _pilot(s: Spark, d: str) -> DataFrame:
@@ -264,12 +276,12 @@ def ev13_unlisted_mates(s: Spark, d: str) -> DataFrame:
 
 @query(None)
 def d34_bootstrap_frontier(s: Spark, d: str) -> DataFrame:
-    return evaluate.bootstrap_frontier(_panel(s, d), BUDGET, WEIGHTS)
+    return blends.bootstrap_frontier(_panel(s, d), BUDGET, WEIGHTS)
 
 
 @query(None)
 def d34_robust_weight(s: Spark, d: str) -> DataFrame:
-    return evaluate.robust_weight(evaluate.bootstrap_frontier(_panel(s, d), BUDGET, WEIGHTS))
+    return blends.robust_weight(blends.bootstrap_frontier(_panel(s, d), BUDGET, WEIGHTS))
 
 
 # Segments

@@ -486,6 +486,22 @@ def d48_d49_d51_d52_d54_solve(s: Spark, d: str) -> DataFrame:
     return _solved(s, d)[2].select("n_reps", "zip3", "territory", "workload")
 
 
+@query(None)
+def d54_alignment_headline(s: Spark, d: str) -> DataFrame:
+    """Balance, travel and pieces of the blocks, plain k-means and the solved alignments."""
+    u, edges, solved = _solved(s, d)
+    return territory.headline(u, edges, solved, SIZES[-1])
+
+
+@query(None)
+def d28_gates_measured(s: Spark, d: str) -> DataFrame:
+    """All gates, with contiguity and balance of the solved alignments."""
+    u, edges, solved = _solved(s, d)
+    h = T.holdout(s, d)
+    measured = territory.headline(u, edges, solved, SIZES[-1]).where("alignment = 'optimised'")
+    return B.gates(O.agreement(T.scored(s, d)), B.decile_lift(h), B.head_to_head(h), measured)
+
+
 @query(f"WITH {BASELINE} SELECT territory, string_agg(DISTINCT plan.state, ', ' ORDER BY plan.state) AS states, count(*) AS accounts, count(*) FILTER (is_target) AS targets, sum(plan.opportunity) AS opportunity FROM plan JOIN ba USING (zip3) GROUP BY territory", "opportunity")
 def rq4_ag30_territory_options(s: Spark, d: str) -> DataFrame:
     p = materialise(_plan(s, d))
@@ -512,6 +528,13 @@ def rq2_account_detail(s: Spark, d: str) -> DataFrame:
     return t.select("npi", "opportunity", line("trend", "class_fills"), line("payments", "pay_total"))
 
 
+@query("SELECT npi, opportunity, opportunity_decile, state FROM scored WHERE in_market AND opportunity_decile >= 6 AND specialty_group IN ('BUILDING', 'MACHINERY') AND state LIKE '%A%' AND class_fills >= 0.1 * (SELECT max(class_fills) FROM scored WHERE in_market)", "opportunity")
+def u2_parameters(s: Spark, d: str) -> DataFrame:
+    """Accounts by a set of conditions whose values are parameters of the statement."""
+    asked = [reads.Condition("opportunity_decile", ">=", 6), reads.Condition("specialty_group", "in", ["BUILDING", "MACHINERY"]), reads.Condition("state", "like", "%A%"), reads.Condition("class_fills", "from last", 0.1)]
+    return reads.filtered(T.scored(s, d).where("in_market"), asked).select("npi", "opportunity", "opportunity_decile", "state")
+
+
 @query("SELECT volume_decile, opportunity_decile, count(*) AS accounts FROM scored WHERE in_market GROUP BY ALL")
 def rq5_stored_aggregate(s: Spark, d: str) -> DataFrame:
     path = f"{_folder(s)}/disagreement"

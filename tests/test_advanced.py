@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from fieldlift.operators import draws, evaluate, forecast, matching, ranks, resample, segments, stats
+from fieldlift.operators import blends, draws, evaluate, forecast, matching, ranks, reads, resample, segments, stats
 
 
 def test_conformal_constant(spark):
@@ -196,3 +197,65 @@ def test_bootstrap_equals_a_plain_run_of_the_same_draws(spark):
             assert got[name]["capture"] == pytest.approx(want[0])
             assert (got[name]["capture_low"], got[name]["capture_high"]) == pytest.approx(tuple(np.percentile(want[1:], [2.5, 97.5])))
             assert got[name]["ratio_se"] == pytest.approx(np.std((want / capture["b"])[1:], ddof=1))
+
+
+def test_silhouette_equals_a_plain_one(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(60, 2)), rng.normal(size=(50, 2)) + 8, [[30.0, 30.0]]])
+    two, three = [0] * 60 + [1] * 51, [i % 3 for i in range(110)] + [7]
+    rows = spark.createDataFrame([(i, x[i].tolist(), two[i], three[i]) for i in range(111)], "npi long, x array<double>, a int, b int").select("npi", array_to_vector("x").alias("z"), "a", "b")
+    got = {r["name"]: r["silhouette"] for r in segments.silhouette(rows, ["a", "b"]).collect()}
+    far = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    for name, label in (("a", np.array(two)), ("b", np.array(three))):
+        s = []
+        for i in range(111):
+            own = label == label[i]
+            inner = far[i][own].sum() / max(own.sum() - 1, 1)
+            outer = min(far[i][label == c].mean() for c in set(label.tolist()) - {label[i]})
+            s.append((outer - inner) / max(outer, inner) if own.sum() > 1 else 0.0)
+        assert got[name] == pytest.approx(np.mean(s))
+    assert segments.silhouette(rows, ["a"], rows=20).first()["silhouette"] > 0.5
+    assert segments.silhouette(rows.limit(0), ["a"]).first()["silhouette"] is None
+
+
+def test_values_of_conditions_stay_values(spark):
+    d = spark.createDataFrame([(1, "it's", 5.0), (2, "' OR 1 = 1 --", 7.0), (3, None, 9.0), (4, "x", None)], "npi long, `na``me` string, v double")
+    ids = lambda *c: sorted(r["npi"] for r in reads.filtered(d, [reads.Condition(*x) for x in c]).collect())
+    assert ids(("na`me", "=", "' OR 1 = 1 --")) == [2]
+    assert ids(("na`me", "in", ["it's", "x", "nothing"])) == [1, 4]
+    assert ids(("na`me", "like", "%'%"), ("v", ">", 5)) == [2]
+    assert ids(("v", "from last", 0.7)) == [2, 3] and ids() == [1, 2, 3, 4] and ids(("v", "<=", 5.0)) == [1]
+    for bad in (("no", "=", 1), ("v", "= 1 OR", 1)):
+        with pytest.raises(ValueError, match="no column|can't ask"):
+            ids(bad)
+
+
+@pytest.mark.parametrize("k", [40, 5000])
+def test_blends_equal_a_plain_bootstrap(spark, k, monkeypatch):
+    monkeypatch.setattr(blends, "LEVELS", 16)
+    rng = np.random.default_rng(9)
+    n, reps, weights = 260, 30, [0.0, 0.35, 1.0]
+    o, v = rng.gamma(2, size=n), np.round(rng.gamma(2, size=n), 1)
+    ga, gs = rng.normal(size=n) + 0.2 * v, rng.normal(size=n) + 0.2 * o
+    d = spark.createDataFrame([(i, float(o[i]), float(v[i]), float(ga[i]), float(gs[i])) for i in range(n)], "npi long, opportunity double, class_fills double, growth_abs double, growth_share double").repartition(5)
+    h = {r["npi"]: r["h"] for r in d.select("npi", F.xxhash64("npi", F.lit(7)).alias("h")).collect()}
+    m = draws.poisson_one(np.array([h[i] for i in range(n)]), np.arange(reps + 1)).astype(int)
+    ratio = {w: np.empty((2, reps + 1)) for w in weights}
+    for r in range(reps + 1):
+        rank = lambda x: np.array([(m[x < a, r].sum() + (m[x == a, r].sum() + 1) / 2) / m[:, r].sum() for a in x])  # noqa: B023, E731
+        ro, rv = rank(o), rank(v)
+        got = {}
+        for w in weights:
+            order = np.lexsort((np.arange(n), np.round(-(w * ro + (1 - w) * rv), 12)))
+            before = np.cumsum(m[order, r]) - m[order, r]
+            take = np.clip(k - before, 0, m[order, r])
+            got[w] = np.array([np.maximum(g, 0)[order] @ take for g in (ga, gs)])
+        for w in weights:
+            ratio[w][:, r] = got[w] / got[0.0]
+    rows = {r["weight"]: r for r in blends.bootstrap_frontier(d, k, weights, reps=reps, blocks=20).collect()}
+    for w in weights:
+        a, s = ratio[w]
+        assert rows[w]["abs_ratio"] == pytest.approx(a[0]) and rows[w]["share_ratio"] == pytest.approx(s[0])
+        assert (rows[w]["abs_ratio_low"], rows[w]["share_ratio_high"]) == pytest.approx((np.percentile(a[1:], 2.5), np.percentile(s[1:], 97.5)))
+        assert rows[w]["p_clears_floor"] == pytest.approx(round(np.mean(a[1:] >= 0.9), 2), abs=0.011)
+    assert blends.robust_weight(spark.createDataFrame([(0.0, 1.0, 1.0), (0.5, 1.2, 0.97), (1.0, 2.0, 0.1)], "weight double, share_ratio double, p_clears_floor double")).first()[0] == 0.5
