@@ -3,8 +3,8 @@
 Features are binned once by quantiles that Spark computes. Rows are dealt to tasks with the number of the model that they
 train; a task keeps its rows as bins in numpy and grows all trees level by level. With few rows there is a task for each model.
 Beyond ``TASK_ROWS`` the stage is a barrier stage: each task has a share of all models' rows, and a level's sums by (model,
-node, feature, bin) are exchanged among the tasks, so that all of them choose the same splits. Either way it is one Spark
-job, whatever the number of trees, folds and targets. A barrier stage whose executor is lost runs again as a whole.
+node, feature, bin) are exchanged among the tasks, so that all of them choose the same splits; each exchange waits for a second,
+some seven a tree, so only what is too large for a task goes that way. Either way it is one Spark job, whatever the number of trees, folds and targets. A barrier stage whose executor is lost runs again as a whole.
 Messages have a fixed size by level; a task's memory is its share of the rows. Barrier stages need static allocation.
 
 What reaches the driver is the trees.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from ..functions.session import materialise
 
 BINS = 128
-#: Rows, counted once for each model, that one task trains on.
-TASK_ROWS = 250_000
+#: Rows of a model that one task trains on, some 100 bytes each. An exchange of a barrier stage takes a second, whatever its size.
+TASK_ROWS = 4_000_000
 #: Bins of a pass over residuals; a leaf's quantile is found in two passes, within a millionth of its range.
 SKETCH = 1024
 #: Leaves of a tree; they go to the splits of highest gain of a level first.
@@ -74,14 +74,14 @@ class Trees:
     count: np.ndarray
 
     def score(self, bins: np.ndarray) -> np.ndarray:
-        out, every = np.full(len(bins), self.start), np.arange(len(bins))
+        out, flat, first = np.full(len(bins), self.start), np.ascontiguousarray(bins).ravel(), np.arange(len(bins)) * bins.shape[1]
+        inner, every = self.feature >= 0, np.arange(self.feature.shape[1])
+        seen, after = np.maximum(self.feature, 0), np.where(inner, 2 * every + 2, every)  # a leaf leads to itself
         for t in range(len(self.feature)):
-            node = np.zeros(len(bins), np.int64)
+            node, left = np.zeros(len(bins), np.int64), self.left[t].ravel()
             for _ in range(self.depth):
-                f = self.feature[t][node]
-                go = self.left[t][node, bins[every, np.maximum(f, 0)]]
-                node = np.where(f >= 0, 2 * node + 2 - go, node)
-            out += self.rate * self.value[t][node]
+                node = after[t].take(node) - left.take(node * BINS + flat.take(first + seen[t].take(node)))
+            out += self.rate * self.value[t].take(node)
         return out
 
 
@@ -98,8 +98,11 @@ class Boosted:
         return predict(df, {name: self}, x)
 
 
-def predict(df: DataFrame, models: Mapping[str, Boosted], x: str = "x") -> DataFrame:
-    """``df`` with a column for each model, in one pass: a probability or a mean for the logistic and Poisson losses, else the value."""
+def predict(df: DataFrame, models: Mapping[str, Boosted], x: str = "x", folds: Mapping[str, int] | None = None) -> DataFrame:
+    """``df`` with a column for each model, in one pass: a probability or a mean for the logistic and Poisson losses, else the value.
+
+    With ``folds``, rows get the values of the models of their own ``fold``, and NaN from the others.
+    """
     binning = next(iter(models.values())).binning
     names = list(models)
     trees = [m.trees for m in models.values()]
@@ -112,7 +115,11 @@ def predict(df: DataFrame, models: Mapping[str, Boosted], x: str = "x") -> DataF
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bins = binning.of(_matrix(b.column("__x"), len(binning.edges)))
-            found = [LINK.get(loss, lambda f: f)(t.score(bins)) for t, loss in zip(trees, losses, strict=True)]
+            found = []
+            for n, t, loss in zip(names, trees, losses, strict=True):
+                own = slice(None) if folds is None else np.flatnonzero(b.column("fold").to_numpy() == folds[n])
+                found.append(np.full(len(bins), np.nan))
+                found[-1][own] = LINK.get(loss, lambda f: f)(t.score(bins[own]))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *map(pa.array, found)], names=[*kept, *names])
 
     schema = df.select(*kept).schema
@@ -157,7 +164,10 @@ def binned(rows: DataFrame, x: str = "x", categorical: Sequence[int] = ()) -> Bi
 
 
 class _Growing:
-    """The rows of one model in a task, and its trees so far."""
+    """The rows of one model in a task, by the node that they have reached, and its trees so far.
+
+    Of two children the sums are taken over the rows of the smaller one; the other's are what is left of their parent's.
+    """
 
     def __init__(self, target: tuple[str, float, tuple[int, ...] | None], bins: np.ndarray, y: np.ndarray, w: np.ndarray, options: dict):
         self.loss, self.tau, allowed = target
@@ -168,6 +178,9 @@ class _Growing:
         self.feature, self.value, self.count = np.full(shape, -1, np.int16), np.zeros(shape), np.zeros(shape)
         self.left = np.zeros((*shape, BINS), bool)
         self.f = np.zeros(len(y))
+        self.plain = self.loss in ("squared", "quantile") and bool((w == 1).all())  # the curvature is the number of rows
+        self.every = np.arange(len(y))
+        self.rows = {0: self.every}
 
     def begin(self, start: float) -> None:
         self.start = start
@@ -184,28 +197,36 @@ class _Growing:
             g = self.y - h
         else:
             g, h = self.tau - (self.y < self.f), np.ones(len(self.y))
-        self.g, self.h = g * self.w, h * self.w
-        self.node = np.zeros(len(self.y), np.int64)
-        self.active = [0]
+        self.g, self.h = (g, h) if self.plain else (g * self.w, h * self.w)
+        self.rows = {0: self.every}
+        self.active, self.asked, self.parents = [0], [0], None
 
     def sums(self) -> np.ndarray:
-        """Gradient, curvature and rows by active node, feature and bin."""
-        k = len(self.active)
-        place = np.full(self.feature.shape[1], -1)
-        place[self.active] = np.arange(k)
-        at = place[self.node]
-        on = at >= 0
-        at, g, h, bins = at[on] * BINS, self.g[on], self.h[on], self.bins[on]
-        out = np.zeros((3, k, len(self.features), BINS))
-        for j, f in enumerate(self.features):
-            key = at + bins[:, f]
-            for row, weights in zip(out, (g, h, None), strict=True):
-                row[:, j] = np.bincount(key, weights, k * BINS).reshape(k, BINS)
+        """Gradient, curvature and rows by asked node, feature and bin."""
+        out = np.zeros((3, len(self.asked), len(self.features), BINS))
+        for i, node in enumerate(self.asked):
+            at = self.rows[node]
+            whole = len(at) == len(self.y)
+            g, h = (self.g, self.h) if whole else (self.g[at], None if self.plain else self.h[at])
+            for j, f in enumerate(self.features):
+                key = self.bins[:, f] if whole else self.bins[:, f][at]
+                out[0, i, j], out[2, i, j] = np.bincount(key, g, BINS), np.bincount(key, minlength=BINS)
+                out[1, i, j] = out[2, i, j] if self.plain else np.bincount(key, h, BINS)
         return out
 
-    def split(self, t: int, level: int, sums: np.ndarray) -> None:
+    def _of_active(self, sums: np.ndarray) -> np.ndarray:
+        """Sums of all active nodes, in their order, from those of the asked ones and of the parents."""
+        if self.parents is None:
+            return sums
+        rest = self.parents - sums
+        rest[:2] *= rest[2] > 0
+        first = (np.array(self.asked) == self.active[::2])[:, None, None]
+        return np.stack([np.where(first, sums, rest), np.where(first, rest, sums)], 2).reshape(3, -1, *sums.shape[2:])
+
+    def split(self, t: int, sums: np.ndarray) -> None:
         """Split active nodes where the gain is positive, as long as there are leaves left; their rows go on to the children."""
-        g, h, n = sums
+        every = self._of_active(sums)
+        g, h, n = every
         category = np.array([self.o["categorical"][f] for f in self.features], bool)
         order = np.broadcast_to(np.arange(BINS), g.shape).copy()
         if category.any():  # categories in the order of their means
@@ -223,38 +244,42 @@ class _Growing:
         self.count[t, self.active] = N[:, 0, 0]
         self.value[t, self.active] = G[:, 0, 0] / np.maximum(H[:, 0, 0] + self.o["l2"], 1e-12)
         room = self.o["leaves"] - self.leaves
-        chosen = [i for i in np.argsort(-top, kind="stable") if top[i] > 1e-12][:room]
+        chosen = sorted([i for i in np.argsort(-top, kind="stable") if top[i] > 1e-12][:room])
         self.leaves += len(chosen)
-        after = []
-        for i in sorted(chosen):
+        after, asked = [], []
+        for i in chosen:
             node, (j, b) = self.active[i], divmod(int(best[i]), BINS)
             f = self.features[j]
             self.feature[t, node] = f
             self.left[t, node, order[i, j, : b + 1]] = True
-            after += [2 * node + 1, 2 * node + 2]
-        split = self.feature[t][self.node]
-        go = self.left[t][self.node, self.bins[np.arange(len(self.node)), np.maximum(split, 0)]]
-        # Rows that reached a leaf on an earlier level stay there.
-        self.node = np.where((split >= 0) & (self.node >= 2**level - 1), 2 * self.node + 2 - go, self.node)
-        self.active = after
+            at = self.rows.pop(node)
+            go = self.left[t, node][self.bins[:, f][at]]
+            children = [2 * node + 1, 2 * node + 2]
+            self.rows |= dict(zip(children, (at[go], at[~go]), strict=True))
+            after += children
+            asked.append(children[int(2 * n[i, j, b] > N[i, 0, 0])])
+        self.active, self.asked, self.parents = after, asked, every[:, chosen]
 
     def leaf_sums(self) -> np.ndarray:
-        k = self.feature.shape[1]
-        return np.stack([np.bincount(self.node, a, k) for a in (self.g, self.h, np.ones(len(self.node)))])
+        out = np.zeros((3, self.feature.shape[1]))
+        for node, at in self.rows.items():
+            out[:, node] = self.g[at].sum(), len(at) if self.plain else self.h[at].sum(), len(at)
+        return out
 
 
 def _added(parts: list) -> object:
     return {m: sum(p[m] for p in parts) for m in parts[0]}
 
 
-def _quantiles(models: Mapping[int, _Growing], nodes: Mapping[int, np.ndarray], counts: Mapping[int, np.ndarray], exchange: Exchange) -> dict[int, np.ndarray]:
+def _quantiles(models: Mapping[int, _Growing], counts: Mapping[int, np.ndarray], exchange: Exchange) -> dict[int, np.ndarray]:
     """Quantile of the residuals by model and node, from counts in ``SKETCH`` bins over the range and again inside the bin that is hit."""
-    residual = {m: g.y - g.f for m, g in models.items()}
-    edges = {}
-    for m in models:
+    residual, edges = {}, {}
+    for m, g in models.items():
+        rest = g.y - g.f
+        residual[m] = {node: rest[at] for node, at in g.rows.items() if len(at)}
         low, high = np.full(counts[m].shape, np.inf), np.full(counts[m].shape, -np.inf)
-        np.minimum.at(low, nodes[m], residual[m])
-        np.maximum.at(high, nodes[m], residual[m])
+        for node, r in residual[m].items():
+            low[node], high[node] = r.min(), r.max()
         edges[m] = (low, high)
     parts = exchange(edges)
     low = {m: np.where(counts[m] > 0, np.min([p[m][0] for p in parts], 0), 0.0) for m in models}
@@ -264,10 +289,11 @@ def _quantiles(models: Mapping[int, _Growing], nodes: Mapping[int, np.ndarray],
         found = {}
         for m in models:
             width = np.where(high[m] > low[m], high[m] - low[m], 1.0)
-            at = np.floor((residual[m] - low[m][nodes[m]]) / width[nodes[m]] * SKETCH)
-            on = (at >= 0) & (residual[m] <= high[m][nodes[m]])
-            at = np.minimum(at[on], SKETCH - 1).astype(np.int64)
-            found[m] = np.bincount(nodes[m][on] * SKETCH + at, minlength=len(counts[m]) * SKETCH).reshape(-1, SKETCH)
+            found[m] = np.zeros((len(counts[m]), SKETCH), np.int64)
+            for node, r in residual[m].items():
+                r = r[(r >= low[m][node]) & (r <= high[m][node])]
+                at = np.minimum((r - low[m][node]) / width[node] * SKETCH, SKETCH - 1).astype(np.int64)
+                found[m][node] = np.bincount(at, minlength=SKETCH)
         total = _added(exchange(found))
         for m in models:
             want = np.maximum(np.ceil(models[m].tau * counts[m]), 1)
@@ -283,7 +309,7 @@ def grow(models: Mapping[int, _Growing], options: dict, exchange: Exchange) -> d
     """Grow all trees of the models, all of them a level at a time."""
     quantile = {m: g for m, g in models.items() if g.loss == "quantile"}
     start = _added(exchange({m: np.array([(g.w * g.y).sum(), g.w.sum(), len(g.y)]) for m, g in models.items()}))
-    first = _quantiles(quantile, {m: np.zeros(len(g.y), np.int64) for m, g in quantile.items()}, {m: start[m][2:] for m in quantile}, exchange) if quantile else {}
+    first = _quantiles(quantile, {m: start[m][2:] for m in quantile}, exchange) if quantile else {}
     for m, g in models.items():
         mean = start[m][0] / max(start[m][1], 1e-12)
         edge = min(max(mean, 1e-6), 1 - 1e-6)
@@ -292,21 +318,22 @@ def grow(models: Mapping[int, _Growing], options: dict, exchange: Exchange) -> d
         for g in models.values():
             g.slope()
             g.leaves = 1
-        for level in range(options["depth"]):
+        for _ in range(options["depth"]):
             open_ = {m: g for m, g in models.items() if g.active}
             if not open_:
                 break
             total = _added(exchange({m: g.sums() for m, g in open_.items()}))
             for m, g in open_.items():
-                g.split(t, level, total[m])
+                g.split(t, total[m])
         ends = _added(exchange({m: g.leaf_sums() for m, g in models.items()}))
-        shift = _quantiles(quantile, {m: g.node for m, g in quantile.items()}, {m: ends[m][2] for m in quantile}, exchange) if quantile else {}
+        shift = _quantiles(quantile, {m: ends[m][2] for m in quantile}, exchange) if quantile else {}
         for m, g in models.items():
             there = ends[m][2] > 0
             g.count[t][there] = ends[m][2][there]
             newton = ends[m][0] / np.maximum(ends[m][1] + options["l2"], 1e-12)
             g.value[t][there] = (shift[m] if m in shift else newton)[there]
-            g.f += options["rate"] * g.value[t][g.node]
+            for node, at in g.rows.items():
+                g.f[at] += options["rate"] * g.value[t][node]
     return {m: Trees(float(g.start), options["rate"], options["depth"], g.feature, g.left, g.value, g.count) for m, g in models.items()}
 
 
@@ -347,9 +374,9 @@ def fit(rows: DataFrame, targets: Mapping[str, Target], *, trees: int, depth: in
     weight = lambda t: F.coalesce(t.weight.cast("double"), F.lit(0.0)) if t.weight is not None else F.lit(1.0)
     label = lambda t: (F.col(t.label) if isinstance(t.label, str) else t.label).cast("double")
     each = F.array(*[F.struct(F.lit(k).alias("model"), label(t).alias("y"), weight(t).alias("w")) for k, t in enumerate(targets.values())])
-    flat = rows.select(_array(rows, x).alias("x"), each.alias("t"))
+    flat = materialise(rows.select(_array(rows, x).alias("x"), each.alias("t")))
     binning = binned(flat, "x", categorical)
-    long = materialise(flat.select("x", F.explode("t").alias("t")).select("t.model", "x", "t.y", "t.w").where("y is not null and not isnan(y) and w > 0"))
+    long = flat.select("x", F.explode("t").alias("t")).select("t.model", "x", "t.y", "t.w").where("y is not null and not isnan(y) and w > 0")
     counts = {r["model"]: r["count"] for r in long.groupBy("model").count().collect()}  # a row per model
     fitted = [k for k in range(len(names)) if counts.get(k, 0) >= 2]
     if not fitted:

@@ -178,10 +178,10 @@ def _grown(rows: DataFrame, fits: Mapping[str, Fit], held_out: Mapping[str, int]
     return {n: m for part in made for n, m in part.items()}
 
 
-def _predicted(df: DataFrame, models: Mapping[str, Boosted | None], clips: Mapping[str, tuple[float, float] | None]) -> DataFrame:
+def _predicted(df: DataFrame, models: Mapping[str, Boosted | None], clips: Mapping[str, tuple[float, float] | None], folds: Mapping[str, int] | None = None) -> DataFrame:
     """A column for each model, null for one without training rows; probabilities inside their bounds."""
     real = {n: m for n, m in models.items() if m is not None}
-    out = boosting.predict(df, real) if real else df
+    out = boosting.predict(df, real, folds=folds) if real else df
     bound = lambda n, c: F.greatest(F.least(F.col(n), F.lit(c[1])), F.lit(c[0]))
     return out.withColumns({n: F.lit(None).cast("double") if m is None else bound(n, clips[n]) if clips[n] else F.col(n) for n, m in models.items()})
 
@@ -198,7 +198,7 @@ def cross_fit(rows: DataFrame, fits: Mapping[str, Fit], folds: int, categorical:
     """Add a column for each of ``fits``, predicted by models of the other folds. All folds and fits are grown together."""
     every = {f"__{k}_{n}": (k, n) for k in range(folds) for n in fits}
     made = _grown(rows, {e: fits[n] for e, (_, n) in every.items()}, {e: k for e, (k, _) in every.items()}, categorical, means, chances)
-    out = _predicted(rows, made, {e: fits[n].clip for e, (_, n) in every.items()})
+    out = _predicted(rows, made, {e: fits[n].clip for e, (_, n) in every.items()}, {e: k for e, (k, _) in every.items()})
     own = {n: F.element_at(F.array(*[F.col(f"__{k}_{n}") for k in range(folds)]), F.col("fold") + 1) for n in fits}
     return materialise(out.withColumns(own).drop(*every))
 
