@@ -59,17 +59,22 @@ def propensity(df: DataFrame, treated: str, covariates: Sequence[str]) -> DataFr
 def match(scored: DataFrame, treated: str, caliper: float = CALIPER, key: str = "npi") -> DataFrame:
     """``treated_npi, control_npi, distance``: one control for a treated account within ``caliper`` standard deviations of ``logit``.
 
-    In a round every treated account asks the nearest free control below or above it in the order of the logit, found by
-    its number among the free controls, and a control takes the nearest that asks. Rounds go on while one makes a pair, so no
-    account is used twice and no treated account with a free control in reach is left. No pairs of all with all are made.
+    In a round every treated account asks two free controls, one below and one above it in the order of the logit, and takes
+    its wish to the nearer; a control takes the nearest that asks. The accounts of a run without a control inside ask different ones:
+    the lowest the first control below the run, the next one the second, and likewise from above, so that a run (of copies,
+    or where nearly all are treated) is served in one round and not one account a round. Rounds go on while one makes a
+    pair: the ends of a run ask their neighbours, so no treated account with a free control in reach is left. No account is
+    used twice, and no pairs of all with all are made.
     """
     left = materialise(scored.select(key, F.col(treated).cast("boolean").alias("t"), "logit"))
     reach = (left.agg(F.stddev_samp("logit")).first()[0] or 0.0) * caliper
     found = None
     while True:
-        scan = materialise(ranks.global_scan(left, [F.col("logit"), F.col("t"), F.col(key)], {"c": (~F.col("t")).cast("double")}, rank=None))
+        scan = materialise(ranks.global_scan(left, [F.col("logit"), F.col("t"), F.col(key)], {"c": (~F.col("t")).cast("double"), "n": F.col("t").cast("double")}, rank=None))
         controls = scan.where(~F.col("t")).select(F.col("c").alias("at"), F.col(key).alias("control"), F.col("logit").alias("other"))
-        asks = scan.where("t").select(F.col(key).alias("account"), "logit", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("at"))
+        # A run is what lies behind the same control; its accounts are numbered from both of its ends.
+        runs = scan.where("t").groupBy("c").agg(F.min("n").alias("first"), F.max("n").alias("last"))
+        asks = scan.where("t").join(runs, "c").select(F.col(key).alias("account"), "logit", F.explode(F.array(F.col("c") - (F.col("n") - F.col("first")), F.col("c") + 1 + (F.col("last") - F.col("n")))).alias("at"))
         near = asks.join(controls, "at").withColumn("distance", F.abs(F.col("logit") - F.col("other"))).where(F.col("distance") <= reach)
         wish = near.groupBy("account").agg(F.min(F.struct("distance", "control")).alias("w")).select("account", "w.distance", "w.control")
         pairs = materialise(wish.groupBy("control").agg(F.min(F.struct("distance", "account")).alias("w")).select(F.col("w.account").alias(f"treated_{key}"), F.col("control").alias(f"control_{key}"), F.col("w.distance").alias("distance")))

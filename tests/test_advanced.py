@@ -77,6 +77,17 @@ def test_matching_pairs_near_accounts_once(spark):
     assert matching.match(s.where("t"), "t").count() == 0
 
 
+def test_matching_serves_runs_at_once(spark, monkeypatch):
+    """Copies, and a stretch with treated accounts only: rounds don't grow with their number."""
+    scans, scan = [], matching.ranks.global_scan
+    monkeypatch.setattr(matching.ranks, "global_scan", lambda *a, **k: scans.append(1) or scan(*a, **k))
+    rows = [(i, i % 2 == 0, 1.0) for i in range(80)] + [(100 + i, True, 5.0 + i / 1000) for i in range(60)] + [(200 + i, False, 4.9 - i / 1000) for i in range(40)] + [(300 + i, i % 2 == 0, 9.0 + i) for i in range(4)]
+    pairs = matching.match(spark.createDataFrame(rows, "npi long, t boolean, logit double"), "t").collect()
+    assert len(scans) <= 4
+    assert sum(r["distance"] == 0 for r in pairs) == 40 and len(pairs) == 80
+    assert sorted(r["treated_npi"] for r in pairs if r["treated_npi"] >= 100) == list(range(100, 140))
+
+
 @pytest.mark.parametrize(("kind", "why"), [("hill", None), ("negative", "no positive"), ("flat", "no positive"), ("far", "outside"), ("few", "too few"), ("none", "too few")])
 def test_saturation(spark, kind, why):
     rng = np.random.default_rng(0)
