@@ -73,17 +73,33 @@ class Trees:
     value: np.ndarray
     count: np.ndarray
 
-    def score(self, bins: np.ndarray) -> np.ndarray:
-        out, flat, first = np.full(len(bins), self.start), np.ascontiguousarray(bins).ravel(), np.arange(len(bins)) * bins.shape[1]
+    def values(self, bins: np.ndarray, which: Sequence[int] | None = None) -> Iterator[np.ndarray]:
+        """The rows' leaf values, tree by tree, of all trees or of some."""
+        flat, first = np.ascontiguousarray(bins).ravel(), np.arange(len(bins)) * bins.shape[1]
         inner, every = self.feature >= 0, np.arange(self.feature.shape[1])
         seen, after = np.maximum(self.feature, 0), np.where(inner, 2 * every + 2, every)  # a leaf leads to itself
-        for t in range(len(self.feature)):
+        for t in range(len(self.feature)) if which is None else which:
             node, left = np.zeros(len(bins), np.int64), self.left[t].ravel()
             for _ in range(self.depth):
                 node = after[t].take(node) - left.take(node * BINS + flat.take(first + seen[t].take(node)))
-            out += self.rate * self.value[t].take(node)
+            yield self.value[t].take(node)
+
+    def score(self, bins: np.ndarray) -> np.ndarray:
+        out = np.full(len(bins), self.start)
+        for value in self.values(bins):
+            out += self.rate * value
         return out
 
+    def exchanged(self, bins: np.ndarray, others: np.ndarray) -> Iterator[np.ndarray]:
+        """Scores with one feature after the other taken from ``others``; only trees that split on the feature are asked again."""
+        own = np.stack(list(self.values(bins))) if len(self.feature) else np.zeros((0, len(bins)))
+        for k in range(bins.shape[1]):
+            using = np.flatnonzero((self.feature == k).any(1))
+            changed = bins.copy()
+            changed[:, k] = others[:, k]
+            rest = np.delete(own, using, 0).sum(0)
+            yield self.start + self.rate * sum(self.values(changed, using), rest)
+
 
 @dataclass
 class Boosted:
@@ -114,7 +130,7 @@ def predict(df: DataFrame, models: Mapping[str, Boosted], x: str = "x", folds: M
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins = binning.of(_matrix(b.column("__x"), len(binning.edges)))
+            bins = binning.of(matrix(b.column("__x"), len(binning.edges)))
             found = []
             for n, t, loss in zip(names, trees, losses, strict=True):
                 own = slice(None) if folds is None else np.flatnonzero(b.column("fold").to_numpy() == folds[n])
@@ -132,7 +148,7 @@ def _array(df: DataFrame, x: str) -> Column:
     return F.col(x) if df.schema[x].dataType.typeName() == "array" else vector_to_array(x)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
+def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
@@ -350,7 +366,7 @@ def _trainer(binning: Binning, targets: list[tuple[str, float, tuple[int, ...] |
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
-            held.append((b.column("model").to_numpy(), binning.of(_matrix(b.column("x"), width)), b.column("y").to_numpy(), b.column("w").to_numpy()))
+            held.append((b.column("model").to_numpy(), binning.of(matrix(b.column("x"), width)), b.column("y").to_numpy(), b.column("w").to_numpy()))
         model, bins, y, w = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.empty(0, int), np.empty((0, width), np.uint8), np.empty(0), np.empty(0))
         here = range(len(targets)) if barrier else np.unique(model).tolist()
         rows = {m: np.flatnonzero(model == m) for m in here}

@@ -6,14 +6,18 @@ are materialised once, so that passes over them don't repeat the joins before.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import itertools
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 from typing import TypeVar
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +45,6 @@ def encoder(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] =
     return Pipeline(stages=[codes, vector]).fit(df)
 
 
-def pinball(y: Column, predicted: Column, tau: float) -> Column:
-    return F.greatest(tau * (y - predicted), (tau - 1) * (y - predicted))
-
-
 def in_parallel(fits: Sequence[Callable[[], T]], threads: int = 4) -> list[T]:
     """Results of independent fits. A round's jobs are small, so several drivers' threads submit theirs side by side."""
     with ThreadPool(max(1, min(threads, len(fits)))) as pool:
@@ -137,19 +137,30 @@ def linear_frontier(df: DataFrame, target: str = "class_fills", envelope: float
 def permutation_importance(df: DataFrame, model: Frontier, target: str = "class_fills", repeats: int = 3) -> DataFrame:
     """Rise of the pinball loss when a feature comes from another row, mean and deviation over repeats, and its share.
 
-    Donors are matched by global row numbers in key order and in hash order, one scan per repeat.
+    Donors are matched by global row numbers in key order and in hash order, one scan per repeat. A row meets its donor once:
+    the task exchanges the features one by one and hands on sums of losses.
     """
     rows, _ = _framed(df, target)
-    rows = materialise(rows)
     names = [*model.features, *CATEGORICAL]
-    own = ranks.global_scan(rows, [F.col("npi")], rank="__i")
+    encoded = materialise(model.encoded(rows).select("npi", vector_to_array("x").alias("x"), "__y"))
+    own = ranks.global_scan(encoded, [F.col("npi")], rank="__i")
     parts = []
     for r in range(repeats):
-        donors = ranks.global_scan(rows, [F.xxhash64("npi", F.lit(r)), F.col("npi")], rank="__i").select("__i", F.struct(*names).alias("__d"))
-        parts.append(own.join(donors, "__i").withColumn("repeat", F.lit(r)))
-    stacked = stats.union_all(parts).withColumn("feature", F.explode(F.array(F.lit(""), *[F.lit(n) for n in names])))
-    stacked = stacked.withColumns({n: F.when(F.col("feature") == n, F.col("__d")[n]).otherwise(F.col(n)) for n in names}).drop("__d", "__i")
-    loss = model.log_potential(stacked).groupBy("feature", "repeat").agg(F.avg(pinball(F.col("__y"), F.col("__f"), model.tau)).alias("loss"))
+        donors = ranks.global_scan(encoded.select("npi", "x"), [F.xxhash64("npi", F.lit(r)), F.col("npi")], rank="__i").select("__i", F.col("x").alias("d"))
+        parts.append(own.join(donors, "__i").select("x", "d", F.col("__y").alias("y"), F.lit(r).alias("repeat")))
+    trees, binning, tau = model.model.trees, model.model.binning, model.tau
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bins, others = (binning.of(boosting.matrix(b.column(c), len(names))) for c in ("x", "d"))
+            y, repeat = b.column("y").to_numpy(), b.column("repeat").to_numpy()
+            which = np.unique(repeat)
+            for name, f in zip(["", *names], itertools.chain([trees.score(bins)], trees.exchanged(bins, others)), strict=True):
+                loss = np.maximum(tau * (y - f), (tau - 1) * (y - f))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(which)), pa.array(which, pa.int32()), pa.array([loss[repeat == r].sum() for r in which], pa.float64()), pa.array([(repeat == r).sum() for r in which], pa.int64())], names=["feature", "repeat", "loss", "n"])
+
+    summed = stats.union_all(parts).mapInArrow(losses, "feature string, repeat int, loss double, n long")
+    loss = summed.groupBy("feature", "repeat").agg((F.sum("loss") / F.sum("n")).alias("loss"))
     base = loss.where("feature = ''").select("repeat", F.col("loss").alias("base"))
     rise = loss.where("feature <> ''").join(base, "repeat").groupBy("feature").agg(F.avg(F.col("loss") - F.col("base")).alias("importance"), F.stddev_samp(F.col("loss") - F.col("base")).alias("deviation"))
     total = rise.agg(F.sum(F.greatest("importance", F.lit(0.0))).alias("t"))

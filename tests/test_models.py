@@ -37,6 +37,18 @@ def test_frontier_covers_its_quantile(accounts):
         models.fit_frontier(accounts.where("class_fills > 0").withColumn("class_fills", accounts.class_fills * 0), trees=1)
 
 
+def test_importance_exchanges_features_in_a_task(accounts):
+    """A row isn't repeated by feature; scores are those of rows with the donor's feature."""
+    m = models.fit_frontier(accounts, trees=20)
+    assert "explode" not in models.permutation_importance(accounts, m)._jdf.queryExecution().toString()
+    trees, rng = m.model.trees, np.random.default_rng(1)
+    bins, others = (rng.integers(0, 128, (50, len(m.model.binning.edges)), np.uint8) for _ in range(2))
+    for k, got in enumerate(trees.exchanged(bins, others)):
+        swapped = bins.copy()
+        swapped[:, k] = others[:, k]
+        assert got == pytest.approx(trees.score(swapped))
+
+
 def test_double_ml_and_robustness(accounts):
     r = models.double_ml(accounts, "y", "d", ["x0"]).first()
     assert abs(r["theta"] - 0.5) < 2 * r["se"] + 0.02 and r["ci_low"] < r["theta"] < r["ci_high"] and 0 < r["rv_alpha"] < r["rv"] < 1
