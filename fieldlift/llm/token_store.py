@@ -90,6 +90,7 @@ class Pieces(dict):
             raise ValueError("the word between words has to be one token")
         self.width = "<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4"
         self.words: dict[bytes, bytes] = {}
+        self.new: dict[bytes, bytearray] = {}
         self.marks = {bytes([m]): self._ids(chr(m)).tobytes() for m in _MARKS}
 
     def _ids(self, text: str) -> np.ndarray:
@@ -107,20 +108,25 @@ class Pieces(dict):
             out |= {w: raw[a + 4 : b] for w, a, b in zip(part, starts, [*starts[1:], len(raw)], strict=True)}
         return out
 
+    def __missing__(self, piece: bytes) -> bytearray:
+        """A piece that isn't known has an empty place in the text's ids, which is filled when all of them are learned."""
+        return self.new.setdefault(piece, bytearray())
+
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        end = np.array([end_id], "<u4").tobytes()
-        split = [t.encode().split() if t else [] for t in texts]
-        new = list(set().union(*split).difference(self))
-        words, known = [*map(_word, new)], self.words
+        end, self.new = np.array([end_id], "<u4").tobytes(), {}
+        found = [[*map(self.__getitem__, t.encode().split()), end] if t else [end] for t in texts]
+        new, known = self.new, self.words
+        words = [*map(_word, new)]
         learned = self._learn(list(set(words).difference(known)))
         known.update(learned)
-        got = {p: known[w] if len(w) == len(p) else known[w] + self.marks[p[-1:]] for p, w in zip(new, words, strict=True)}
-        self.update(got)
-        out = [b"".join([*map(self.__getitem__, pieces), end]) for pieces in split]
+        for (p, place), w in zip(new.items(), words, strict=True):
+            place += known[w]
+            if len(w) < len(p):
+                place += self.marks[p[-1:]]
+        out = [*map(b"".join, found)]
         # The first to come are the frequent ones: they stay.
-        if len(self) > PIECE_LIMIT:
-            for p in got:
-                del self[p]
+        if len(self) + len(new) <= PIECE_LIMIT:
+            self.update(zip(new, map(bytes, new.values()), strict=True))
         if len(known) > PIECE_LIMIT:
             for w in learned:
                 del known[w]

@@ -481,3 +481,20 @@ def test_pieces_match_the_whole_tokenizer_for_every_code_point():
         part = texts[at : at + 1024]
         want = [[*e.ids, 2] for e in whole.encode_batch_fast(part, add_special_tokens=False)]
         assert [np.frombuffer(x, "<u4").tolist() for x in pieces.encode(part, 2)] == want
+
+
+def test_pieces_look_each_occurrence_up_once(monkeypatch):
+    """Known pieces aren't walked through for a batch, and what passes the limit is encoded without being kept."""
+    pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = token_store.Pieces(path)
+    first = pieces.encode(["The cat. the Cat", None, "the"], 2)
+    assert len(pieces) == 4
+    walked = []
+    monkeypatch.setattr(token_store.Pieces, "__iter__", lambda self: walked.append(1) or dict.__iter__(self))
+    monkeypatch.setattr(token_store, "PIECE_LIMIT", 5)
+    assert pieces.encode(["The cat. the Cat", None, "the"], 2) == first and len(pieces) == 4
+    later = pieces.encode(["some other words, dog dog.", "dog"], 2)
+    assert later == token_store.Pieces(path).encode(["some other words, dog dog.", "dog"], 2) and len(pieces) == 4 and not walked
