@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.session import materialise
 from . import backtest, models, ranks, stats
 from .boosting import Trees
-from .opportunity import CATEGORICAL, score, stack_rules
+from .opportunity import CATEGORICAL, potential, stack_rules
 
 TOP = 5
 
@@ -95,27 +95,31 @@ def ablation(df: DataFrame, benchmarks: DataFrame, outcomes: DataFrame, k: int,
     A variant may have ``keep`` (numeric features), ``flatten`` (categories made one), ``tau`` and ``national`` (one achievable
     share for all). ``outcomes``: npi, class_fills, growth_abs and the value. The first variant is the production one.
     """
-    fitted = models.fit_frontiers(df, {n: {"tau": tau} | v for n, v in variants.items()})
+    df = materialise(df)
+    names = {n: f"__f{j}" for j, n in enumerate(variants)}
+    predicted = models.predict_frontiers(df, {names[n]: f for n, f in models.fit_frontiers(df, {n: {"tau": tau} | v for n, v in variants.items()}).items()})
+    rows = materialise(df.join(predicted, "npi", "left"))
     middle = materialise(benchmarks.agg(F.median("achievable_share").alias("__m")))  # few distinct values: one per cell
 
     def opportunity(name: str, spec: dict) -> DataFrame:
         flat = tuple(spec.get("flatten", ()))
-        rows = materialise(df.withColumns({c: F.lit("All") for c in flat}))
         bench = benchmarks
         if spec.get("national"):
             bench = bench.join(F.broadcast(middle)).withColumn("achievable_share", F.col("__m")).drop("__m")  # one row
         if flat:
             keys = [c for c in (*CATEGORICAL, "year") if c not in flat]
             bench = bench.groupBy(*keys).agg(F.median("achievable_share").alias("achievable_share")).withColumns({c: F.lit("All") for c in flat})
-        return materialise(score(rows, bench, fitted[name].predict(df), ["npi"]).where("in_market").select("npi", "opportunity"))
+        own = rows.select("npi", *[F.lit("All").alias(c) if c in flat else c for c in CATEGORICAL], "year", "class_fills", "brand_fills", F.col(names[name]).alias("frontier"))
+        return materialise(potential(own, bench).where("in_market").select("npi", "opportunity"))
 
     made = models.in_parallel([lambda n=n, s=s: opportunity(n, s) for n, s in variants.items()])
-    outcomes = materialise(outcomes.select("npi", "class_fills", *[F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)).alias(n) for c, n in ((value, "gv"), ("growth_abs", "ga"))]))
+    outcomes = outcomes.select("npi", "class_fills", *[F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)).alias(n) for c, n in ((value, "gv"), ("growth_abs", "ga"))])
+    outcomes = materialise(ranks.percent_rank(materialise(outcomes), "class_fills", "rv"))
     total = outcomes.agg(F.sum("gv").alias("tv"))
 
     def capture(name: str, scored: DataFrame) -> DataFrame:
         frame = materialise(outcomes.join(scored, "npi", "left").fillna(0.0, ["opportunity"]))
-        ranked = ranks.percent_rank(ranks.percent_rank(frame, "opportunity", "ro"), "class_fills", "rv").withColumn("hybrid", (F.col("ro") + F.col("rv")) / 2)
+        ranked = ranks.percent_rank(frame, "opportunity", "ro").withColumn("hybrid", (F.col("ro") + F.col("rv")) / 2)
         lists = ranks.top_k_by_rule(stack_rules(ranked, {"own": "opportunity", "hybrid": "hybrid", "volume": "class_fills"}, ["npi", "gv", "ga"]), k)
         on = lambda r, c: F.sum(F.when(F.col("rule") == r, F.col(c)))
         got = lists.agg(on("own", "gv").alias("own"), on("hybrid", "gv").alias("hyb"), on("hybrid", "ga").alias("hyb_abs"), on("volume", "ga").alias("vol_abs")).join(F.broadcast(total))
@@ -123,9 +127,9 @@ def ablation(df: DataFrame, benchmarks: DataFrame, outcomes: DataFrame, k: int,
         out = got.select(F.lit(name).alias("variant"), F.try_divide("own", "tv").alias("value_capture"), F.try_divide("hyb", "tv").alias("hybrid_value_capture"), F.try_divide("hyb_abs", "vol_abs").alias("hybrid_abs_vs_volume"))
         return materialise(out.join(F.broadcast(backtest.spearman(both, "opportunity", "o").toDF("spearman_vs_production"))))  # one row
 
-    rows = stats.union_all(models.in_parallel([lambda n=n, s=s: capture(n, s) for n, s in zip(variants, made, strict=True)]))
-    first = rows.where(F.col("variant") == next(iter(variants))).select(F.col("value_capture").alias("v0"), F.col("hybrid_value_capture").alias("h0"))
-    return rows.join(F.broadcast(first)).withColumn("value_capture_change", F.col("value_capture") - F.col("v0")).withColumn("hybrid_value_capture_change", F.col("hybrid_value_capture") - F.col("h0")).drop("v0", "h0")  # one row
+    table = stats.union_all(models.in_parallel([lambda n=n, s=s: capture(n, s) for n, s in zip(variants, made, strict=True)]))
+    first = table.where(F.col("variant") == next(iter(variants))).select(F.col("value_capture").alias("v0"), F.col("hybrid_value_capture").alias("h0"))
+    return table.join(F.broadcast(first)).withColumn("value_capture_change", F.col("value_capture") - F.col("v0")).withColumn("hybrid_value_capture_change", F.col("hybrid_value_capture") - F.col("h0")).drop("v0", "h0")  # one row
 
 
 def stacked(df: DataFrame, rules: dict[str, str]) -> DataFrame:
