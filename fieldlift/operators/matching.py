@@ -218,7 +218,10 @@ def pilot_inputs(listed: DataFrame, ceiling: float, calls: float, half: float, t
     cut = lambda c: F.least(F.greatest(F.col(c), F.col("q")[0]), F.col("q")[1])
     wins = materialise(rows.join(F.broadcast(edges), "endpoint").withColumns({"g": cut("g"), "p": F.when(F.col("p").isNotNull(), cut("p"))}))  # two rows
     both = F.col("g").isNotNull() & F.col("p").isNotNull()
-    rho = F.when(F.count_if(both) > 30, F.greatest(F.coalesce(F.corr(F.when(both, F.col("g")), F.when(both, F.col("p"))), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    g, p = (F.when(both, F.col(c)) for c in ("g", "p"))
+    # ``corr`` raises where one side doesn't vary.
+    corr = F.try_divide(F.covar_pop(g, p), F.sqrt(F.var_pop(g) * F.var_pop(p)))
+    rho = F.when(F.count_if(both) > 30, F.greatest(F.coalesce(corr, F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
     base = wins.groupBy("endpoint").agg(F.avg("effect").alias("effect"), F.stddev_samp("g").alias("sd"), rho.alias("rho"), F.count("*").alias("listed"), F.count_distinct(territory).alias("territories"))
     icc = stats.union_all([stats.icc(wins.where(F.col("endpoint") == e), territory, "g", floored=True).select(F.lit(e).alias("endpoint"), "icc") for e in ("share", "fills")])
     return base.join(F.broadcast(icc), "endpoint")  # two rows
