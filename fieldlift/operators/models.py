@@ -9,12 +9,9 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
-from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,13 +19,11 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.session import materialise
+from ..functions.session import in_parallel, materialise
 from . import backtest, boosting, ranks, stats
 from .boosting import Boosted, Target
 from .opportunity import CATEGORICAL, feature_frame
 
-T = TypeVar("T")
-
 #: Critical value of intervals, bounds of propensities.
 CRITICAL = 1.96
 RESIDUAL_CLIP, UPLIFT_CLIP = (0.01, 0.99), (0.02, 0.98)
@@ -45,12 +40,6 @@ def encoder(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] =
     return Pipeline(stages=[codes, vector]).fit(df)
 
 
-def in_parallel(fits: Sequence[Callable[[], T]], threads: int = 4) -> list[T]:
-    """Results of independent fits. A round's jobs are small, so several drivers' threads submit theirs side by side."""
-    with ThreadPool(max(1, min(threads, len(fits)))) as pool:
-        return pool.map(inheritable_thread_target(lambda f: f()), fits)
-
-
 def categories_of(numeric: Sequence[str], categorical: Sequence[str] = CATEGORICAL) -> list[int]:
     """Positions of the codes in an encoder's vector."""
     return list(range(len(numeric), len(numeric) + len(categorical)))
