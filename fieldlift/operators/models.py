@@ -7,7 +7,7 @@ are materialised once, so that passes over them don't repeat the joins before.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.session import in_parallel, materialise
 from . import backtest, boosting, ranks, stats
 from .boosting import Boosted, Target
-from .opportunity import CATEGORICAL, feature_frame
+from .opportunity import CATEGORICAL, LOGS, PLAIN, feature_frame
 
 #: Critical value of intervals, bounds of propensities.
 CRITICAL = 1.96
@@ -286,6 +286,15 @@ def tau_sensitivity(df: DataFrame, score: Callable[[DataFrame], DataFrame], taus
 STATE = ("log_class_fills", "log_brand_fills", "brand_share", "log_potential_gap")
 
 
+def state_columns(df: DataFrame, more: Iterable[str] = ()) -> DataFrame:
+    """``df`` with the key, what states are made of, and ``more``.
+
+    What is written of a wide panel costs by its columns, and past some fifty of them Spark's generated code is too long to be compiled.
+    """
+    names = dict.fromkeys(["npi", *LOGS.values(), *PLAIN, *CATEGORICAL, "class_fills", "brand_fills", "brand_share", "potential_brand", *more])
+    return df.select(*[c for c in names if c in df.columns])
+
+
 def state_frame(df: DataFrame, extra: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """Features of the frontier and of the brand's state, missing shares and extras as 0; and the numeric names."""
     framed, usable = feature_frame(df)
