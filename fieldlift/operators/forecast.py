@@ -66,7 +66,7 @@ def fit_intervals(train: DataFrame, actual: str = "brand_fills_next", alpha: flo
 def interval_coverage(train: DataFrame, after: DataFrame, actual: str = "brand_fills_next", alpha: float = ALPHA, segments: tuple[str, ...] = ("size_band", "specialty_group", "region", "rural"), least: int = 200, seed: int = 0, **options: float) -> DataFrame:
     """Coverage and median width by segment of raw, conformal and band-wise conformal intervals on the next panel, and in the calibration half."""
     band = size_band(F.col("class_fills"))
-    train, after = (materialise(d.withColumn("size_band", band).withColumn("rural", F.when(F.col("rural"), "rural").otherwise("urban"))) for d in (train, after))
+    train, after = (materialise(models.state_columns(d.withColumn("size_band", band).withColumn("rural", F.when(F.col("rural"), "rural").otherwise("urban")), [actual, *segments, "size_band"])) for d in (train, after))
     model = fit_intervals(train.where(half(seed)), actual, alpha, **options)
     y = F.log1p(actual)
     calibration = materialise(model.predict(train.where(~half(seed)).where(F.col(actual) > 0)).withColumn("y", y).withColumn("score", F.greatest(F.col("lo") - F.col("y"), F.col("y") - F.col("hi"))))
@@ -103,13 +103,13 @@ def forecast(panel: DataFrame, latest: DataFrame, actual: str = "brand_fills_nex
 
     Ends are in order and at least 0, and the median is inside. Calibration is over all sizes at once.
     """
-    panel = materialise(panel)
+    panel = materialise(models.state_columns(panel, [actual]))
     active = (F.coalesce(F.col(actual), F.lit(0.0)) > 0).cast("double")
     fitted = panel.where(half(seed))
     classifier, intervals = models.in_parallel([lambda: models.fit_states(fitted.withColumn("active", active), {"p_active": models.Fit("active", (0.0, 1.0))}, **options), lambda: fit_intervals(fitted, actual, alpha, median=True, **options)])
     calibration = intervals.predict(panel.where(~half(seed)).where(F.col(actual) > 0)).withColumn("__y", F.log1p(actual))
     q = qhat(materialise(calibration.select("npi", conformity("lo", "hi", "__y").alias("score"))), "score", alpha).select(F.col("qhat").alias("__q"))
-    latest = materialise(latest)
+    latest = materialise(models.state_columns(latest))
     out = intervals.predict(latest).select("npi", "lo", "mid", "hi").join(F.broadcast(q))  # one row
     low, high = F.least(F.col("lo") - F.col("__q"), F.col("hi") + F.col("__q")), F.greatest(F.col("lo") - F.col("__q"), F.col("hi") + F.col("__q"))
     middle = F.least(F.greatest(F.col("mid"), low), high)
