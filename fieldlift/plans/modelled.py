@@ -81,7 +81,7 @@ def d30_ev2_challenger_ladder(s: Spark, d: str) -> DataFrame:
 
 @query(None)
 def rs14_rs15_double_ml(s: Spark, d: str) -> DataFrame:
-    rows = models.materialise(_causal(s, d))
+    rows = models.materialise(_causal(s, d).select("npi", "growth_share", "log_pay", *COVARIATES, *O.CATEGORICAL))
     # What the strongest covariate explains of the treatment is the yardstick for the robustness values.
     bench = rows.agg(*[(F.corr(c, "log_pay") ** 2).alias(c) for c in COVARIATES]).select(F.greatest(*[F.coalesce(F.col(c), F.lit(0.0)) for c in COVARIATES]).alias("benchmark_r2"))
     return models.double_ml(rows, "growth_share", "log_pay", COVARIATES).join(F.broadcast(bench))  # one row
